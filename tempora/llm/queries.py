@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import mixing
+from . import mixing, simhash
 
 QUERIES = {
     "op2_mix_sources": mixing.op2_mix_sources,
+    "op8_simhash": simhash.op8_simhash,
 }
 
 ORACLE_SQL = {
