@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import mixing, simhash
+from . import mixing, quality, simhash
 
 QUERIES = {
     "op2_mix_sources": mixing.op2_mix_sources,
+    "op7_quality_cascade": quality.op7_quality_cascade,
     "op8_simhash": simhash.op8_simhash,
 }
 
 ORACLE_SQL = {
     "op2_mix_sources": mixing.OP2_SQL,
+    "op7_quality_cascade": quality.OP7_SQL,
 }
