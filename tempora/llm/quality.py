@@ -172,10 +172,10 @@ WITH split AS (
   SELECT rid, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines
   FROM (SELECT rid, unnest(string_split(text, chr(10))) AS line FROM split)
   WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY rid
-), at AS (
+), words AS (
   SELECT rid, unnest(words) AS word, unnest(range(len(words))) AS i FROM split
 ), windows AS (
-  SELECT rid, i, word, lag(word) OVER o AS prior, lead(word, 1) OVER o AS w1, lead(word, 2) OVER o AS w2 FROM at WINDOW o AS (PARTITION BY rid ORDER BY i)
+  SELECT rid, i, word, lag(word) OVER o AS prior, lead(word, 1) OVER o AS w1, lead(word, 2) OVER o AS w2 FROM words WINDOW o AS (PARTITION BY rid ORDER BY i)
 ), counted AS (
   SELECT *, CASE WHEN w2 IS NULL THEN false ELSE count(*) OVER (PARTITION BY rid, word, w1, w2) > 1 END AS twice FROM windows
 ), covered AS (
@@ -183,7 +183,7 @@ WITH split AS (
 ), repeated AS (
   SELECT rid, count(*) FILTER (hit) AS n_repeat_words, count(*) FILTER (run) AS n_runs FROM covered GROUP BY rid
 ), top AS (
-  SELECT rid, max(n) AS n_top FROM (SELECT rid, word, count(*) AS n FROM at GROUP BY ALL) GROUP BY rid
+  SELECT rid, max(n) AS n_top FROM (SELECT rid, word, count(*) AS n FROM words GROUP BY ALL) GROUP BY rid
 ), base AS (
   SELECT doc_id, text, len(words)::BIGINT AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars,
          (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
