@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import mixing, packing, quality, simhash
+from . import langid, mixing, packing, quality, simhash
 
 QUERIES = {
     "op2_mix_sources": mixing.op2_mix_sources,
+    "op4_language_mixture": langid.op4_language_mixture,
     "op5_best_fit_packing": packing.op5_best_fit_packing,
     "op7_quality_cascade": quality.op7_quality_cascade,
     "op8_simhash": simhash.op8_simhash,
