@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import langid, mixing, packing, quality, simhash
+from . import langid, mixing, packing, quality, simhash, toxicity
 
 QUERIES = {
     "op2_mix_sources": mixing.op2_mix_sources,
@@ -10,6 +10,7 @@ QUERIES = {
     "op5_best_fit_packing": packing.op5_best_fit_packing,
     "op7_quality_cascade": quality.op7_quality_cascade,
     "op8_simhash": simhash.op8_simhash,
+    "op9_toxicity_cnn": toxicity.op9_toxicity_cnn,
 }
 
 ORACLE_SQL = {
