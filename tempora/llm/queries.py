@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import langid, mixing, packing, quality, simhash, toxicity
+from . import extraction, langid, mixing, packing, quality, simhash, toxicity
 
 QUERIES = {
     "op2_mix_sources": mixing.op2_mix_sources,
@@ -11,6 +11,7 @@ QUERIES = {
     "op7_quality_cascade": quality.op7_quality_cascade,
     "op8_simhash": simhash.op8_simhash,
     "op9_toxicity_cnn": toxicity.op9_toxicity_cnn,
+    "op10_extract_content": extraction.op10_extract_content,
 }
 
 ORACLE_SQL = {
