@@ -180,7 +180,7 @@ def label(nodes: list[Node], content: str) -> list[int]:
     return [o or int(n.chars > 0 and 10 * g >= 9 * n.chars) for o, n, g in zip(out, nodes, good, strict=True)]
 
 
-def train(pages: list[tuple[str, str]], rounds: int = 300, rate: float = 0.5, decay: float = 1e-4) -> Model:
+def train(pages: list[tuple[str, str]], rounds: int = 1000, rate: float = 2.0, decay: float = 1e-5) -> Model:
     """Pairwise potentials are the smoothed ratios P(parent, child) / (P(parent) P(child)); unary ones maximise the
     pseudo-likelihood of each node given its parent's label."""
     names: dict[str, int] = {}

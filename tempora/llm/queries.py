@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import extraction, langid, mixing, packing, quality, simhash, toxicity
+from . import extraction, langid, mixing, packing, quality, repeats, simhash, toxicity
 
 QUERIES = {
     "op2_mix_sources": mixing.op2_mix_sources,
+    "op3_suffix_dedup": repeats.op3_suffix_dedup,
     "op4_language_mixture": langid.op4_language_mixture,
     "op5_best_fit_packing": packing.op5_best_fit_packing,
     "op7_quality_cascade": quality.op7_quality_cascade,
