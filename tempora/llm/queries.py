@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import extraction, langid, mixing, packing, quality, repeats, simhash, toxicity
+from . import extraction, langid, licenses, mixing, packing, quality, repeats, simhash, toxicity
 
 QUERIES = {
+    "op1_license_scan": licenses.op1_license_scan,
     "op2_mix_sources": mixing.op2_mix_sources,
     "op3_suffix_dedup": repeats.op3_suffix_dedup,
     "op4_language_mixture": langid.op4_language_mixture,
