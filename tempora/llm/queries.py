@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import extraction, langid, licenses, mixing, packing, quality, repeats, simhash, toxicity
+from . import chroma, extraction, langid, licenses, mixing, packing, quality, repeats, simhash, toxicity
 
 QUERIES = {
     "op1_license_scan": licenses.op1_license_scan,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_suffix_dedup": repeats.op3_suffix_dedup,
     "op4_language_mixture": langid.op4_language_mixture,
     "op5_best_fit_packing": packing.op5_best_fit_packing,
+    "op6_chroma_fingerprints": chroma.op6_chroma_fingerprints,
     "op7_quality_cascade": quality.op7_quality_cascade,
     "op8_simhash": simhash.op8_simhash,
     "op9_toxicity_cnn": toxicity.op9_toxicity_cnn,
