@@ -127,10 +127,12 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Rows that repeat in id, source and size share their number evenly.  Columns as in ``docs``.
     """
     plan = mix(docs, id_col, text_col, source_col, **options).filter("size > 0")
-    plan = plan.groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size")).agg(F.floor(F.avg(F.col("taken") / F.col("size")) + 0.5).cast("int").alias("_copies"))
-    sized = docs.withColumn("_words", word_count(F.col(text_col)))
-    on = sized[id_col].eqNullSafe(plan._id) & sized[source_col].eqNullSafe(plan._source) & (sized._words == plan._size)
-    return sized.join(plan, on).filter("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    plan = plan.groupBy("doc_id", "source", "size").agg(F.floor(F.avg(F.col("taken") / F.col("size")) + 0.5).cast("int").alias("copies"))
+    row = F.col("row")
+    rows = docs.select(F.struct(*docs.columns).alias("row"))  # so that no column of theirs clashes
+    rows = rows.select("row", row[id_col].alias("doc_id"), row[source_col].alias("source"), word_count(row[text_col]).alias("size"))
+    out = null_safe_join(rows, plan, ["doc_id", "source", "size"]).filter("copies > 0")
+    return out.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
 
 
 def op2_mix_sources(spark, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ earlier start).  Whole texts are judged as they came in.
    one anchor is a piece.  Equal windows have equal anchors, so that only pieces of one anchor need to be compared.
 2. Equal pieces (by anchor and a hash of the whole piece) keep their first occurrence; the others are marked at once.
    Tasks combine their own pieces before the shuffle.
-3. Indexing.  The distinct pieces of the anchors that have two or more go, as bytes, to shards by anchor.  A shard builds
+3. Indexing.  The distinct pieces of the anchors that have two or more, or one that may repeat within itself, go, as bytes, to shards by anchor.  A shard builds
    the run-length Burrows-Wheeler transform of its pieces, keeps the suffix array's samples at the ends of runs, and
    streams through the text the length and place of each position's longest match with its predecessor in suffix order
    (both follow from the last sample: place + 1, length - 1 for each step).  Matches of LENGTH or more tie windows into
@@ -35,6 +35,8 @@ LENGTH, K, CROWD, SHARD_BYTES, LONGEST = 100, 32, 4096, 4 << 20, 128
 _rng = np.random.default_rng(20240229)
 TABLE = _rng.integers(0, 1 << 64, 256, np.uint64)
 ODD = [int(x) | 1 for x in _rng.integers(0, 1 << 64, 8, np.uint64)]
+#: In a piece's length: its anchor may stand in it twice.
+INNER = np.uint32(1 << 31)
 #: A piece: anchor, hash, document (doc_id, then CRC-32 of its text), start and length.
 PIECE = np.dtype([("a", "<u8"), ("s", "<u8"), ("d", "<i8"), ("k", "<u4"), ("p", "<i8"), ("n", "<u4")])
 #: A run of bytes to remove.
@@ -112,6 +114,17 @@ def window_least(h: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(m[: len(m) - (width - done)], m[width - done :]) if done < width else m
 
 
+def twice_near(h: np.ndarray, least: np.ndarray) -> np.ndarray:
+    """Anchors that may stand twice in one piece: such a piece can repeat windows of its own."""
+    width = LENGTH - K + 1
+    around = np.concatenate([np.zeros(width - 1, np.uint64), least, np.zeros(width - 1, np.uint64)])
+    at = np.flatnonzero(h == ~window_least(~around, width))  # least of some window that has them
+    order = np.lexsort((at, h[at]))
+    at = at[order]
+    near = (h[at[1:]] == h[at[:-1]]) & (at[1:] - at[:-1] < LONGEST + width)
+    return np.unique(h[at[1:][near]])
+
+
 def pieces_of(texts: list[bytes], ids: list[int]) -> np.ndarray:
     """The pieces of whole texts."""
     keep = [i for i, t in enumerate(texts) if len(t) >= LENGTH]
@@ -126,6 +139,7 @@ def pieces_of(texts: list[bytes], ids: list[int]) -> np.ndarray:
     first[0] = True
     np.not_equal(least[1:], least[:-1], out=first[1:])
     first[starts] = True
+    inner = twice_near(h, least)
     at = np.flatnonzero(first)
     doc = np.searchsorted(starts, at, side="right") - 1
     # windows that reach over the end of their document are none
@@ -144,6 +158,7 @@ def pieces_of(texts: list[bytes], ids: list[int]) -> np.ndarray:
         s ^= s >> np.uint64(31)
     out = np.empty(len(at), PIECE)
     out["a"], out["s"], out["p"], out["n"] = least[at], s, at - starts[doc], n
+    out["n"][np.isin(out["a"], inner)] |= INNER
     out["d"] = np.array([ids[i] for i in keep], np.int64)[doc]
     out["k"] = np.array([zlib.crc32(texts[i]) for i in keep], np.uint32)[doc]
     return out
@@ -165,6 +180,7 @@ def as_marks(r: np.ndarray) -> np.ndarray:
     out = np.empty(len(r), MARK)
     for f in MARK.names:
         out[f] = r[f]
+    out["n"] &= ~INNER
     return out
 
 
@@ -217,16 +233,18 @@ def compare_pieces(pieces: DataFrame, n_buckets: int, crowd: int) -> DataFrame:
             r = r[np.argsort(r["a"])]
             same = np.zeros(len(r) + 1, bool)
             same[1:-1] = r["a"][1:] == r["a"][:-1]
-            r = r[same[:-1] | same[1:]]
+            r = r[same[:-1] | same[1:] | (r["n"] >= INNER)]
         if len(r):
             firsts, more = combine(r)
             marks.append(more)
             new = np.concatenate([[True], firsts["a"][1:] != firsts["a"][:-1]])
             size = np.diff(np.append(np.flatnonzero(new), len(new)))[np.cumsum(new) - 1]
-            need = np.empty(int((size > 1).sum()), NEED)
+            wanted = (size > 1) | (firsts["n"] >= INNER)
+            need = np.empty(int(wanted.sum()), NEED)
             for f in ("a", "d", "k", "p", "n"):
-                need[f] = firsts[f][size > 1]
-            need["c"] = size[size > 1] > crowd
+                need[f] = firsts[f][wanted]
+            need["n"] &= ~INNER
+            need["c"] = size[wanted] > crowd
             yield from dealt(need, doc_bucket(need["d"], n_buckets), NEEDS)
         found = np.concatenate(marks)
         yield from dealt(found, doc_bucket(found["d"], n_buckets), MARKS)
@@ -413,7 +431,7 @@ def index_shards(strings: DataFrame, n_buckets: int) -> DataFrame:
             part = spread(need["a"] ^ np.uint64(ODD[4]), max(1, int(need["n"].sum(dtype=np.int64)) // SHARD_BYTES))
             for b in range(int(part.max()) + 1):
                 own = order[part[order] == b]
-                if len(own) > 1:
+                if len(own):
                     marks.append(repeated_windows(need[own], b"".join(texts[i] for i in own.tolist())))
         found = np.concatenate(marks)
         yield from dealt(found, doc_bucket(found["d"], n_buckets), MARKS)
@@ -430,7 +448,7 @@ def merged(p: np.ndarray, n: np.ndarray) -> list[tuple[int, int]]:
 
 
 def cut(docs: DataFrame, marks: DataFrame, n_buckets: int) -> DataFrame:
-    """Step 4: doc_id, kept (bytes), n_bytes, spans (start, end) of what was removed."""
+    """Step 4: doc_id, crc (of the text), kept (bytes), n_bytes, spans (start, end) of what was removed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = gathered(batches)
@@ -453,7 +471,7 @@ def cut(docs: DataFrame, marks: DataFrame, n_buckets: int) -> DataFrame:
                 kept.append(text[at:a])
                 at = b
             kept.append(text[at:])
-            out.append((None if d == LAST else d, b"".join(kept), len(text), spans))
+            out.append((None if d == LAST else d, zlib.crc32(text), b"".join(kept), len(text), spans))
             if len(out) == 1000:
                 yield result(out)
                 out = []
@@ -463,11 +481,11 @@ def cut(docs: DataFrame, marks: DataFrame, n_buckets: int) -> DataFrame:
     def result(out: list[tuple]) -> pa.RecordBatch:
         cols = list(zip(*out, strict=True))
         span = pa.struct([("start", pa.int64()), ("end", pa.int64())])
-        spans = pa.array([[{"start": a, "end": b} for a, b in s] for s in cols[3]], pa.list_(span))
-        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.int64()), spans], ["doc_id", "kept", "n_bytes", "spans"])
+        spans = pa.array([[{"start": a, "end": b} for a, b in s] for s in cols[4]], pa.list_(span))
+        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.binary()), pa.array(cols[3], pa.int64()), spans], ["doc_id", "crc", "kept", "n_bytes", "spans"])
 
     both = with_bucket(docs, n_buckets).unionByName(marks)
-    return both.repartition(n_buckets, "bucket").mapInArrow(run, "doc_id long, kept binary, n_bytes long, spans array<struct<start:long,end:long>>")
+    return both.repartition(n_buckets, "bucket").mapInArrow(run, "doc_id long, crc long, kept binary, n_bytes long, spans array<struct<start:long,end:long>>")
 
 
 def _free(spark) -> None:
@@ -476,7 +494,7 @@ def _free(spark) -> None:
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", crowd: int = CROWD, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """doc_id, kept, n_bytes, spans: a row for each row.
+    """doc_id, crc, kept, n_bytes, spans: a row for each row.
 
     A null text is empty.  A null doc_id comes after all others.  Rows that share a doc_id but not their text follow each
     other by the CRC-32 of their text; a row that repeats both is removed whole (if it has LENGTH bytes).
@@ -495,3 +513,27 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def op3_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     found = remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return found.select("doc_id", "n_bytes", (F.col("n_bytes") - F.length("kept")).cast("long").alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str = "n_chars") -> DataFrame:
+    """``docs`` with repeated bytes cut from the texts; a text that loses all its bytes goes with its row.
+
+    Bytes of a character that was cut in two are dropped.  ``length_col``, where there is one, counts the new text's code
+    points.  Rows that share an id are told apart by their text; of rows that repeat both, one stays.
+    """
+    found = remove_repeats(docs, id_col, text_col).groupBy("doc_id", "crc").agg(F.count("*").alias("_n"), F.max(F.struct(F.length("kept").alias("left"), "kept", F.size("spans").alias("cuts"))).alias("b"))
+    found = found.filter("_n > 1 or b.cuts > 0")
+    found = materialize(found.select(F.col("doc_id").alias("_id"), F.col("crc").alias("_crc"), "_n", F.col("b.kept").alias("_kept"), (F.col("b.cuts") > 0).alias("_cut")), "changed")
+    rows = docs.select(F.struct(*docs.columns).alias("row"))  # so that no column of theirs clashes
+    key, said = F.col("row")[id_col].cast("long"), F.col("row")[text_col]
+    on = key.eqNullSafe(F.col("_id")) & (F.crc32(F.coalesce(said.cast("binary"), F.lit(b""))) == F.col("_crc"))
+    out = rows.join(found, on, "left").filter(~F.coalesce(F.col("_cut") & (F.length("_kept") == 0), F.lit(False)))
+    text = F.regexp_replace(F.make_valid_utf8(F.col("_kept").cast("string")), "\ufffd", "")
+    changed = F.col("row").withField(text_col, text)
+    if length_col in docs.columns:
+        changed = changed.withField(length_col, F.length(text).cast(docs.schema[length_col].dataType))
+    out = out.withColumn("row", F.when(F.col("_cut"), changed).otherwise(F.col("row")))
+    once = out.filter(F.coalesce("_n", F.lit(1)) == 1).select("row.*")
+    if found.filter("_n > 1").isEmpty():
+        return once
+    return once.unionByName(out.filter("_n > 1").dropDuplicates(["_id", "_crc"]).select("row.*"))

@@ -30,7 +30,7 @@ def corpus(rng, n=160):
     say = lambda k: " ".join(rng.choices(words, k=k))
     passages = [say(40) for _ in range(4)]
     common = say(30)
-    docs = [None, "", "short", "a" * 1000, "a" * 700, "ab" * 300, say(19), "x" * 99, "x" * 100, "x" * 101]
+    docs = [None, "", "short", "a" * 1000, "a" * 700, "ab" * 300, say(19), "x" * 99, "x" * 100, "x" * 101, say(9) + "ed, " * 300 + say(5) + "ed, " * 90, "ab cd " * 40, say(30) + "xy" + "0123456789" * 11 + "zz" + "abcdefghijklmnopqrstuvwxyz" * 9]
     for _ in range(n):
         kind = rng.random()
         if kind < 0.2 and len(docs) > 15:
