@@ -65,4 +65,4 @@ def queries_of(edges: DataFrame, split: str = "test") -> DataFrame:
     before = W.partitionBy(F.lit(0)).orderBy("is_inverse", "part").rowsBetween(W.unboundedPreceding, -1)
     parts = q.groupBy("is_inverse", "part").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
     rn = F.row_number().over(W.partitionBy("is_inverse", "part").orderBy("eid"))
-    return q.withColumn("rn", rn).join(F.broadcast(parts), ["is_inverse", "part"]).select((F.col("before") + F.col("rn") - 1).cast("long").alias("qid"), "sub", "rel", "obj", "ts")
+    return q.withColumn("rn", rn).join(parts, ["is_inverse", "part"]).select((F.col("before") + F.col("rn") - 1).cast("long").alias("qid"), "sub", "rel", "obj", "ts")
