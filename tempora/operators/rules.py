@@ -19,13 +19,11 @@ def rules_from_walks(walks: DataFrame, n_relations: int) -> DataFrame:
     return walks.select(F.get("rels", F.lit(0)).alias("head_rel"), body.alias("body_rels"), var_constraints(ents).alias("var_constraints")).distinct()
 
 
-def body_instances(edges: DataFrame, bodies: DataFrame) -> DataFrame:
+def body_instances(edges: DataFrame, bodies: DataFrame, longest: int | None = None) -> DataFrame:
     """(body_rels, pattern, e0, en, last, n): distinct instances of each body, counted by both ends, the last time and the
     pattern of equal entities.  ``edges`` has distinct rows.  Bodies are expanded hop by hop, prefix by prefix: what
     two bodies have in common is joined once."""
-    longest = bodies.select(F.max(F.size("body_rels"))).first()[0] or 0
-    if not longest:
-        longest = 1
+    longest = longest or bodies.select(F.max(F.size("body_rels"))).first()[0] or 1
     out = None
     state = None
     for k in range(1, longest + 1):
@@ -47,7 +45,7 @@ def body_instances(edges: DataFrame, bodies: DataFrame) -> DataFrame:
     return out
 
 
-def support(rules: DataFrame, edges: DataFrame) -> DataFrame:
+def support(rules: DataFrame, edges: DataFrame, longest: int | None = None) -> DataFrame:
     """``rules`` with rule_supp, body_supp and conf, exactly.
 
     body_supp counts the distinct instances of the body; a rule with constraints takes those with just its pattern of
@@ -55,7 +53,7 @@ def support(rules: DataFrame, edges: DataFrame) -> DataFrame:
     strictly later time: only the latest such edge matters.  conf is their ratio, half-even at six digits.
     """
     e = edges.select("sub", "rel", "obj", "ts").distinct()
-    found = body_instances(e, rules.select("body_rels"))
+    found = body_instances(e, rules.select("body_rels"), longest)
     patterned = found.groupBy("body_rels", "pattern").agg(F.sum("n").alias("bs"))
     latest = e.groupBy(F.col("sub").alias("e0"), F.col("obj").alias("en"), F.col("rel").alias("head_rel")).agg(F.max("ts").alias("latest"))
     heads = found.join(latest, ["e0", "en"]).filter("latest > last").groupBy("head_rel", "body_rels", "pattern").agg(F.sum("n").alias("rs"))
