@@ -88,7 +88,7 @@ def headers(files: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD)
     vocabulary = sorted({t for _, x in templates for t in terms(x)})
     idf, vectors = weights(*document_frequencies(files, vocabulary), templates)
     telling = telling_terms(idf, vectors, threshold)
-    some = "|".join(re.escape(t) for t in telling)
+    some = r"(?<![\p{L}\p{N}])(?:" + "|".join(re.escape(t) for t in telling) + r")(?![\p{L}\p{N}])"
     lines = files.filter(F.lower("text").rlike(some)).select("key", F.length("text").alias("all"), F.posexplode(F.split("text", "\n")).alias("line", "said"))
     lines = lines.filter(F.lower("said").rlike(some))
     counted = lines.select("key", "all", "line", F.length("said").alias("own"), F.explode(terms_column(F.col("said"))).alias("term")).groupBy("key", "all", "line", "own", "term").agg(F.count("*").alias("tf"))
