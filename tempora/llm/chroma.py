@@ -3,7 +3,7 @@
 A recording (16-bit PCM WAV) becomes frames of twelve pitch classes.  Sixteen box filters over an integral image of the
 frames compare regions of time and pitch; each gives two bits, and the sixteen a 32-bit integer for every frame.
 
-A search joins the integers of the queries with those of all recordings; the histogram of offsets of equal integers says
+A search joins pairs of integers of the queries with those of all recordings; the histogram of offsets of equal integers says
 where two recordings may align, and the share of differing bits over the overlap decides.  Recordings with the same
 fingerprint form a class; classes are searched and matched, never all pairs of their members.
 """
@@ -25,7 +25,7 @@ from .common import materialize, slices
 
 #: Seconds of a frame and between frames, frames that a filter spans, pitch range, and what aligns.
 WINDOW, HOP, SPAN, LOW, HIGH = 0.256, 0.05, 8, 60.0, 1900.0
-VOTES, MAX_ERROR, MIN_OVERLAP = 3, 0.15, 16
+VOTES, LAG, MAX_ERROR, MIN_OVERLAP = 2, 6, 0.15, 16
 
 
 @lru_cache(8)
@@ -127,10 +127,15 @@ def classes(fps: DataFrame) -> DataFrame:
 def search(queries: DataFrame, reps: DataFrame, votes: int = VOTES, max_error: float = MAX_ERROR, min_overlap: int = MIN_OVERLAP) -> DataFrame:
     """(query, other, offset, overlap, error): alignments of query classes with all other classes (columns class_id, fp).
 
-    An integer is looked up once a class, at its first place there, which holds the rows that a long tone gives.
+    Looked up are pairs of integers LAG frames apart: one integer is shared by chance too often in a large collection.
+    A pair is looked up once a class, at its first place there, which bounds the rows that a long tone gives.
     """
-    firsts = lambda df, name, at: df.select(F.col("class_id").alias(name), F.posexplode("fp").alias(at, "v")).groupBy(name, "v").agg(F.min(at).alias(at))
-    hits = firsts(queries, "query", "qi").join(firsts(reps, "other", "ri"), "v").filter("query <> other")
+
+    def firsts(df: DataFrame, name: str, at: str) -> DataFrame:
+        pairs = F.transform(F.sequence(F.lit(0), F.size("fp") - 1 - LAG), lambda i: F.struct(F.get("fp", i).alias("v"), F.get("fp", i + LAG).alias("w"), i.alias(at)))
+        return df.filter(F.size("fp") > LAG).select(F.col("class_id").alias(name), F.inline(pairs)).groupBy(name, "v", "w").agg(F.min(at).alias(at))
+
+    hits = firsts(queries, "query", "qi").join(firsts(reps, "other", "ri"), ["v", "w"]).filter("query <> other")
     histogram = hits.groupBy("query", "other", (F.col("ri") - F.col("qi")).alias("offset")).agg(F.count("*").alias("votes"))
     top = histogram.groupBy("query", "other").agg(F.max(F.struct("votes", (-F.abs("offset")).alias("near"), "offset")).alias("t")).filter(F.col("t.votes") >= votes)
     pairs = top.select("query", "other", F.col("t.offset").alias("offset"))
