@@ -13,7 +13,7 @@ from tempora.functions.scores import combined, noisy_or
 from tempora.operators.graph import in_window
 
 
-def _instances(contexts: DataFrame, rules: DataFrame, edges: DataFrame, window: int, tied: bool) -> DataFrame:
+def _instances(contexts: DataFrame, rules: DataFrame, edges: DataFrame, window: int, tied: bool, longest: int | None = None) -> DataFrame:
     """(q_sub, q_ts, body_rels, ents, cand, start, n) of rules with (``tied``) or without constraints.
 
     Only the latest start matters to a score, and later hops depend on the node and time reached (and, for constraints, on
@@ -21,7 +21,7 @@ def _instances(contexts: DataFrame, rules: DataFrame, edges: DataFrame, window:
     """
     keys = ["q_sub", "q_ts", "prefix", *(["ents"] if tied else []), "node", "last"]
     rules = rules.filter(F.size("var_constraints") > 0 if tied else F.size("var_constraints") == 0)
-    longest = rules.select(F.max(F.size("body_rels"))).first()[0] or 0
+    longest = longest or rules.select(F.max(F.size("body_rels"))).first()[0] or 0
     wanted = contexts.join(rules.select("head_rel", "body_rels").distinct(), "head_rel").select("q_sub", "q_ts", "body_rels").distinct()
     e = edges.select(F.col("sub").alias("s"), F.col("rel").alias("r"), F.col("obj").alias("o"), F.col("ts").alias("t"), F.col("split").alias("sp"))
     out = state = None
@@ -45,15 +45,16 @@ def _instances(contexts: DataFrame, rules: DataFrame, edges: DataFrame, window:
     return out.groupBy("q_sub", "q_ts", "body_rels", "ents", "cand").agg(F.max("start").alias("start"), F.sum("n").alias("n"))
 
 
-def apply_rules(queries: DataFrame, rules: DataFrame, edges: DataFrame, window: int = 0) -> DataFrame:
+def apply_rules(queries: DataFrame, rules: DataFrame, edges: DataFrame, window: int = 0, longest: int | None = None) -> DataFrame:
     """(qid, q_ts, head_rel, rule_rank, cand, start, n_walks, rule_supp, body_supp): what each rule with the query's
-    relation as head gives, the latest start of its walks and their number.  Rules have rule_rank (see rank_rules)."""
+    relation as head gives, the latest start of its walks and their number.  Rules have rule_rank (see rank_rules) and
+    ``longest`` relations at most (asked of them if not given)."""
     q = queries.select("qid", F.col("sub").alias("q_sub"), F.col("rel").alias("head_rel"), F.col("ts").alias("q_ts"))
     contexts = q.select("q_sub", "q_ts", "head_rel").distinct()
     asked = q.join(rules, "head_rel")
     on = ["q_sub", "q_ts", "body_rels"]
-    free = asked.filter(F.size("var_constraints") == 0).join(_instances(contexts, rules, edges, window, False), on)
-    tied = asked.filter(F.size("var_constraints") > 0).join(_instances(contexts, rules, edges, window, True), on).filter(holds(F.col("var_constraints"), F.col("ents")))
+    free = asked.filter(F.size("var_constraints") == 0).join(_instances(contexts, rules, edges, window, False, longest), on)
+    tied = asked.filter(F.size("var_constraints") > 0).join(_instances(contexts, rules, edges, window, True, longest), on).filter(holds(F.col("var_constraints"), F.col("ents")))
     both = free.unionByName(tied)
     return both.groupBy("qid", "q_ts", "head_rel", "rule_rank", "cand", "rule_supp", "body_supp").agg(F.max("start").alias("start"), F.sum("n").alias("n_walks"))
 

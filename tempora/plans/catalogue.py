@@ -112,7 +112,7 @@ def flat(rules: DataFrame, *more: str) -> DataFrame:
 
 def matched(spark, sf_dir: str) -> DataFrame:
     g = events_graph(spark, sf_dir)
-    return A.apply_rules(G.queries_of(g), usable(spark, sf_dir), g, 0)
+    return A.apply_rules(G.queries_of(g), usable(spark, sf_dir), g, 0, longest=1)
 
 
 def scored(spark, sf_dir: str) -> DataFrame:
@@ -424,7 +424,7 @@ def top2(spark, sf_dir):
 def matched2(spark, sf_dir, tied: bool):
     g = events_graph(spark, sf_dir)
     rules = top2(spark, sf_dir).filter(F.size("var_constraints") > 0 if tied else F.size("var_constraints") == 0)
-    return A.apply_rules(G.queries_of(g), rules, g, W2).select("qid", F.col("rule_rank").cast("long").alias("rule_rank"), "cand", "start", "n_walks")
+    return A.apply_rules(G.queries_of(g), rules, g, W2, longest=2).select("qid", F.col("rule_rank").cast("long").alias("rule_rank"), "cand", "start", "n_walks")
 
 
 @query(APPLY2 + " SELECT qid, rule_rank::BIGINT AS rule_rank, x2 AS cand, max(t0) AS start, count(*) AS n_walks FROM m2 WHERE constraints = '[]' GROUP BY ALL")
