@@ -15,7 +15,8 @@ earlier start).  Whole texts are judged as they came in.
    Anchors with more than ``CROWD`` distinct pieces are split into single windows first, dealt by the window's own hash.
 4. The marked runs of each document are merged and cut out.
 
-Shards are as many as there are SHARD_BYTES of text; no step holds more than its shard.
+Shards are as many as there are SHARD_BYTES of text; no step holds more than its shard, and an index is built over about
+INDEX_BYTES of it at a time (all pieces of an anchor together).
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ from pyspark.sql import functions as F
 from .common import materialize, slices
 
 LENGTH, K, CROWD, SHARD_BYTES, LONGEST = 100, 32, 4096, 4 << 20, 128
+#: Bytes of strings under one index, and that a task holds before it sends them on.
+INDEX_BYTES, HELD_BYTES = 1 << 20, 8 << 20
 _rng = np.random.default_rng(20240229)
 TABLE = _rng.integers(0, 1 << 64, 256, np.uint64)
 ODD = [int(x) | 1 for x in _rng.integers(0, 1 << 64, 8, np.uint64)]
@@ -268,9 +271,29 @@ def fetch_bytes(docs: DataFrame, needs: DataFrame, n_buckets: int) -> DataFrame:
         texts = {(d, zlib.crc32(t)): t for d, t in got[TEXT]}
         out: list[tuple] = []
         windows: dict[bytes, tuple] = {}
-        marks = []
+        marks: list[tuple] = []
+        held = 0
+
+        def send() -> Iterator[pa.RecordBatch]:
+            out.extend(windows.values())
+            rec = np.array([(*x[:5], 0) for x in out], NEED)
+            to = spread(rec["a"], n_buckets)
+            order = np.argsort(to, kind="stable")
+            cuts = np.flatnonzero(np.diff(to[order])) + 1
+            groups = np.split(order, cuts)
+            yield row([int(to[g[0]]) for g in groups], STRINGS, [strings_blob(rec[g], [out[i][5] for i in g.tolist()]) for g in groups])
+            more = np.array(marks, MARK)
+            yield from dealt(more, doc_bucket(more["d"], n_buckets), MARKS)
+            out.clear()
+            windows.clear()  # a window met again is sent again: the index ties it to the first
+            marks.clear()
+
         for a, d, k, p, n, c in need.tolist():
+            if held > HELD_BYTES:
+                yield from send()
+                held = 0
             s = texts[d, k][p : p + n]
+            held += n if not c else LENGTH * (n - LENGTH + 1)
             if not c:
                 out.append((a, d, k, p, n, s))
                 continue
@@ -280,15 +303,7 @@ def fetch_bytes(docs: DataFrame, needs: DataFrame, n_buckets: int) -> DataFrame:
                     marks.append((d, k, p + i, LENGTH))
                 else:
                     windows[w] = (int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little"), d, k, p + i, LENGTH, w)
-        out += windows.values()
-        rec = np.array([(*x[:5], 0) for x in out], NEED)
-        to = spread(rec["a"], n_buckets)
-        order = np.argsort(to, kind="stable")
-        cuts = np.flatnonzero(np.diff(to[order])) + 1
-        groups = np.split(order, cuts)
-        yield row([int(to[g[0]]) for g in groups], STRINGS, [strings_blob(rec[g], [out[i][5] for i in g.tolist()]) for g in groups])
-        more = np.array(marks, MARK)
-        yield from dealt(more, doc_bucket(more["d"], n_buckets), MARKS)
+        yield from send()
 
     both = with_bucket(docs, n_buckets).unionByName(needs)
     return both.repartition(n_buckets, "bucket").mapInArrow(run, SCHEMA)
@@ -416,23 +431,25 @@ def index_shards(strings: DataFrame, n_buckets: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = gathered(batches)
         marks = [unpack([t for _, t in got[MARKS]], MARK)]
-        needs, texts = [], []
+        needs, strings = [], []
         for _, blob in got.pop(STRINGS):
             n = int.from_bytes(blob[:8], "little")
             end = 8 + n * NEED.itemsize
             rec = unpack([blob[8:end]], NEED)
             needs.append(rec)
-            ends = end + np.cumsum(rec["n"], dtype=np.int64)
-            texts += [blob[j - m : j] for j, m in zip(ends.tolist(), rec["n"].tolist(), strict=True)]
+            strings.append(blob[end:])
         if needs:
-            need = np.concatenate(needs)
-            # anchors apart, so that an index holds about a shard's bytes; within each, in document order
+            need, pool = np.concatenate(needs), b"".join(strings)
+            strings.clear()
+            sizes = need["n"].astype(np.int64)
+            begins = np.cumsum(sizes) - sizes
+            # anchors apart, so that an index holds about INDEX_BYTES; within each, in document order
             order = np.lexsort((need["p"], need["k"], need["d"]))
-            part = spread(need["a"] ^ np.uint64(ODD[4]), max(1, int(need["n"].sum(dtype=np.int64)) // SHARD_BYTES))
+            part = spread(need["a"] ^ np.uint64(ODD[4]), max(1, len(pool) // INDEX_BYTES))
             for b in range(int(part.max()) + 1):
                 own = order[part[order] == b]
                 if len(own):
-                    marks.append(repeated_windows(need[own], b"".join(texts[i] for i in own.tolist())))
+                    marks.append(repeated_windows(need[own], b"".join(pool[i : i + n] for i, n in zip(begins[own].tolist(), sizes[own].tolist(), strict=True))))
         found = np.concatenate(marks)
         yield from dealt(found, doc_bucket(found["d"], n_buckets), MARKS)
 

@@ -63,6 +63,15 @@ def test_equals_brute_force(spark):
         assert {d: (got[d], want[d]) for d in want if got[d] != want[d]} == {}
 
 
+def test_small_holds_give_the_same(spark, monkeypatch):
+    monkeypatch.setattr(repeats, "HELD_BYTES", 500)
+    monkeypatch.setattr(repeats, "INDEX_BYTES", 3000)
+    docs = corpus(random.Random(9), 60)
+    want = dict(zip([d for d, _ in docs], brute(docs), strict=True))
+    got = query(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), crowd=2)
+    assert {d: (got[d], want[d]) for d in want if got[d] != want[d]} == {}
+
+
 def test_index_is_the_suffix_array_in_runs():
     rng = random.Random(2)
     base = bytes(rng.choices(b"ab", k=150))
