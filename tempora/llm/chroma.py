@@ -1,22 +1,22 @@
-"""Chroma audio fingerprints: packed integers of filtered pitch-class frames, aligned by offset histograms.
+"""Chroma audio fingerprints: packed integers of filtered pitch-class frames, aligned at every offset.
 
 A recording (16-bit PCM WAV) becomes frames of twelve pitch classes.  Sixteen box filters over an integral image of the
 frames compare regions of time and pitch; each gives two bits, and the sixteen a 32-bit integer for every frame.
 
-A search joins pairs of integers of the queries with those of all recordings; the histogram of offsets of equal integers says
-where two recordings may align, and the share of differing bits over the overlap decides.  Recordings with the same
-fingerprint form a class; classes are searched and matched, never all pairs of their members.
+A search correlates the bits of the queries with those of all recordings at every offset; the share of differing bits over
+the overlap decides.  Recordings with the same fingerprint form a class; classes are searched and matched, never all
+pairs of their members.
 """
 
 from __future__ import annotations
 
 import io
+import math
 import wave
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,7 +25,7 @@ from .common import materialize, slices
 
 #: Seconds of a frame and between frames, frames that a filter spans, pitch range, and what aligns.
 WINDOW, HOP, SPAN, LOW, HIGH = 0.256, 0.05, 8, 60.0, 1900.0
-VOTES, LAG, MAX_ERROR, MIN_OVERLAP = 2, 6, 0.15, 16
+MAX_ERROR, MIN_OVERLAP = 0.15, 16
 
 
 @lru_cache(8)
@@ -124,30 +124,80 @@ def classes(fps: DataFrame) -> DataFrame:
     return fps.filter(F.size("fp") > 0).groupBy("fp").agg(F.min("id").alias("class_id")).select("class_id", "fp")
 
 
-def search(queries: DataFrame, reps: DataFrame, votes: int = VOTES, max_error: float = MAX_ERROR, min_overlap: int = MIN_OVERLAP) -> DataFrame:
-    """(query, other, offset, overlap, error): alignments of query classes with all other classes (columns class_id, fp).
+def blocks(reps: DataFrame, name: str, ints: int, min_overlap: int) -> DataFrame:
+    """Classes by about ``ints`` integers a row: ``name`` array<long>, ``name``_fp array<array<long>>.
 
-    Looked up are pairs of integers LAG frames apart: one integer is shared by chance too often in a large collection.
-    A pair is looked up once a class, at its first place there, which bounds the rows that a long tone gives.
+    A row has classes of one length up to the next power of two.  Those shorter than any overlap align with nothing, and
+    a class of rows without ids only is no other of any.
     """
+    long_enough = reps.filter((F.size("fp") >= min_overlap) & F.col("class_id").isNotNull())
+    n = max(1, math.ceil((long_enough.agg(F.sum(F.size("fp"))).first()[0] or 0) / ints))
+    by = long_enough.groupBy(F.ceil(F.log2(F.size("fp"))).alias("pow"), F.pmod(F.xxhash64("class_id"), F.lit(n)).alias("block"))
+    packed = by.agg(F.collect_list(F.struct("class_id", "fp")).alias("all")).select(F.col("all.class_id").alias(name), F.col("all.fp").alias(f"{name}_fp"))
+    return materialize(packed, name).repartition(math.ceil(n / 4))
 
-    def firsts(df: DataFrame, name: str, at: str) -> DataFrame:
-        pairs = F.transform(F.sequence(F.lit(0), F.size("fp") - 1 - LAG), lambda i: F.struct(F.get("fp", i).alias("v"), F.get("fp", i + LAG).alias("w"), i.alias(at)))
-        return df.filter(F.size("fp") > LAG).select(F.col("class_id").alias(name), F.inline(pairs)).groupBy(name, "v", "w").agg(F.min(at).alias(at))
 
-    hits = firsts(queries, "query", "qi").join(firsts(reps, "other", "ri"), ["v", "w"]).filter("query <> other")
-    histogram = hits.groupBy("query", "other", (F.col("ri") - F.col("qi")).alias("offset")).agg(F.count("*").alias("votes"))
-    top = histogram.groupBy("query", "other").agg(F.max(F.struct("votes", (-F.abs("offset")).alias("near"), "offset")).alias("t")).filter(F.col("t.votes") >= votes)
-    pairs = top.select("query", "other", F.col("t.offset").alias("offset"))
-    pairs = pairs.join(queries.select(F.col("class_id").alias("query"), F.col("fp").alias("qf")), "query").join(reps.select(F.col("class_id").alias("other"), F.col("fp").alias("of")), "other")
+def spectra(lengths: np.ndarray, ints: np.ndarray, n: int) -> np.ndarray:
+    """(frequencies, recordings, 32): of each bit as +1 or -1 in time, zero beyond the end; in single precision while
+    products of that length still round to the right integer."""
+    x = np.zeros((len(lengths), n, 32), np.float32 if n <= 1 << 13 else np.float64)
+    at = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    x[np.repeat(np.arange(len(lengths)), lengths), at] = 1 - 2.0 * np.unpackbits(ints.astype("<u4").view(np.uint8).reshape(-1, 4), axis=1)
+    return np.ascontiguousarray(np.fft.rfft(x, axis=1).transpose(1, 0, 2))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            got = [bit_errors(np.asarray(a), np.asarray(b), o) for a, b, o in zip(pdf.qf, pdf["of"], pdf.offset, strict=True)]
-            out = pdf[["query", "other", "offset"]].assign(overlap=[g[0] for g in got], error=[g[1] for g in got])
-            yield out[(out.overlap >= min_overlap) & (out.error <= max_error)]
 
-    return pairs.select("query", "other", "offset", "qf", "of").mapInPandas(run, "query long, other long, offset int, overlap int, error double")
+def best_offsets(ql: np.ndarray, q: np.ndarray, rl: np.ndarray, r: np.ndarray, max_error: float, min_overlap: int) -> Iterator[tuple[int, int, int, int, float]]:
+    """(query, other, offset, overlap, error) by number, for all of one block with all of another that align: the offset
+    of the least error, then of the longest overlap, then the nearest.  Lengths and joined integers of both blocks.
+
+    The correlation of the bits at an offset is what agrees less what differs; a product of spectra has all offsets.
+    """
+    n = 2 << int(max(ql.max(), rl.max()) - 1).bit_length()
+    offsets = (np.arange(n) + n // 2) % n - n // 2
+    few = max(1, (1 << 16) // n)
+    qs, rs = np.split(np.arange(len(ql)), range(few // 4 or 1, len(ql), few // 4 or 1)), np.split(np.arange(len(rl)), range(few, len(rl), few))
+    q_at, r_at = np.cumsum(ql) - ql, np.cumsum(rl) - rl
+    part = lambda i, lengths, at, x: spectra(lengths[i], x[at[i[0]] : at[i[-1]] + lengths[i[-1]]], n)
+    q_parts = [part(i, ql, q_at, q) for i in qs] if n <= 1 << 13 else None
+    for j in rs:
+        other = part(j, rl, r_at, r).transpose(0, 2, 1)
+        for k, i in enumerate(qs):
+            own = q_parts[k] if q_parts else part(i, ql, q_at, q)
+            agree = np.fft.irfft(np.ascontiguousarray(np.matmul(own.conj(), other).transpose(1, 2, 0)), n, axis=2)
+            a, b = (v if (v != v[0]).any() else v[:1] for v in (ql[i], rl[j]))  # equal lengths: one row for all
+            overlap = np.minimum(a[:, None, None], b[None, :, None] - offsets) - np.maximum(0, -offsets)
+            least = np.where(overlap >= min_overlap, 32 * overlap * (1 - 2 * max_error) - 1, np.inf).astype(agree.dtype)
+            x, y, z = np.nonzero(agree >= least)
+            if not len(x):
+                continue
+            o = offsets[z]
+            over = np.minimum(ql[i][x], rl[j][y] - o) - np.maximum(0, -o)
+            error = (32 * over - np.rint(agree[x, y, z])) / 2 / (32 * over)
+            ok = error <= max_error
+            x, y, o, over, error = x[ok], y[ok], o[ok], over[ok], error[ok]
+            order = np.lexsort((o, np.abs(o), -over, error, y, x))
+            first = order[np.r_[True, (np.diff(x[order]) != 0) | (np.diff(y[order]) != 0)][: len(order)]]
+            yield from zip(i[x[first]].tolist(), j[y[first]].tolist(), o[first].tolist(), over[first].tolist(), error[first].tolist(), strict=True)
+
+
+def search(queries: DataFrame, reps: DataFrame, max_error: float = MAX_ERROR, min_overlap: int = MIN_OVERLAP) -> DataFrame:
+    """(query, other, offset, overlap, error): the best alignment of query classes with all other classes that align
+    (columns class_id, fp).
+
+    Every offset of every two is tried: under an error of 15% in each integer no key of few bits is sure to be equal, and
+    keys that would be are so common that they lead to all pairs.
+    """
+    pairs = blocks(queries, "query", 1 << 14, min_overlap).crossJoin(blocks(reps, "other", 1 << 16, min_overlap))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                (qi, qf), (ri, rf) = ((batch.column(c)[row].values.to_numpy(), batch.column(c + 1)[row].values) for c in (0, 2))
+                ints = [(np.diff(f.offsets.to_numpy()).astype(np.int64), f.flatten().to_numpy()) for f in (qf, rf)]
+                got = [(qi[i], ri[j], o, n, e) for i, j, o, n, e in best_offsets(*ints[0], *ints[1], max_error, min_overlap) if qi[i] != ri[j]]
+                yield pa.RecordBatch.from_arrays([pa.array([g[c] for g in got], t) for c, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.float64()))], ["query", "other", "offset", "overlap", "error"])
+
+    return pairs.select("query", "query_fp", "other", "other_fp").mapInArrow(run, "query long, other long, offset int, overlap int, error double")
 
 
 def identify(recordings: DataFrame, id_col: str = "id", audio_col: str = "audio", every: int = 50) -> DataFrame:

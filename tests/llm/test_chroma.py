@@ -28,5 +28,35 @@ def test_alignment_recall_and_exact_classes(spark):
     assert len(hit) >= 0.9 * len(truth)
 
 
+def shifted(v, by, noise, rng):
+    """The same notes, cut by some samples and with noise."""
+    blob = chroma.render(v)
+    x = np.frombuffer(blob[44:], "<i2")[by:]
+    x = np.clip(x + rng.normal(0, noise, len(x)), -32000, 32000).astype("<i2").tobytes()
+    return blob[:40] + np.uint32(len(x)).tobytes() + x
+
+
+def test_links_of_sub_hop_shifts_are_those_of_brute_force(spark):
+    rng = np.random.default_rng(8)
+    rows = []
+    for i in range(15):
+        v = rng.normal(0, 0.25, 64)
+        rows += [(50 * i, chroma.render(v)), (50 * i + 1, shifted(v, 100, 400 * (i % 3), rng))]
+    df = spark.createDataFrame(rows, "id long, audio binary")
+    fp = {r.id: np.array(r.fp) for r in chroma.fingerprints(df).collect()}
+    want = {}
+    for q in (q for q in fp if q % 50 == 0):
+        for o in (o for o in fp if o != q):
+            tried = [chroma.bit_errors(fp[q], fp[o], k) for k in range(-len(fp[q]), len(fp[o]))]
+            if good := [e for n, e in tried if n >= 16 and e <= 0.15]:
+                want[q, o] = min(good)
+    assert sum((50 * i, 50 * i + 1) in want for i in range(15)) > 10
+    reps = chroma.classes(chroma.fingerprints(df))
+    got = {(r.query, r.other): r for r in chroma.search(reps.filter("class_id % 50 = 0"), reps).collect()}
+    assert set(got) == set(want)
+    for (q, o), r in got.items():
+        assert abs(r.error - want[q, o]) < 1e-9 and chroma.bit_errors(fp[q], fp[o], r.offset) == (r.overlap, r.error)
+
+
 def test_empty(spark):
     assert chroma.identify(spark.createDataFrame([], "id long, audio binary")).count() == 0
