@@ -58,5 +58,18 @@ def test_links_of_sub_hop_shifts_are_those_of_brute_force(spark):
         assert abs(r.error - want[q, o]) < 1e-9 and chroma.bit_errors(fp[q], fp[o], r.offset) == (r.overlap, r.error)
 
 
+def test_second_best_offsets_are_tried(spark):
+    """More equal integers at an offset that fails than at the one that passes."""
+    rng = np.random.default_rng(2)
+    bits = lambda n: rng.integers(0, 1 << 32, n, dtype=np.uint32)
+    jingle, tail = bits(30), bits(40)
+    flips = (np.uint32(1) << rng.integers(0, 32, 40).astype(np.uint32)) | (np.uint32(1) << rng.integers(0, 32, 40).astype(np.uint32))
+    flips[:14] = 0
+    a, b = np.r_[jingle, bits(200), tail], np.r_[tail ^ flips, bits(90), jingle, bits(150)]
+    rows = spark.createDataFrame([(1, a.astype(int).tolist()), (2, b.astype(int).tolist()), (3, bits(300).astype(int).tolist())], "class_id long, fp array<long>")
+    got = chroma.search(rows.filter("class_id = 1"), rows).collect()
+    assert [(r.other, r.offset, r.overlap) for r in got] == [(2, -230, 40)]
+
+
 def test_empty(spark):
     assert chroma.identify(spark.createDataFrame([], "id long, audio binary")).count() == 0
