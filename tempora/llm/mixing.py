@@ -2,7 +2,8 @@
 
 1. Every document gets a place in its source's shuffled stream of words; equal-token blocks cut that stream.
 2. A Weyl sequence (multiples of the golden ratio modulo 2**32) is mapped through the cumulative targets, which
-   gives each slot its source; the slot's rank within its source names the block it takes, wrapping at the end.
+   gives each slot its source; the slot's rank within its source names the block it takes, wrapping at the end.  A
+   source that its slots leave short of its target takes its next blocks too.
 3. Blocks are joined to the slots that take them; what a document gives is the difference of the taken words
    before its two ends.
 
@@ -78,8 +79,14 @@ def schedule(src: DataFrame, n_slots: int = 1 << 18) -> DataFrame:
 def block_takes(src: DataFrame, n_slots: int = 1 << 18) -> DataFrame:
     """A row a block of a source: source, blk, n_full (slots that take it whole), part (words of one more, cut at the
     target) and before (words that the mix takes of all earlier blocks)."""
-    picked = null_safe_join(schedule(src, n_slots), src, ["source"]).filter("source_size > 0")
+    scheduled = schedule(src, n_slots).select("source", "rank")
     n_blocks = F.ceil(F.col("source_size") / F.col("block"))
+    # blocks of a whole number of turns, and of the rest, up to the target
+    given = null_safe_join(src.filter("source_size > 0"), scheduled.groupBy("source").agg(F.count("*").alias("given")), ["source"], "left").withColumn("given", F.coalesce("given", F.lit(0)))
+    turns = F.floor(F.floor("target") / F.col("source_size"))
+    wanted = (turns * n_blocks + F.ceil((F.floor("target") - turns * F.col("source_size")) / F.col("block"))).cast("long")
+    rest = given.withColumn("wanted", wanted).filter("wanted > given").select("source", F.explode(F.sequence(F.col("given"), F.col("wanted") - 1)).alias("rank"))
+    picked = null_safe_join(scheduled.unionByName(rest), src, ["source"]).filter("source_size > 0")
     picked = picked.withColumn("blk", F.col("rank") % n_blocks).withColumn("turn", F.floor(F.col("rank") / n_blocks))
     whole = F.least(F.col("block"), F.col("source_size") - F.col("blk") * F.col("block"))
     room = F.floor("target") - (F.col("turn") * F.col("source_size") + F.col("blk") * F.col("block"))
