@@ -17,10 +17,10 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, slices
+from .common import materialize, null_safe_join, slices
 from .graph import components
 
 TAU, M, SHINGLE, BUCKET = 2, 7, 3, 32
@@ -60,16 +60,20 @@ def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
     return int.from_bytes(np.packbits(2 * bits > n).tobytes(), "big", signed=True)
 
 
+def text_key(text: Column) -> Column:
+    return F.md5(F.coalesce(text, F.lit("")))
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp): the signed 64-bit fingerprint of every row."""
+    """(doc_id, key, fp): the text's key and the signed 64-bit fingerprint of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1):
             fps = [fingerprint(t, shingle) for t in batch.column(1).cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(fps, pa.int64())], ["doc_id", "key", "fp"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, fp long")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), text_key(F.col(text_col)).alias("key"))
+    return rows.mapInArrow(run, "doc_id long, key string, fp long")
 
 
 def links(nodes: DataFrame, bucket: int = BUCKET) -> DataFrame:
@@ -98,26 +102,37 @@ def links(nodes: DataFrame, bucket: int = BUCKET) -> DataFrame:
     return pairs.unionByName(stars).distinct()
 
 
+def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, bucket: int = BUCKET) -> DataFrame:
+    """(doc_id, key, fp, component, component_id): component is the least fingerprint reachable over links."""
+    fps = materialize(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
+    nodes = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes")
+    comp = components(links(nodes, bucket)).select(F.col("node").alias("fp"), "component")
+    named = nodes.join(comp, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    least = named.groupBy("component").agg(F.min("first").alias("component_id"))
+    named = named.join(least, "component").select("fp", "component", "component_id")
+    return fps.join(named, "fp")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, bucket: int = BUCKET) -> DataFrame:
     """(doc_id, fp, component_id): component_id is the smallest doc_id reachable over links, its own included.
 
     A null text has no words; texts without words share fingerprint zero and are linked like any others.  Rows that
     repeat are linked to each other.  A null doc_id never is a component_id unless its whole component has none.
     """
-    fps = materialize(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
-    nodes = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes")
-    comp = components(links(nodes, bucket)).select(F.col("node").alias("fp"), "component")
-    named = nodes.join(comp, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    least = named.groupBy("component").agg(F.min("first").alias("component_id"))
-    named = named.join(least, "component").select("fp", "component_id")
-    return fps.join(named, "fp").select("doc_id", "fp", "component_id")
+    return grouped(docs, id_col, text_col, shingle, bucket).select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each group: that with the smallest id.  Columns as in ``docs``."""
-    kept = near_duplicates(docs, id_col, text_col).filter("doc_id <=> component_id").select(F.col("doc_id").alias(id_col)).distinct()
-    on = docs[id_col].eqNullSafe(kept[id_col])
-    return docs.join(kept, on, "left_semi").dropDuplicates([id_col])
+    """One document of each group: that with the smallest id (null last), then the smallest key of its text.  Columns as
+    in ``docs``.
+
+    Rows of different groups stay also where they share an id or have none.
+    """
+    members = grouped(docs, id_col, text_col).groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("m"))
+    kept = members.select(F.col("m.doc_id").alias("id"), F.col("m.key").alias("key"))  # equal texts are of one group
+    rows = docs.select(F.struct(*docs.columns).alias("row"))  # so that no column of theirs clashes
+    rows = rows.select("row", F.col("row")[id_col].cast("long").alias("id"), text_key(F.col("row")[text_col]).alias("key"))
+    return null_safe_join(rows, kept, ["id", "key"], "left_semi").dropDuplicates(["id", "key"]).select("row.*")
 
 
 def op8_simhash(spark, sf_dir: str) -> DataFrame:

@@ -84,3 +84,10 @@ def test_empty_and_odd_columns(spark):
     got = simhash.near_duplicates(odd).collect()
     assert len(got) == 3 and {r.component_id for r in got} == {1}
     assert simhash.keep_one(odd).select("doc_id", F.col("fp")).collect() == [(1, 5)]
+
+
+def test_keep_one_keeps_different_texts_of_null_and_shared_ids(spark):
+    rng = random.Random(9)
+    a, b, c, d = (" ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(60)) for _ in range(4))
+    docs = spark.createDataFrame([(None, a), (None, b), (None, a), (5, c), (5, d), (6, c), (None, d)], "doc_id long, text string")
+    assert sorted((r.doc_id or 0, r.text) for r in simhash.keep_one(docs).collect()) == sorted([(0, a), (0, b), (5, c), (5, d)])
