@@ -4,7 +4,8 @@ Block elements and text runs of a page are the nodes of a tree; each is content
 from its tag, its class and id words, and its text; a parent and its child have a pairwise one.  Messages go up and
 down once (sum-product), which gives each node's exact marginal; text runs above one half are the page's text.
 
-Potentials are trained from labelled pages (pairs of html and its main text); ``labelled_pages`` makes a set of them.
+Potentials are trained from labelled pages (pairs of html and its main text); ``labelled_pages`` makes a set of them:
+pages with and without a named main part, laid out by boxes, tables or line breaks.
 """
 
 from __future__ import annotations
@@ -24,16 +25,22 @@ from pyspark.sql import functions as F
 
 from .common import slices
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
-MARK = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-#: Elements whose text is not markup and never shown.
-RAW = frozenset("script style template noscript iframe svg math object title xmp noembed noframes".split())
-BLOCK = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section select summary table tbody td textarea tfoot th thead tr ul".split())
+#: An attribute of a start tag or the tag's end.  Quantifiers are possessive: nothing is scanned twice.
+ATTRIBUTE = re.compile(r"[\s/]*+(?:(>)|([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:\"([^\"]*+)(\"|\Z)|'([^']*+)('|\Z)|([^\s>]*+)))?)")
+NAME = re.compile(r"[a-zA-Z][^\s/>]*+")
+MARKED = frozenset(("class", "id", "role"))
+LETTERS = re.compile(r"[a-z]+")
+#: Elements whose content is text up to their end tag, and never shown here.
+RAW = frozenset("script style noscript iframe title textarea xmp noembed noframes annotation".split())
+#: Elements with markup inside that is not shown.  Only svg can be closed by the slash of its own start tag.
+HIDDEN = frozenset("template object svg video audio canvas".split())
+BLOCK = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section select summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: A start tag ends an open element of these kinds, up to one of the bounds.
-CLOSES = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"}), "body": ({"head"}, {"html"})}
+CLOSES = {"li": (("li",), ("ul", "ol", "menu", "dir")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)), "tr": (("tr",), ("table",)), "td": (("td", "th"), ("tr", "table")), "th": (("td", "th"), ("tr", "table")), "option": (("option",), ("select",)), "body": (("head",), ("html",))}
 #: Inside p, only these do not end it.
-INLINE_BLOCK = frozenset("button select option optgroup textarea".split())
+INLINE_BLOCK = frozenset("button select option optgroup".split())
+_ENDS = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.I) for tag in RAW}
 
 
 @dataclass
@@ -47,79 +54,142 @@ class Node:
     links: int = 0
 
 
-def parse(page: str) -> list[Node]:
-    """Block elements and text runs in page order, parents before children; node 0 is the page."""
-    nodes, stack = [Node("#page", -1)], [0]
-    chunks: list[str] = []
-    in_link = at = linked = 0
-
-    def flush() -> None:
-        nonlocal linked
-        if chunks:
-            text = " ".join("".join(chunks).split())
-            chunks.clear()
+def attributes(page: str, at: int) -> tuple[int, list[str], bool]:
+    """(where a tag ends, its class, id and role words, whether a slash closes it) from behind its name on; a tag that
+    the page's end cuts off ends there."""
+    marks: list[str] = []
+    while m := ATTRIBUTE.match(page, at):
+        if m[1]:
+            return m.end(), marks, page[m.end() - 2] == "/"
+        at = m.end()
+        if m[2] and m[2].lower() in MARKED:
+            marks += [f"{m[2].lower()}={w}" for w in LETTERS.findall((m[3] or m[5] or m[7] or "").lower())]
+    return len(page), marks, False
+
+
+class Tree:
+    """Open elements and the nodes made so far.  Where each kind is open is kept, so that no tag searches the stack."""
+
+    def __init__(self) -> None:
+        self.nodes, self.stack = [Node("#page", -1)], [0]
+        self.open: dict[str, list[int]] = {}
+        self.chunks: list[str] = []
+        self.linked = 0
+
+    def flush(self) -> None:
+        if self.chunks:
+            text = " ".join("".join(self.chunks).split())
+            self.chunks.clear()
             if text:
-                nodes.append(Node("#", stack[-1], text=text, linked=min(linked, len(text)), chars=len(text), links=min(linked, len(text))))
-        linked = 0
+                n = min(self.linked, len(text))
+                self.nodes.append(Node("#", self.stack[-1], text=text, linked=n, chars=len(text), links=n))
+        self.linked = 0
+
+    def depth(self, tags: tuple[str, ...]) -> int:
+        """The place on the stack of the innermost open element of these kinds (0: none)."""
+        return max((self.open[t][-1] for t in tags if self.open.get(t)), default=0)
+
+    def cut(self, depth: int) -> None:
+        while len(self.stack) > depth:
+            self.open[self.nodes[self.stack.pop()].tag].pop()
+
+    def start(self, tag: str, marks: list[str]) -> None:
+        if tag not in INLINE_BLOCK and self.nodes[self.stack[-1]].tag == "p":
+            self.cut(len(self.stack) - 1)
+        if tag in CLOSES:
+            ends, bounds = map(self.depth, CLOSES[tag])
+            if ends > bounds:
+                self.cut(ends)
+        if tag in VOID:
+            return
+        self.nodes.append(Node(tag, self.stack[-1], marks))
+        self.open.setdefault(tag, []).append(len(self.stack))
+        self.stack.append(len(self.nodes) - 1)
+
+    def end(self, tag: str) -> None:
+        if depth := self.depth((tag,)):
+            self.cut(depth)
+
+
+def parse(page: str) -> list[Node]:
+    """Block elements and text runs in page order, parents before children; node 0 is the page.
+
+    One pass, linear in the page's length.  As in the HTML standard, a slash at the end of a start tag closes it in svg
+    only, an unclosed script, style or comment reaches to the page's end, and so does a tag cut off by it.
+    """
+    tree = Tree()
+    hidden: list[str] = []  # open elements of which nothing shows, and how many of each kind
+    count: Counter = Counter()
+    at, in_link, n = 0, False, len(page)
 
     def say(raw: str) -> None:
-        nonlocal linked
-        if raw:
+        if raw and not hidden:
             text = html_lib.unescape(raw) if "&" in raw else raw
-            chunks.append(text)
+            tree.chunks.append(text)
             if in_link:
-                linked += len(text.strip())
+                tree.linked += len(text.strip())
 
-    while at < len(page):
-        m = TOKEN.search(page, at)
-        if not m:
+    while at < n:
+        lt = page.find("<", at)
+        if lt < 0:
             say(page[at:])
             break
-        say(page[at : m.start()])
-        at = m.end()
-        if not m[2]:
-            if m[0].startswith("<![CDATA["):
-                chunks.append(m[0][9:].removesuffix("]]>"))
-            continue
-        tag, closing = m[2].lower(), bool(m[1])
-        if tag in RAW and not closing:
-            end = re.compile(rf"</{re.escape(tag)}\s*(?:>|\s[^>]*>|\Z)", re.I).search(page, at)
-            if not m[3].rstrip().endswith("/"):
-                at = end.end() if end else len(page)
+        closing = page.startswith("/", lt + 1)
+        m = NAME.match(page, lt + 1 + closing)
+        if not m:
+            if closing or page.startswith(("!", "?"), lt + 1):
+                say(page[at:lt])
+                mark = "-->" if page.startswith("<!--", lt) else ">"
+                end = page.find(mark, lt + 2)
+                at = n if end < 0 else end + len(mark)
+            else:  # a character like any other
+                say(page[at : lt + 1])
+                at = lt + 1
             continue
-        if tag == "a":
-            in_link = 0 if closing else 1
-        elif tag == "br":
-            chunks.append(" ")
-        elif tag in BLOCK:
-            flush()
-            in_link = 0
-            if closing:
-                for k in range(len(stack) - 1, 0, -1):
-                    if nodes[stack[k]].tag == tag:
-                        del stack[k:]
-                        break
+        say(page[at:lt])
+        tag = m[0].lower()
+        at, marks, slash = attributes(page, m.end())
+        if closing:
+            if count[tag]:
+                while count[tag := hidden.pop()] and tag != m[0].lower():
+                    count[tag] -= 1
+                count[tag] -= 1
+            elif hidden:
                 continue
-            if tag not in INLINE_BLOCK and nodes[stack[-1]].tag == "p":
-                stack.pop()
-            if tag in CLOSES:
-                ends, bounds = CLOSES[tag]
-                for k in range(len(stack) - 1, 0, -1):
-                    if nodes[stack[k]].tag in bounds:
-                        break
-                    if nodes[stack[k]].tag in ends:
-                        del stack[k:]
-                        break
-            if tag in VOID:
+            elif tag == "a":
+                in_link = False
+            elif tag == "br":
+                tree.chunks.append(" ")
+            elif tag in BLOCK:
+                tree.flush()
+                in_link = False
+                tree.end(tag)
+        elif tag in RAW:
+            found = _ENDS[tag].search(page, at)
+            at = attributes(page, found.end())[0] if found else n
+        elif hidden and not (hidden[-1] == "svg" and tag in BLOCK):
+            if tag == hidden[-1] and not (slash and tag == "svg"):
+                hidden.append(tag)
+                count[tag] += 1
+        else:
+            while hidden and hidden[-1] == "svg":  # a block breaks out of it
+                count[hidden.pop()] -= 1
+            if hidden:
                 continue
-            marks = []
-            if m[3]:
-                for a in MARK.finditer(m[3]):
-                    marks += [f"{a[1].lower()}={w}" for w in re.findall(r"[a-z]+", (a[2] or a[3] or a[4] or "").lower())]
-            nodes.append(Node(tag, stack[-1], marks))
-            if not m[3].rstrip().endswith("/"):
-                stack.append(len(nodes) - 1)
-    flush()
+            if tag in HIDDEN:
+                if not (slash and tag == "svg"):
+                    hidden.append(tag)
+                    count[tag] += 1
+            elif tag == "a":
+                in_link = True
+            elif tag == "br":
+                tree.chunks.append(" ")
+            elif tag in BLOCK:
+                tree.flush()
+                in_link = False
+                tree.start(tag, marks)
+    tree.flush()
+    nodes = tree.nodes
     for i in range(len(nodes) - 1, 0, -1):
         up = nodes[nodes[i].parent]
         up.chars += nodes[i].chars
@@ -131,33 +201,48 @@ def bucket(x: float, bounds: tuple[float, ...]) -> int:
     return sum(x >= b for b in bounds)
 
 
-def features(n: Node, parent: Node) -> list[str]:
-    """What a node's unary potential looks at."""
+def features(n: Node, parent: Node, wrapped: bool = False) -> list[str]:
+    """What a node's unary potential looks at; ``wrapped``: whether the page names its main part (article or main)."""
     dense = bucket(n.links / n.chars, (0.05, 0.3, 0.7)) if n.chars else -1
     size = bucket(n.chars, (1, 15, 60, 200, 600))
     kind = "text" if n.tag == "#" else "element"
-    out = [kind, f"{kind} size={size}", f"{kind} links={dense}"]
+    out = [kind, f"{kind} size={size}", f"{kind} links={dense}", f"{kind} of {wrapped}"]
     if n.tag == "#":
-        return [*out, f"in={parent.tag}", f"stop={n.text[-1] in '.!?…'}"]
-    return [*out, f"tag={n.tag}", *{f"mark={w.partition('=')[2]}" for w in n.marks}]
+        return [*out, f"in={parent.tag}", f"in={parent.tag} of {wrapped}", f"stop={n.text[-1] in '.!?…'}"]
+    return [*out, f"tag={n.tag}", f"tag={n.tag} in={parent.tag}", f"under={parent.tag} of {wrapped}", *{f"mark={w.partition('=')[2]}" for w in n.marks}]
+
+
+def is_wrapped(nodes: list[Node]) -> bool:
+    return any(n.tag in ("article", "main") for n in nodes)
+
+
+def edge_kind(n: Node) -> int:
+    """Which pairwise potential joins a node to its parent: that of elements or that of text runs."""
+    return int(n.tag == "#")
 
 
 @dataclass
 class Model:
     weights: dict[str, float]
-    pair: tuple[tuple[float, float], tuple[float, float]]  # of (parent, child)
+    pair: np.ndarray  # logarithms of potentials: edge kind x parent x child
+
+    def unaries(self, nodes: list[Node]) -> list[float]:
+        """Log-odds of every node by itself; the page has none."""
+        weight, wrapped = self.weights.get, is_wrapped(nodes)
+        return [0.0, *[sum(weight(f, 0.0) for f in features(n, nodes[n.parent], wrapped)) for n in nodes[1:]]]
 
     def marginals(self, nodes: list[Node]) -> list[float]:
         """P(content) of every node: messages from the leaves up, then from the page down."""
-        (p00, p01), (p10, p11) = self.pair
-        weight = self.weights.get
-        odds = [sum(weight(f, 0.0) for f in features(n, nodes[n.parent])) for n in nodes]
+        pair = np.exp(self.pair).tolist()
+        odds = self.unaries(nodes)
         up = [0.0] * len(nodes)
         for i in range(len(nodes) - 1, 0, -1):
+            (p00, p01), (p10, p11) = pair[edge_kind(nodes[i])]
             e = math.exp(max(-30.0, min(30.0, odds[i])))
             up[i] = math.log((p10 + p11 * e) / (p00 + p01 * e))
             odds[nodes[i].parent] += up[i]
         for i in range(1, len(nodes)):  # odds of the parent are its belief by now
+            (p00, p01), (p10, p11) = pair[edge_kind(nodes[i])]
             e = math.exp(max(-30.0, min(30.0, odds[nodes[i].parent] - up[i])))
             odds[i] += math.log((p01 + p11 * e) / (p00 + p10 * e))
         return [1 / (1 + math.exp(-max(-30.0, min(30.0, o)))) for o in odds]
@@ -170,47 +255,67 @@ class Model:
 
 
 def label(nodes: list[Node], content: str) -> list[int]:
-    """1 for text runs found in the main text in order, and for elements of whose text nine tenths are such."""
+    """1 for text runs found in the main text in order, and for elements of whose text half or more is such."""
     at, good, out = 0, [0] * len(nodes), [0] * len(nodes)
     for i, n in enumerate(nodes):
         if n.tag == "#" and (k := content.find(n.text, at)) >= 0 and k <= at + 1:
             out[i], good[i], at = 1, n.chars, k + len(n.text)
     for i in range(len(nodes) - 1, 0, -1):
         good[nodes[i].parent] += good[i]
-    return [o or int(n.chars > 0 and 10 * g >= 9 * n.chars) for o, n, g in zip(out, nodes, good, strict=True)]
+    return [o or int(n.chars > 0 and 2 * g >= n.chars) for o, n, g in zip(out, nodes, good, strict=True)]
 
 
-def train(pages: list[tuple[str, str]], rounds: int = 1000, rate: float = 2.0, decay: float = 1e-5) -> Model:
-    """Pairwise potentials are the smoothed ratios P(parent, child) / (P(parent) P(child)); unary ones maximise the
-    pseudo-likelihood of each node given its parent's label."""
+def train(pages: list[tuple[str, str]], rounds: int = 150, rate: float = 0.2, decay: float = 0.3) -> Model:
+    """Unary and pairwise potentials of the greatest likelihood of the labels (with a Gaussian prior), by gradients that
+    sum-product over all trees at once gives exactly: expected less observed counts.  Steps are Adam's."""
     names: dict[str, int] = {}
-    rows, cols, y, above = [], [], [], []
-    joint = Counter()
+    rows, cols, y, parent, level, kind = [], [], [], [], [], []
     for page, content in pages:
-        nodes = parse(page)
-        labels = label(nodes, content)
-        for n, l in zip(nodes[1:], labels[1:], strict=True):
-            for f in features(n, nodes[n.parent]):
+        nodes, base = parse(page), len(y)
+        labels, wrapped = label(nodes, content), is_wrapped(nodes)
+        for i, n in enumerate(nodes):
+            for f in features(n, nodes[n.parent], wrapped) if i else ():
                 rows.append(len(y))
                 cols.append(names.setdefault(f, len(names)))
-            y.append(l)
-            above.append(labels[n.parent])
-            joint[labels[n.parent], l] += 1
-    total = sum(joint.values()) + 4
-    p = [[(joint[a, b] + 1) / total for b in (0, 1)] for a in (0, 1)]
-    parents, children = [sum(p[a]) for a in (0, 1)], [p[0][b] + p[1][b] for b in (0, 1)]
-    pair = tuple(tuple(p[a][b] / (parents[a] * children[b]) for b in (0, 1)) for a in (0, 1))
-    given = np.where(np.array(above) == 1, math.log(pair[1][1] / pair[1][0]), math.log(pair[0][1] / pair[0][0]))
-    r, c, t = np.array(rows), np.array(cols), np.array(y, float)
-    w, seen = np.zeros(len(names)), np.bincount(c, minlength=len(names))
-    for _ in range(rounds):
-        z = np.bincount(r, weights=w[c], minlength=len(t)) + given
-        g = 1 / (1 + np.exp(-z)) - t
-        w -= rate * (np.bincount(c, weights=g[r], minlength=len(names)) / np.sqrt(seen + 1.0) / 10 + decay * w)
-    return Model(dict(zip(names, w.tolist(), strict=True)), pair)
-
-
-def labelled_pages(n: int = 400, seed: int = 13) -> list[tuple[str, str]]:
+            y.append(labels[i])
+            parent.append(base + n.parent if i else -1)
+            level.append(level[base + n.parent] + 1 if i else 0)
+            kind.append(edge_kind(n))
+    r, c, t, up_of, depth, kinds = (np.array(x) for x in (rows, cols, y, parent, level, kind))
+    by_level = [np.flatnonzero(depth == k) for k in range(int(depth.max(initial=0)) + 1)]
+    below = np.flatnonzero(depth > 0)
+    seen = np.zeros((2, 2, 2))
+    np.add.at(seen, (kinds[below], t[up_of[below]], t[below]), 1)
+    x = np.zeros(len(names) + 8)
+    first, second = np.zeros(len(x)), np.zeros(len(x))
+    for step in range(1, rounds + 1):
+        w, pair = x[:-8], x[-8:].reshape(2, 2, 2)
+        odds = np.bincount(r, weights=w[c], minlength=len(t)) if len(r) else np.zeros(len(t))
+        theta = pair[kinds]
+        up = np.zeros(len(t))
+        for nodes_at in by_level[:0:-1]:
+            th, o = theta[nodes_at], odds[nodes_at]
+            up[nodes_at] = np.logaddexp(th[:, 1, 0], th[:, 1, 1] + o) - np.logaddexp(th[:, 0, 0], th[:, 0, 1] + o)
+            np.add.at(odds, up_of[nodes_at], up[nodes_at])
+        own, cavity = odds.copy(), np.zeros(len(t))
+        for nodes_at in by_level[1:]:
+            th = theta[nodes_at]
+            cavity[nodes_at] = e = odds[up_of[nodes_at]] - up[nodes_at]
+            odds[nodes_at] += np.logaddexp(th[:, 0, 1], th[:, 1, 1] + e) - np.logaddexp(th[:, 0, 0], th[:, 1, 0] + e)
+        p = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
+        joint = theta[below]
+        joint[:, 1, :] += cavity[below, None]
+        joint[:, :, 1] += own[below, None]
+        joint = np.exp(joint - joint.max(axis=(1, 2), keepdims=True))
+        joint /= joint.sum(axis=(1, 2), keepdims=True)
+        expected = np.stack([joint[kinds[below] == k].sum(axis=0) for k in (0, 1)])
+        g = np.concatenate([np.bincount(c, weights=(p - t)[r], minlength=len(names)) if len(r) else np.zeros(0), (expected - seen).ravel()]) + decay * x
+        first, second = 0.9 * first + 0.1 * g, 0.99 * second + 0.01 * g * g
+        x -= rate * (1 - step / (rounds + 1)) * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-9)
+    return Model(dict(zip(names, x[:-8].tolist(), strict=True)), x[-8:].reshape(2, 2, 2).copy())
+
+
+def labelled_pages(n: int = 1000, seed: int = 13) -> list[tuple[str, str]]:
     """Pages of varied layout with their main text: the labelled set that the potentials are trained from."""
     rng = random.Random(seed)
     pick = rng.choice
@@ -254,6 +359,11 @@ def labelled_pages(n: int = 400, seed: int = 13) -> list[tuple[str, str]]:
             lambda: divlike("share social tags meta byline pagination pager", menu()),
         ])()
 
+    def plain_box(inner: str) -> str:
+        """A box whose names tell nothing."""
+        name = pick(["row", "col", "box", "inner", "outer", "block", "layout", "section", "grid", "left", "center", word(), word()])
+        return pick([f"<div>{inner}</div>", f'<div class="{name}">{inner}</div>', f'<div id={name}>{inner}</div>', f"<section>{inner}</section>", f"<div class='{name} {word()}'>{inner}</div>"])
+
     pages = []
     for _ in range(n):
         title, parts, text = sentence(rng.randint(2, 9)), [], []
@@ -262,41 +372,62 @@ def labelled_pages(n: int = 400, seed: int = 13) -> list[tuple[str, str]]:
             parts.append(markup)
             text.append(plain)
 
-        if rng.random() < 0.8:
+        shape = pick(["article"] * 8 + ["main"] * 2 + ["named"] * 6 + ["bare"] * 4 + ["plain"] * 5 + ["table"] * 2 + ["running"] * 2 + ["lone"] * 3)
+        run = pick(["{}<br><br>", "{}<br>", "<p>{}", "{}<p>"])
+        if rng.random() < (0.4 if shape == "lone" else 0.8):
             h = pick(["h1", "h1", "h2"])
-            add(f"<{h}>{title}</{h}>", title)
-        for _ in range(rng.randint(1, 9)):
+            if shape == "article" and rng.random() < 0.25:
+                add(f"<header><{h}>{title}</{h}>", title)
+                parts.append(pick(["", mark("div", "byline meta tags", f"{word()} {word()}"), f"<p class=byline>{sentence(3)}</p>"]) + "</header>")
+            else:
+                add(f"<{h}>{title}</{h}>", title)
+        for _ in range(rng.randint(1, 3 if shape == "lone" else 9)):
             s = prose(pick([1, 1, 2, 4, 8]))
             kind = rng.random()
-            if kind < 0.6:
+            if shape == "running":
+                add(run.format(s), s)
+            elif kind < 0.54:
                 add(f"<p>{s}" + pick(["</p>", "</p>", "", "<br>"]), s)
-            elif kind < 0.7:
+            elif kind < 0.64:
                 add(f"<p><b>{s}" + pick(["</b></p>", "<br>"]), s)
-            elif kind < 0.76:
+            elif kind < 0.7:
                 add(f"<p>{s} <a href='x'>{(w := word())}</a></p>", f"{s} {w}")
+            elif kind < 0.76:
+                add(f"<{(h := pick(['h2', 'h2', 'h3', 'h4']))}>{s}</{h}>", s)
             elif kind < 0.82:
-                add(f"<h2>{s}</h2>", s)
-            elif kind < 0.88:
-                add(f"<ul><li>{s}</li></ul>", s)
-            elif kind < 0.94:
-                add(f"<blockquote>{s}</blockquote>", s)
+                add(*(lambda items: ((t := pick(["ul", "ol"])) and f"<{t}>" + "".join(f"<li>{x}" + pick(["</li>", ""]) for x in items) + f"</{t}>", " ".join(items)))([sentence() for _ in range(rng.randint(1, 6))]))
+            elif kind < 0.87:
+                add(pick(["<blockquote>{}</blockquote>", "<blockquote><p>{}</p></blockquote>", "<pre>{}</pre>", "<figure><img src=x><figcaption>{}</figcaption></figure>", "<dl><dt>{}</dt></dl>"]).format(s), s)
+            elif kind < 0.92:
+                add(*(lambda cells: ("<table>" + "".join(f"<tr>{''.join(f'<td>{x}</td>' for x in row)}</tr>" for row in cells) + "</table>", " ".join(x for row in cells for x in row)))([[word() if rng.random() < 0.5 else sentence() for _ in range(rng.randint(1, 4))] for _ in range(rng.randint(1, 4))]))
+            elif kind < 0.97:
+                add(plain_box(f"<p>{s}</p>"), s)
             else:
-                add(f"<table><tr><td>{s}</td></tr></table>", s)
-            if rng.random() < 0.06:
+                add(f"<div>{s}</div>", s)
+            if shape not in ("running", "lone") and rng.random() < 0.06:
                 parts.append(noise())
         body = "".join(parts)
-        shape = rng.random()
-        if shape < 0.5:
+        if shape == "article":
             body = pick(["<article>{}</article>", "<article class='post'>{}</article>", "<main><article>{}</article></main>"]).format(body)
-        elif shape < 0.65:
+        elif shape == "main":
             body = f"<main>{body}</main>"
-        else:
+        elif shape == "named":
             body = divlike("content article post entry main story body text", body)
-        before, after = "".join(noise() for _ in range(rng.randint(1, 4))), "".join(noise() for _ in range(rng.randint(1, 4)))
+        elif shape == "plain":
+            for _ in range(rng.randint(1, 6)):
+                body = plain_box(body)
+        elif shape == "table":
+            side = pick(["", f"<td>{menu()}</td>"])
+            body = f"<table width=100%><tr>{side}<td>{body}</td></tr></table>"
+        few = 0 if shape in ("bare", "plain", "running") else 1
+        before, after = ("".join(noise() for _ in range(0 if shape == "lone" else rng.randint(few, 4))) for _ in "ba")
         inner = before + body + after
-        if rng.random() < 0.3:
-            inner = divlike("wrapper container page site wrap", inner)
+        for _ in range(pick([0, 0, 0, 1, 1, 3])):
+            inner = divlike("wrapper container page site wrap", inner) if rng.random() < 0.6 else plain_box(inner)
         end = "" if rng.random() < 0.2 else "</body></html>"
+        if shape in ("lone", "running") and rng.random() < 0.5:  # a fragment
+            pages.append((inner, " ".join(" ".join(text).split())))
+            continue
         pages.append((f"<!DOCTYPE html><html><head><meta charset=utf-8><title>{title}</title><style>p{{}}</style></head><body>{inner}{end}", " ".join(" ".join(text).split())))
     return pages
 
@@ -304,8 +435,9 @@ def labelled_pages(n: int = 400, seed: int = 13) -> list[tuple[str, str]]:
 def extract(pages: DataFrame, model: Model | None = None, html_col: str = "html") -> DataFrame:
     """``pages`` without its html, with text and n_chars (code points).
 
-    A null or empty page, or one without content, has the empty text.  Repeated rows are pages in their own right; other
-    columns of those two names are replaced.
+    A null or empty page, or one without content, has the empty text, and an empty table gives an empty one.  Repeated
+    rows are pages in their own right; other columns of those two names are replaced.  A marginal of exactly one half is
+    not content.  Pages of any length are parsed whole, in time linear in their length.
     """
     model = model or train(labelled_pages())
     kept = [c for c in pages.columns if c not in (html_col, "text", "n_chars")]
