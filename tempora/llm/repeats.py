@@ -5,34 +5,35 @@ earlier start).  Whole texts are judged as they came in.
 
 1. Cutting.  Each window of LENGTH bytes is named by its least hashed K-gram, the anchor; a maximal run of windows with
    one anchor is a piece.  Equal windows have equal anchors, so that only pieces of one anchor need to be compared.
-2. Equal pieces (by anchor and a hash of the whole piece) keep their first occurrence; the others are marked at once.
-   Tasks combine their own pieces before the shuffle.
+2. Equal pieces (by anchor and a hash of the whole piece, 128 bits in all) keep their first occurrence; the others are
+   marked at once.  Tasks combine their own pieces before the shuffle.  An anchor with more than ``HEAVY`` distinct pieces
+   in one batch is a crowd at once: its pieces are dealt by anchor and hash, and a notice goes to the anchor's own bucket.
 3. Indexing.  The distinct pieces of the anchors that have two or more, or one that may repeat within itself, go, as bytes, to shards by anchor.  A shard builds
    the run-length Burrows-Wheeler transform of its pieces, keeps the suffix array's samples at the ends of runs, and
    streams through the text the length and place of each position's longest match with its predecessor in suffix order
    (both follow from the last sample: place + 1, length - 1 for each step).  Matches of LENGTH or more tie windows into
    classes; all but the first of each class are marked.
-   Anchors with more than ``CROWD`` distinct pieces are split into single windows first, dealt by the window's own hash.
+   The pieces of a crowd (more than ``CROWD`` distinct pieces of an anchor) are split into single windows first, dealt by
+   the window's own hash.
 4. The marked runs of each document are merged and cut out.
 
-Shards are as many as there are SHARD_BYTES of text; no step holds more than its shard, and an index is built over about
-INDEX_BYTES of it at a time (all pieces of an anchor together).
+Shards are as many as there are SHARD_BYTES of text.  A task has one or more; it takes them in turn, sorted, and holds no
+more than one.  An index is built over about INDEX_BYTES of it at a time (all pieces of an anchor together).
 """
 
 from __future__ import annotations
 
 import hashlib
-import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, slices
 
-LENGTH, K, CROWD, SHARD_BYTES, LONGEST = 100, 32, 4096, 4 << 20, 128
+LENGTH, K, CROWD, HEAVY, SHARD_BYTES, LONGEST = 100, 32, 4096, 64, 4 << 20, 128
 #: Bytes of strings under one index, and that a task holds before it sends them on.
 INDEX_BYTES, HELD_BYTES = 1 << 20, 8 << 20
 _rng = np.random.default_rng(20240229)
@@ -40,21 +41,26 @@ TABLE = _rng.integers(0, 1 << 64, 256, np.uint64)
 ODD = [int(x) | 1 for x in _rng.integers(0, 1 << 64, 8, np.uint64)]
 #: In a piece's length: its anchor may stand in it twice.
 INNER = np.uint32(1 << 31)
-#: A piece: anchor, hash, document (doc_id, then CRC-32 of its text), start and length.
-PIECE = np.dtype([("a", "<u8"), ("s", "<u8"), ("d", "<i8"), ("k", "<u4"), ("p", "<i8"), ("n", "<u4")])
+#: A piece: anchor, hash, document (doc_id, then the key of its row), start and length.
+PIECE = np.dtype([("a", "<u8"), ("s", "<u8"), ("d", "<i8"), ("k", "<u8"), ("p", "<i8"), ("n", "<u4")])
 #: A run of bytes to remove.
-MARK = np.dtype([("d", "<i8"), ("k", "<u4"), ("p", "<i8"), ("n", "<u4")])
+MARK = np.dtype([("d", "<i8"), ("k", "<u8"), ("p", "<i8"), ("n", "<u4")])
 #: A piece whose bytes are wanted; c: whether its anchor has a crowd.
-NEED = np.dtype([("a", "<u8"), ("d", "<i8"), ("k", "<u4"), ("p", "<i8"), ("n", "<u4"), ("c", "u1")])
-#: The id that stands for a null doc_id: after all others.
+NEED = np.dtype([("a", "<u8"), ("d", "<i8"), ("k", "<u8"), ("p", "<i8"), ("n", "<u4"), ("c", "u1")])
+#: An anchor that some batch found to be a crowd.
+NOTICE = np.dtype([("a", "<u8")])
+#: The id that stands for a null doc_id, whose key has the top bit set: after all others.
 LAST = (1 << 63) - 1
-SCHEMA = "bucket int, kind int, doc_id long, text binary"
-TEXT, PIECES, MARKS, NEEDS, STRINGS = range(5)
+FIELDS = ["bucket", "kind", "doc_id", "key", "text"]
+SCHEMA = "bucket int, kind int, doc_id long, key long, text binary"
+TEXT, PIECES, MARKS, NEEDS, STRINGS, CROWDS, NOTICES = range(7)
+#: Partitions of a shuffle at most; beyond, a partition has several buckets.
+PARTITIONS = 1 << 15
 
 
 def row(bucket: list[int], kind: int, blobs: list[bytes]) -> pa.RecordBatch:
     n = len(blobs)
-    return pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), pa.array([kind] * n, pa.int32()), pa.array([None] * n, pa.int64()), pa.array(blobs, pa.binary())], ["bucket", "kind", "doc_id", "text"])
+    return pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), pa.array([kind] * n, pa.int32()), pa.array([None] * n, pa.int64()), pa.array([None] * n, pa.int64()), pa.array(blobs, pa.binary())], FIELDS)
 
 
 def dealt(records: np.ndarray, to: np.ndarray, kind: int) -> Iterator[pa.RecordBatch]:
@@ -92,8 +98,8 @@ def spread(x: np.ndarray, n: int) -> np.ndarray:
     return ((x >> np.uint64(32)) % np.uint64(n)).astype(np.int32)
 
 
-def doc_bucket(d: np.ndarray, n: int) -> np.ndarray:
-    return spread(d, n)
+def doc_bucket(d: np.ndarray, k: np.ndarray, n: int) -> np.ndarray:
+    return spread(d.astype(np.uint64) * np.uint64(ODD[3]) ^ k.astype(np.uint64), n)
 
 
 def gram_hashes(data: np.ndarray) -> np.ndarray:
@@ -128,7 +134,7 @@ def twice_near(h: np.ndarray, least: np.ndarray) -> np.ndarray:
     return np.unique(h[at[1:][near]])
 
 
-def pieces_of(texts: list[bytes], ids: list[int]) -> np.ndarray:
+def pieces_of(texts: list[bytes], ids: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """The pieces of whole texts."""
     keep = [i for i, t in enumerate(texts) if len(t) >= LENGTH]
     if not keep:
@@ -162,8 +168,7 @@ def pieces_of(texts: list[bytes], ids: list[int]) -> np.ndarray:
     out = np.empty(len(at), PIECE)
     out["a"], out["s"], out["p"], out["n"] = least[at], s, at - starts[doc], n
     out["n"][np.isin(out["a"], inner)] |= INNER
-    out["d"] = np.array([ids[i] for i in keep], np.int64)[doc]
-    out["k"] = np.array([zlib.crc32(texts[i]) for i in keep], np.uint32)[doc]
+    out["d"], out["k"] = ids[keep][doc], keys[keep][doc]
     return out
 
 
@@ -187,26 +192,36 @@ def as_marks(r: np.ndarray) -> np.ndarray:
     return out
 
 
-def cut_pieces(docs: DataFrame, n_buckets: int) -> DataFrame:
+def members(a: np.ndarray) -> np.ndarray:
+    """Of sorted anchors, how many there are of each row's."""
+    if not len(a):
+        return np.zeros(0, int)
+    new = np.concatenate([[True], a[1:] != a[:-1]])
+    return np.diff(np.append(np.flatnonzero(new), len(a)))[np.cumsum(new) - 1]
+
+
+def cut_pieces(docs: DataFrame, n_buckets: int, heavy: int) -> DataFrame:
     """Step 1 and the tasks' part of step 2: pieces by anchor, marks by document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
-        marks: list[np.ndarray] = []
 
         def send() -> Iterator[pa.RecordBatch]:
             if held:
                 firsts, more = combine(np.concatenate(held))
                 held.clear()
-                yield from dealt(firsts, spread(firsts["a"], n_buckets), PIECES)
-                more = np.concatenate([*marks, more])
-                marks.clear()
-                yield from dealt(more, doc_bucket(more["d"], n_buckets), MARKS)
+                crowded = members(firsts["a"]) > heavy
+                some, many = firsts[~crowded], firsts[crowded]
+                yield from dealt(some, spread(some["a"], n_buckets), PIECES)
+                yield from dealt(many, spread(many["a"] ^ many["s"] * np.uint64(ODD[2]), n_buckets), CROWDS)
+                notices = np.unique(many["a"]).view(NOTICE)
+                yield from dealt(notices, spread(notices["a"], n_buckets), NOTICES)
+                yield from dealt(more, doc_bucket(more["d"], more["k"], n_buckets), MARKS)
 
         size = 0
-        for batch in slices(batches, 1, 1 << 20):
-            texts = [t or b"" for t in batch.column(1).to_pylist()]
-            held.append(pieces_of(texts, batch.column(0).to_pylist()))
+        for batch in slices(batches, 2, 1 << 20):
+            texts = batch.column(2).to_pylist()
+            held.append(pieces_of(texts, batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64)))
             size += sum(map(len, texts))
             if size > 24 << 20:
                 yield from send()
@@ -216,43 +231,69 @@ def cut_pieces(docs: DataFrame, n_buckets: int) -> DataFrame:
     return docs.mapInArrow(run, SCHEMA)
 
 
-def gathered(batches: Iterator[pa.RecordBatch]) -> dict[int, list[tuple]]:
-    """A whole partition by kind: (doc_id, bytes)."""
-    out: dict[int, list[tuple]] = {k: [] for k in range(5)}
+def dealt_out(rows: DataFrame, n_buckets: int) -> DataFrame:
+    """Rows by bucket, the buckets of a partition one after the other."""
+    return rows.repartition(min(n_buckets, PARTITIONS), "bucket").sortWithinPartitions("bucket")
+
+
+def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[int, list[tuple]]]:
+    """Each bucket of a partition by kind: (doc_id, key, bytes)."""
+    out: dict[int, list[tuple]] = {k: [] for k in range(7)}
+    now = None
     for b in batches:
-        for kind, d, t in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-            out[kind].append((d, t))
-    return out
+        for bucket, kind, *row in zip(*(b.column(c).to_pylist() for c in range(5)), strict=True):
+            if bucket != now:
+                if now is not None:
+                    yield out
+                    out = {k: [] for k in range(7)}
+                now = bucket
+            out[kind].append(tuple(row))
+    if now is not None:
+        yield out
+
+
+def by_bucket(one: Callable[[dict], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function of batches that works bucket by bucket."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for got in gathered(batches):
+            yield from one(got)
+
+    return run
+
+
+def records(got: dict, kind: int, dtype: np.dtype) -> np.ndarray:
+    return unpack([t for _, _, t in got.pop(kind)], dtype)
 
 
 def compare_pieces(pieces: DataFrame, n_buckets: int, crowd: int) -> DataFrame:
     """Step 2: marks, and the pieces whose bytes are needed, both by document."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = gathered(batches)
-        marks = [unpack([t for _, t in got[MARKS]], MARK)]
-        r = unpack([t for _, t in got.pop(PIECES)], PIECE)
+    def one(got: dict) -> Iterator[pa.RecordBatch]:
+        marks = [records(got, MARKS, MARK)]
+        r, many, noticed = records(got, PIECES, PIECE), records(got, CROWDS, PIECE), records(got, NOTICES, NOTICE)
         if len(r):
             r = r[np.argsort(r["a"])]
-            same = np.zeros(len(r) + 1, bool)
-            same[1:-1] = r["a"][1:] == r["a"][:-1]
-            r = r[same[:-1] | same[1:] | (r["n"] >= INNER)]
-        if len(r):
-            firsts, more = combine(r)
+            told = np.isin(r["a"], noticed["a"])
+            r = r[(members(r["a"]) > 1) | (r["n"] >= INNER) | told]
+        for part, all_crowd in ((r, False), (many, True)):
+            if not len(part):
+                continue
+            firsts, more = combine(part)
             marks.append(more)
-            new = np.concatenate([[True], firsts["a"][1:] != firsts["a"][:-1]])
-            size = np.diff(np.append(np.flatnonzero(new), len(new)))[np.cumsum(new) - 1]
-            wanted = (size > 1) | (firsts["n"] >= INNER)
+            size = members(firsts["a"])
+            told = np.isin(firsts["a"], noticed["a"]) | all_crowd
+            wanted = (size > 1) | (firsts["n"] >= INNER) | told
             need = np.empty(int(wanted.sum()), NEED)
             for f in ("a", "d", "k", "p", "n"):
                 need[f] = firsts[f][wanted]
             need["n"] &= ~INNER
-            need["c"] = size[wanted] > crowd
-            yield from dealt(need, doc_bucket(need["d"], n_buckets), NEEDS)
+            need["c"] = (told | (size > crowd))[wanted]
+            yield from dealt(need, doc_bucket(need["d"], need["k"], n_buckets), NEEDS)
         found = np.concatenate(marks)
-        yield from dealt(found, doc_bucket(found["d"], n_buckets), MARKS)
+        yield from dealt(found, doc_bucket(found["d"], found["k"], n_buckets), MARKS)
 
-    return pieces.repartition(n_buckets, "bucket").mapInArrow(run, SCHEMA)
+    return dealt_out(pieces, n_buckets).mapInArrow(by_bucket(one), SCHEMA)
 
 
 def strings_blob(need: np.ndarray, strings: list[bytes]) -> bytes:
@@ -262,13 +303,12 @@ def strings_blob(need: np.ndarray, strings: list[bytes]) -> bytes:
 def fetch_bytes(docs: DataFrame, needs: DataFrame, n_buckets: int) -> DataFrame:
     """Step 3, its first half: the bytes of needed pieces (of a crowd's windows), dealt by anchor (by window)."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = gathered(batches)
-        need = unpack([t for _, t in got[NEEDS]], NEED)
+    def one(got: dict) -> Iterator[pa.RecordBatch]:
+        need = records(got, NEEDS, NEED)
         if not len(need):
             return
         need = need[np.lexsort((need["p"], need["k"], need["d"]))]
-        texts = {(d, zlib.crc32(t)): t for d, t in got[TEXT]}
+        texts = {(d, k & (1 << 64) - 1): t for d, k, t in got[TEXT]}
         out: list[tuple] = []
         windows: dict[bytes, tuple] = {}
         marks: list[tuple] = []
@@ -283,7 +323,7 @@ def fetch_bytes(docs: DataFrame, needs: DataFrame, n_buckets: int) -> DataFrame:
             groups = np.split(order, cuts)
             yield row([int(to[g[0]]) for g in groups], STRINGS, [strings_blob(rec[g], [out[i][5] for i in g.tolist()]) for g in groups])
             more = np.array(marks, MARK)
-            yield from dealt(more, doc_bucket(more["d"], n_buckets), MARKS)
+            yield from dealt(more, doc_bucket(more["d"], more["k"], n_buckets), MARKS)
             out.clear()
             windows.clear()  # a window met again is sent again: the index ties it to the first
             marks.clear()
@@ -306,7 +346,7 @@ def fetch_bytes(docs: DataFrame, needs: DataFrame, n_buckets: int) -> DataFrame:
         yield from send()
 
     both = with_bucket(docs, n_buckets).unionByName(needs)
-    return both.repartition(n_buckets, "bucket").mapInArrow(run, SCHEMA)
+    return dealt_out(both, n_buckets).mapInArrow(by_bucket(one), SCHEMA)
 
 
 def with_bucket(docs: DataFrame, n_buckets: int) -> DataFrame:
@@ -314,8 +354,8 @@ def with_bucket(docs: DataFrame, n_buckets: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            d = b.column(0).to_numpy()
-            yield pa.RecordBatch.from_arrays([pa.array(doc_bucket(d, n_buckets), pa.int32()), pa.array(np.full(len(d), TEXT, np.int32)), b.column(0), b.column(1)], ["bucket", "kind", "doc_id", "text"])
+            d, k = b.column(0).to_numpy(), b.column(1).to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array(doc_bucket(d, k.view(np.uint64), n_buckets), pa.int32()), pa.array(np.full(len(d), TEXT, np.int32)), *b.columns], FIELDS)
 
     return docs.mapInArrow(run, SCHEMA)
 
@@ -428,11 +468,10 @@ def repeated_windows(need: np.ndarray, strings: bytes) -> np.ndarray:
 def index_shards(strings: DataFrame, n_buckets: int) -> DataFrame:
     """Step 3, its second half: a run-length index a shard; marks by document."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = gathered(batches)
-        marks = [unpack([t for _, t in got[MARKS]], MARK)]
+    def one(got: dict) -> Iterator[pa.RecordBatch]:
+        marks = [records(got, MARKS, MARK)]
         needs, strings = [], []
-        for _, blob in got.pop(STRINGS):
+        for _, _, blob in got.pop(STRINGS):
             n = int.from_bytes(blob[:8], "little")
             end = 8 + n * NEED.itemsize
             rec = unpack([blob[8:end]], NEED)
@@ -451,9 +490,9 @@ def index_shards(strings: DataFrame, n_buckets: int) -> DataFrame:
                 if len(own):
                     marks.append(repeated_windows(need[own], b"".join(pool[i : i + n] for i, n in zip(begins[own].tolist(), sizes[own].tolist(), strict=True))))
         found = np.concatenate(marks)
-        yield from dealt(found, doc_bucket(found["d"], n_buckets), MARKS)
+        yield from dealt(found, doc_bucket(found["d"], found["k"], n_buckets), MARKS)
 
-    return strings.repartition(n_buckets, "bucket").mapInArrow(run, SCHEMA)
+    return dealt_out(strings, n_buckets).mapInArrow(by_bucket(one), SCHEMA)
 
 
 def merged(p: np.ndarray, n: np.ndarray) -> list[tuple[int, int]]:
@@ -465,30 +504,29 @@ def merged(p: np.ndarray, n: np.ndarray) -> list[tuple[int, int]]:
 
 
 def cut(docs: DataFrame, marks: DataFrame, n_buckets: int) -> DataFrame:
-    """Step 4: doc_id, crc (of the text), kept (bytes), n_bytes, spans (start, end) of what was removed."""
+    """Step 4: doc_id, key, kept (bytes), n_bytes, spans (start, end) of what was removed."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = gathered(batches)
-        r = unpack([t for _, t in got.pop(MARKS)], MARK)
+    def one(got: dict) -> Iterator[pa.RecordBatch]:
+        r = records(got, MARKS, MARK)
         r = r[np.lexsort((r["k"], r["d"]))]
         new = np.flatnonzero(np.concatenate([[True], (r["d"][1:] != r["d"][:-1]) | (r["k"][1:] != r["k"][:-1])])) if len(r) else np.zeros(0, int)
         of = {(int(r["d"][i]), int(r["k"][i])): (i, j) for i, j in zip(new.tolist(), [*new[1:].tolist(), len(r)], strict=False)}
-        seen: set[tuple[int, bytes]] = set()
+        seen: set[tuple[int, int]] = set()
         out = []
-        for d, text in got[TEXT]:
-            i, j = of.get((d, zlib.crc32(text)), (0, 0))
+        for d, k, text in got[TEXT]:
+            row = (d, k & (1 << 64) - 1)
+            i, j = of.get(row, (0, 0))
             spans = merged(r["p"][i:j], r["n"][i:j].astype(np.int64)) if j > i else []
             if len(text) >= LENGTH:
-                mark = (d, hashlib.blake2b(text, digest_size=16).digest())
-                if mark in seen:  # the row repeats: all of it starts earlier
+                if row in seen:  # the row repeats: all of it starts earlier
                     spans = [(0, len(text))]
-                seen.add(mark)
+                seen.add(row)
             at, kept = 0, []
             for a, b in spans:
                 kept.append(text[at:a])
                 at = b
             kept.append(text[at:])
-            out.append((None if d == LAST else d, zlib.crc32(text), b"".join(kept), len(text), spans))
+            out.append((None if k < 0 else d, k, b"".join(kept), len(text), spans))
             if len(out) == 1000:
                 yield result(out)
                 out = []
@@ -499,10 +537,16 @@ def cut(docs: DataFrame, marks: DataFrame, n_buckets: int) -> DataFrame:
         cols = list(zip(*out, strict=True))
         span = pa.struct([("start", pa.int64()), ("end", pa.int64())])
         spans = pa.array([[{"start": a, "end": b} for a, b in s] for s in cols[4]], pa.list_(span))
-        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.binary()), pa.array(cols[3], pa.int64()), spans], ["doc_id", "crc", "kept", "n_bytes", "spans"])
+        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.binary()), pa.array(cols[3], pa.int64()), spans], ["doc_id", "key", "kept", "n_bytes", "spans"])
 
     both = with_bucket(docs, n_buckets).unionByName(marks)
-    return both.repartition(n_buckets, "bucket").mapInArrow(run, "doc_id long, crc long, kept binary, n_bytes long, spans array<struct<start:long,end:long>>")
+    return dealt_out(both, n_buckets).mapInArrow(by_bucket(one), "doc_id long, key long, kept binary, n_bytes long, spans array<struct<start:long,end:long>>")
+
+
+def row_key(doc_id: Column, text: Column) -> Column:
+    """63 bits of the text's XXH64 with the top bit for a null id: what tells rows of one id apart."""
+    short = F.shiftrightunsigned(F.xxhash64(F.coalesce(text.cast("binary"), F.lit(b""))), 1)
+    return F.when(doc_id.isNull(), short.bitwiseOR(F.lit(-(1 << 63)))).otherwise(short)
 
 
 def _free(spark) -> None:
@@ -510,16 +554,18 @@ def _free(spark) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", crowd: int = CROWD, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """doc_id, crc, kept, n_bytes, spans: a row for each row.
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", crowd: int = CROWD, shard_bytes: int = SHARD_BYTES, heavy: int = HEAVY) -> DataFrame:
+    """doc_id, key, kept, n_bytes, spans: a row for each row.
 
-    A null text is empty.  A null doc_id comes after all others.  Rows that share a doc_id but not their text follow each
-    other by the CRC-32 of their text; a row that repeats both is removed whole (if it has LENGTH bytes).
+    A null text is empty.  A null doc_id comes after all others.  Rows that share a doc_id (or have none) but not their
+    text follow each other by ``row_key``, and work on them is spread by it; a row that repeats both is removed whole (if
+    it has LENGTH bytes).  An empty table gives an empty one.  Of other columns none is read.
     """
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("doc_id"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("text"))
+    doc_id, text = F.col(id_col).cast("long"), F.col(text_col)
+    rows = docs.select(F.coalesce(doc_id, F.lit(LAST)).alias("doc_id"), row_key(doc_id, text).alias("key"), F.coalesce(text.cast("binary"), F.lit(b"")).alias("text"))
     size = rows.agg(F.sum(F.length("text"))).first()[0] or 0
-    n_buckets = min(1 << 16, max(8, size // shard_bytes))
-    compared = materialize(compare_pieces(cut_pieces(rows, n_buckets), n_buckets, crowd), "compared")
+    n_buckets = max(8, size // shard_bytes)
+    compared = materialize(compare_pieces(cut_pieces(rows, n_buckets, heavy), n_buckets, crowd), "compared")
     _free(docs.sparkSession)
     strings = fetch_bytes(rows, compared.filter(F.col("kind") == NEEDS), n_buckets)
     matched = materialize(index_shards(strings, n_buckets), "matched")
@@ -538,12 +584,12 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Bytes of a character that was cut in two are dropped.  ``length_col``, where there is one, counts the new text's code
     points.  Rows that share an id are told apart by their text; of rows that repeat both, one stays.
     """
-    found = remove_repeats(docs, id_col, text_col).groupBy("doc_id", "crc").agg(F.count("*").alias("_n"), F.max(F.struct(F.length("kept").alias("left"), "kept", F.size("spans").alias("cuts"))).alias("b"))
+    found = remove_repeats(docs, id_col, text_col).groupBy("doc_id", "key").agg(F.count("*").alias("_n"), F.max(F.struct(F.length("kept").alias("left"), "kept", F.size("spans").alias("cuts"))).alias("b"))
     found = found.filter("_n > 1 or b.cuts > 0")
-    found = materialize(found.select(F.col("doc_id").alias("_id"), F.col("crc").alias("_crc"), "_n", F.col("b.kept").alias("_kept"), (F.col("b.cuts") > 0).alias("_cut")), "changed")
+    found = materialize(found.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), "_n", F.col("b.kept").alias("_kept"), (F.col("b.cuts") > 0).alias("_cut")), "changed")
     rows = docs.select(F.struct(*docs.columns).alias("row"))  # so that no column of theirs clashes
-    key, said = F.col("row")[id_col].cast("long"), F.col("row")[text_col]
-    on = key.eqNullSafe(F.col("_id")) & (F.crc32(F.coalesce(said.cast("binary"), F.lit(b""))) == F.col("_crc"))
+    doc_id, said = F.col("row")[id_col].cast("long"), F.col("row")[text_col]
+    on = doc_id.eqNullSafe(F.col("_id")) & (row_key(doc_id, said) == F.col("_key"))
     out = rows.join(found, on, "left").filter(~F.coalesce(F.col("_cut") & (F.length("_kept") == 0), F.lit(False)))
     text = F.regexp_replace(F.make_valid_utf8(F.col("_kept").cast("string")), "\ufffd", "")
     changed = F.col("row").withField(text_col, text)
@@ -553,4 +599,4 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     once = out.filter(F.coalesce("_n", F.lit(1)) == 1).select("row.*")
     if found.filter("_n > 1").isEmpty():
         return once
-    return once.unionByName(out.filter("_n > 1").dropDuplicates(["_id", "_crc"]).select("row.*"))
+    return once.unionByName(out.filter("_n > 1").dropDuplicates(["_id", "_key"]).select("row.*"))
