@@ -1,10 +1,10 @@
 """A convolutional text classifier for toxicity, trained in numpy.
 
-A word's embedding is the sum of those of its hash and of the hashes of its first four, five and six letters, so that
-inflected forms share what was learned.  Filters of width one, two and three run over all words; the maximum over the
-text of each filter feeds a logistic unit.  Embeddings start from how much more often toxic documents have the word,
-and all weights are then trained.  For each language (told from the words, by what was learned from labelled rows) the
-threshold is calibrated and moved to the score ``AT``.
+A word's embedding is the sum of the rows of its hash and of the hashes of its first four, five and six letters in one
+table of fixed size, so that inflected forms share what was learned.  Filters of width one, two and three run over all
+words of a text; the maximum over the text of each filter feeds a rectifier and a logistic unit.  All weights start at
+random and are trained by minibatches with Adagrad and word dropout.  For each language (told from the words, by what was
+learned from labelled rows) the threshold is calibrated on rows kept out of the training, and moved to the score ``AT``.
 """
 
 from __future__ import annotations
@@ -24,85 +24,125 @@ from .common import held_out, slices
 #: Marks cut off both ends of a word.
 MARKS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 WIDTHS, FILTERS, DIM, PREFIXES, AT = (1, 2, 3), 6, 8, (4, 5, 6), 0.7
-BLOCKS = sum(WIDTHS)
+#: Rows of the embedding table, and of that of the languages; row 0 stands for no word.
+BITS, LANGUAGE_BITS = 17, 15
+PAD = max(WIDTHS) - 1
 
 
 def features(word: bytes) -> tuple[int, ...]:
-    """Hashes of a bare word and of its beginnings (in code points)."""
+    """Rows of a bare word and of its beginnings (in code points)."""
     w = word.strip(MARKS)
     if not w:
         return ()
     s = w.decode("utf-8", "replace")
-    return (zlib.crc32(w), *[zlib.crc32(b"%d:" % n + s[:n].encode()) for n in PREFIXES if len(s) > n])
+    named = (w, *[b"%d:" % n + s[:n].encode() for n in PREFIXES if len(s) > n])
+    return tuple(1 + (zlib.crc32(x) * 2654435761 % (1 << 32) >> (32 - BITS)) for x in named)
 
 
-class _Rows(dict):
-    """From a word to the row of its features' combination; starts anew when full."""
+WIDE = 1 + len(PREFIXES)
 
-    def __init__(self, known: dict[int, int], limit: int = 300_000) -> None:
-        self.known, self.limit = known, limit
-        self.combos: dict[tuple[int, ...], int] = {(): 0}
+
+def padded(word: bytes) -> tuple[int, ...]:
+    f = features(word)
+    return f + (0,) * (WIDE - len(f))
+
+
+def laid_out(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(word numbers of all texts one after the other, where each begins), PAD zeros on both sides of each."""
+    n = [len(t) + 2 * PAD for t in texts]
+    starts = np.cumsum([0, *n[:-1]])
+    ids = np.zeros(sum(n) + PAD, np.int64)
+    for t, at in zip(texts, starts.tolist(), strict=True):
+        ids[at + PAD : at + PAD + len(t)] = t
+    return ids, starts
+
+
+def convolved(parts: np.ndarray, n: int) -> np.ndarray:
+    """Each filter at each of the first ``n`` places, from each word's product with each place of each filter."""
+    out, block = [], 0
+    for width in WIDTHS:
+        z = parts[:n, block : block + FILTERS].copy()
+        for j in range(1, width):
+            z += parts[j : n + j, block + j * FILTERS : block + (j + 1) * FILTERS]
+        out.append(z)
+        block += width * FILTERS
+    return np.concatenate(out, axis=1)
+
+
+class _Table(dict):
+    """From a word to the row of its products; starts anew when full, so that its size is bounded."""
+
+    def __init__(self, parts: np.ndarray, languages: np.ndarray, limit: int = 100_000) -> None:
+        self.parts, self.languages, self.limit = parts, languages, limit
+        self.rows = np.zeros((limit + 1, parts.shape[1] + languages.shape[1]), np.float32)
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.limit:
-            self.clear()
-        combo = tuple(x for x in map(self.known.get, features(word)) if x is not None)
-        self[word] = row = self.combos.setdefault(combo, len(self.combos))
-        return row
+        f = features(word)
+        n = len(self) + 1
+        self.rows[n] = 0
+        if f:
+            self.rows[n, : self.parts.shape[1]] = self.parts[list(f)].sum(axis=0)
+            self.rows[n, self.parts.shape[1] :] = self.languages[f[0] % len(self.languages)]
+        self[word] = n
+        return n
+
+    def numbers(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
 
 
 @dataclass
 class Model:
-    hashes: np.ndarray  # of the learned features
-    emb: np.ndarray  # features x DIM
+    emb: np.ndarray  # rows x DIM
     filters: list[np.ndarray]  # of each width: width x DIM x FILTERS
     bias: np.ndarray  # of each filter
     out: np.ndarray
     out_bias: float
-    languages: np.ndarray  # features x languages: log-likelihoods
+    languages: np.ndarray  # rows x languages: log-likelihoods
     thresholds: list[float] = field(default_factory=list)  # of each language; the last for texts without a known word
 
     def __post_init__(self) -> None:
-        self.rows: _Rows | None = None
+        self.table: _Table | None = None
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"rows": None, "table": None}
-
-    def prepare(self) -> None:
-        """Each feature's part in each place of each filter, and the table of the combinations met so far."""
-        self.rows = _Rows({h: i for i, h in enumerate(self.hashes.tolist())})
-        blocks = [self.emb @ f[j] for f in self.filters for j in range(len(f))]
-        self.parts = np.concatenate([*blocks, self.languages], axis=1).astype(np.float32)
-        self.table = np.zeros((1, self.parts.shape[1]), np.float32)
+        return self.__dict__ | {"table": None}
+
+    def pooled(self, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+        """(greatest of each filter, sums of the languages) of texts of 65,536 words in all, or of one text; a text with
+        more words is taken in stretches, which overlap."""
+        rows = self.table.rows
+        if len(texts) == 1 and len(texts[0]) > 1 << 16:
+            step = 1 << 16
+            parts = [self.pooled([texts[0][max(0, i - PAD) : i + step]]) for i in range(0, len(texts[0]), step)]
+            return np.max([p for p, _ in parts], axis=0), np.sum([q for _, q in parts], axis=0)
+        if len(self.table) + sum(map(len, texts)) > self.table.limit:
+            self.table.clear()
+        ids, starts = laid_out([self.table.numbers(w) for w in texts])
+        got = rows[ids]
+        n, width = len(ids) - PAD, self.table.parts.shape[1]
+        return np.maximum.reduceat(convolved(got, n), starts, axis=0), np.add.reduceat(got[:n, width:], starts, axis=0)
 
     def logits(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
         """(logit, language) of each text; the language is -1 if no word is known."""
-        if self.rows is None:
-            self.prepare()
-        words = [t.lower().split() if t else [] for t in texts]
-        pad = max(WIDTHS) - 1
-        n = [len(w) + 2 * pad for w in words]
-        ids = np.zeros(sum(n), np.int64)
-        at = 0
-        for w, k in zip(words, n, strict=True):
-            ids[at + pad : at + k - pad] = np.fromiter(map(self.rows.__getitem__, w), np.int64, len(w))
-            at += k
-        if len(self.rows.combos) > len(self.table):
-            new = list(self.rows.combos)[len(self.table) :]
-            self.table = np.concatenate([self.table, np.stack([self.parts[list(c)].sum(axis=0) for c in new])])
-        starts = np.concatenate([[0], np.cumsum(n)[:-1]])
-        got = self.table[ids]
-        pooled, block = [], 0
-        for width in WIDTHS:
-            z = got[:, block : block + FILTERS].copy()
-            for j in range(1, width):
-                z[:-j] += got[j:, block + j * FILTERS : block + (j + 1) * FILTERS]
-            pooled.append(np.maximum.reduceat(z, starts, axis=0))
-            block += width * FILTERS
-        hidden = np.maximum(np.concatenate(pooled, axis=1) + self.bias, 0)
-        lang = np.add.reduceat(got[:, block:], starts, axis=0)
+        if self.table is None:
+            parts = np.concatenate([self.emb @ f[j] for f in self.filters for j in range(len(f))], axis=1)
+            self.table = _Table(parts.astype(np.float32), self.languages)
+        tops, sums, held, size = [], [], [], 0
+        for t in texts:
+            words = t.lower().split() if t else []
+            if held and size + len(words) > 1 << 16:
+                for out, x in zip((tops, sums), self.pooled(held), strict=True):
+                    out.append(x)
+                held, size = [], 0
+            held.append(words)
+            size += len(words)
+        if held:
+            for out, x in zip((tops, sums), self.pooled(held), strict=True):
+                out.append(x)
+        if not tops:
+            return np.zeros(0), np.zeros(0, int)
+        lang = np.concatenate(sums)
         lang = np.where(np.abs(lang).sum(axis=1) > 0, lang.argmax(axis=1) if lang.shape[1] else -1, -1)
-        return hidden @ self.out + self.out_bias, lang
+        return np.maximum(np.concatenate(tops) + self.bias, 0) @ self.out + self.out_bias, lang
 
     def scores(self, texts: list[bytes | None]) -> np.ndarray:
         """From 0 to 1; ``AT`` is each language's threshold."""
@@ -111,92 +151,91 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(moved, -30, 30)))
 
 
-def fit(texts: list[bytes], toxic: np.ndarray, lang: list[str | None], min_docs: int = 3, epochs: int = 6, seed: int = 5) -> Model:
-    """Train on whole texts.  A quarter, by position in the shuffled sample, only calibrates if it is large enough."""
+def gradients(weights: list[np.ndarray], of: np.ndarray, ids: np.ndarray, starts: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, list[np.ndarray], np.ndarray, np.ndarray]:
+    """(weighted loss, gradients of the filters, bias, out and out_bias, rows of the table, their gradients) of a batch.
+
+    ``weights``: the table, the filters, bias, out, out_bias; ``of``: the features of each word number.
+    """
+    emb, *filters, bias, out, out_bias = weights
+    u, inverse = np.unique(ids, return_inverse=True)
+    x = emb[of[u]].sum(axis=1)[inverse]
+    n, size = len(ids) - PAD, len(starts)
+    z = convolved(np.concatenate([x @ f[j] for f in filters for j in range(len(f))], axis=1), n)
+    top = np.maximum.reduceat(z, starts, axis=0)
+    doc = np.repeat(np.arange(size), np.diff(np.append(starts, n)))
+    at = np.minimum.reduceat(np.where(z == top[doc], np.arange(n)[:, None], n), starts, axis=0)
+    hidden = np.maximum(top + bias, 0)
+    logit = np.clip(hidden @ out + out_bias[0], -30, 30)
+    p = 1 / (1 + np.exp(-logit))
+    loss = float((weight * (np.logaddexp(0, logit) - y * logit)).mean())
+    g = weight * (p - y) / size
+    d = g[:, None] * out * (hidden > 0)
+    of_filters, places, moved = [], [], []
+    for k, f in enumerate(filters):
+        own, dk = at[:, k * FILTERS : (k + 1) * FILTERS], d[:, k * FILTERS : (k + 1) * FILTERS]
+        of_filters.append(np.stack([np.einsum("bfd,bf->df", x[own + j], dk) for j in range(len(f))]))
+        for j in range(len(f)):
+            places.append((own + j).ravel())
+            moved.append((dk[:, :, None] * f[j].T).reshape(-1, DIM))
+    words, gx = ids[np.concatenate(places)], np.concatenate(moved)
+    rows, gx = of[words].ravel(), np.repeat(gx, WIDE, axis=0)
+    real = (rows > 0) & (np.abs(gx).sum(axis=1) > 0)
+    rows, where = np.unique(rows[real], return_inverse=True)
+    of_rows = np.zeros((len(rows), DIM))
+    np.add.at(of_rows, where, gx[real])
+    return loss, [*of_filters, d.sum(axis=0), hidden.T @ g, np.array([g.sum()])], rows, of_rows
+
+
+def start(seed: int) -> list[np.ndarray]:
+    rng = np.random.default_rng(seed)
+    emb = rng.normal(0, 0.03, (1 + (1 << BITS), DIM))
+    emb[0] = 0
+    h = len(WIDTHS) * FILTERS
+    return [emb, *[rng.normal(0, 0.5 / math.sqrt(DIM * w), (w, DIM, FILTERS)) for w in WIDTHS], np.zeros(h), rng.normal(0, 0.3, h), np.array([-1.0])]
+
+
+def fit(texts: list[bytes], toxic: np.ndarray, lang: list[str | None], epochs: int = 10, batch: int = 32, rate: float = 0.1, drop: float = 0.2, decay: float = 1e-4, seed: int = 5) -> Model:
+    """Train on whole texts.  A quarter, by position in the shuffled sample, only calibrates if it is large enough.
+
+    Either label weighs as much as the other.  The step size falls linearly to a tenth.
+    """
     rng = np.random.default_rng(seed)
     order = rng.permutation(len(texts))
-    words = (texts[i].lower().split() for i in order)
     y, lang = toxic[order].astype(np.float64), [lang[i] for i in order]
-    numbered: list[np.ndarray] = []
-    number: dict[bytes, int] = {}
-    for ws in words:
-        numbered.append(np.fromiter((number.setdefault(w, len(number)) for w in ws), np.int32, len(ws)))
-    of = [features(w) for w in number]
-    sets = ({f for w in np.unique(ids).tolist() for f in of[w]} for ids in numbered)
+    number: dict[bytes, int] = {b"": 0}
+    numbered = [np.fromiter((number.setdefault(w, len(number)) for w in ws), np.int64, len(ws)) for ws in (texts[i].lower().split() for i in order)]
+    of = np.array([padded(w) for w in number])
     held = np.arange(len(y)) % 4 == 0
     if min(y[held].sum(), (1 - y[held]).sum()) < 40:
         held[:] = False
-    df: dict[int, list[float]] = {}
     names = sorted({x for x in lang if x is not None})
-    for s, t, l, h in zip(sets, y, lang, held, strict=True):
-        if not h:
-            k = names.index(l) if l is not None else len(names)
-            for f in s:
-                c = df.setdefault(f, [0.0] * (2 + len(names) + 1))
-                c[int(t)] += 1
-                c[2 + k] += 1
-    hashes = np.array(sorted(f for f, c in df.items() if c[0] + c[1] >= min_docs), np.int64)
-    counts = np.array([df[f] for f in hashes.tolist()]).reshape(len(hashes), 3 + len(names))
-    pos, neg = max(1.0, y[~held].sum()), max(1.0, (1 - y[~held]).sum())
-    odds = np.log((counts[:, 1] + 0.5) / (pos + 1)) - np.log((counts[:, 0] + 0.5) / (neg + 1))
-    per = [max(1, sum(x == n for x, h in zip(lang, held, strict=True) if not h)) for n in names]
-    languages = np.log((counts[:, 2 : 2 + len(names)] + 0.1) / (np.array(per) + 1)) if names else np.zeros((len(hashes), 0))
-
-    emb = rng.normal(0, 0.05, (len(hashes), DIM))
-    emb[:, 0] = odds / 3
-    filters = [rng.normal(0, 0.1, (w, DIM, FILTERS)) for w in WIDTHS]
-    for f in filters:
-        f[:, 0, 0] = 1 / len(f)
-    bias, out, out_bias = np.zeros(len(WIDTHS) * FILTERS), rng.normal(0, 0.1, len(WIDTHS) * FILTERS), -2.0
-    out[::FILTERS] = 0.7
-    known = {h: i for i, h in enumerate(hashes.tolist())}
-    pad = max(WIDTHS) - 1
-    rows_of = [np.array([x for x in map(known.get, fs) if x is not None], np.int32) for fs in of]
-    flat, owner = [], []
-    for ids in numbered:
-        flat.append(np.concatenate([np.zeros(0, np.int32), *[rows_of[w] for w in ids.tolist()]]))
-        owner.append(np.repeat(np.arange(pad, pad + len(ids), dtype=np.int32), [len(rows_of[w]) for w in ids.tolist()]))
-    weight = np.where(y == 1, 0.5 / (pos / (pos + neg)), 0.5 / (neg / (pos + neg)))
-    # Adagrad
-    sums = [np.full_like(x, 1e-2) for x in (*filters, bias, out)]
-    emb_sum = np.full(len(hashes), 1e-1)
+    counts = np.full((1 << LANGUAGE_BITS, len(names)), 0.1)
+    for ids, x, h in zip(numbered, lang, held, strict=True):
+        if x is not None and not h:
+            first = of[ids, 0]
+            np.add.at(counts[:, names.index(x)], first[first > 0] % len(counts), 1)
+    weights = start(seed)
+    share = min(0.99, max(0.01, y[~held].mean()))
+    weight = np.where(y == 1, 0.5 / share, 0.5 / (1 - share))
+    row_sums, sums = np.full(len(weights[0]), 1e-2), [np.full_like(w, 1e-2) for w in weights[1:]]
+    own = np.flatnonzero(~held)
     for epoch in range(epochs):
-        for i in rng.permutation(np.flatnonzero(~held)):
-            x = np.zeros((len(numbered[i]) + 2 * pad, DIM))
-            np.add.at(x, owner[i], emb[flat[i]])
-            zs = []
-            for f in filters:
-                z = x @ f[0]
-                for j in range(1, len(f)):
-                    z[:-j] += x[j:] @ f[j]
-                zs.append(z)
-            top = [z.argmax(axis=0) for z in zs]
-            pre = np.concatenate([z[t, np.arange(FILTERS)] for z, t in zip(zs, top, strict=True)]) + bias
-            hidden = np.maximum(pre, 0)
-            p = 1 / (1 + math.exp(-max(-30.0, min(30.0, hidden @ out + out_bias))))
-            g = (p - y[i]) * weight[i]
-            d = g * out * (pre > 0)
-            grads, dx = [], {}
-            for k, (f, t) in enumerate(zip(filters, top, strict=True)):
-                df_ = np.zeros_like(f)
-                for c in np.flatnonzero(d[k * FILTERS : (k + 1) * FILTERS]):
-                    gd = d[k * FILTERS + c]
-                    for j in range(len(f)):
-                        r = t[c] + j
-                        if r < len(x):
-                            df_[j, :, c] += gd * x[r]
-                            dx[r] = dx.get(r, 0) + gd * f[j, :, c]
-                grads.append(df_)
-            for r, v in dx.items():
-                word = r - pad
-                for q in rows_of[numbered[i][word]].tolist() if 0 <= word < len(numbered[i]) else ():
-                    emb_sum[q] += float(v @ v)
-                    emb[q] -= 0.05 / math.sqrt(emb_sum[q]) * v
-            for w, s, gr in zip((*filters, bias, out), sums, (*grads, d, g * hidden), strict=True):
-                s += gr * gr
-                w -= 0.02 * gr / np.sqrt(s)
-            out_bias -= 0.02 * g
-    model = Model(hashes, emb, filters, bias, out, out_bias, languages)
+        step = 1 - 0.9 * epoch / epochs
+        shuffled = rng.permutation(own)
+        for i in range(0, len(shuffled), batch):
+            some = shuffled[i : i + batch]
+            ids, starts = laid_out([numbered[k] for k in some])
+            ids[rng.random(len(ids)) < drop] = 0
+            _, g, rows, of_rows = gradients(weights, of, ids, starts, y[some], weight[some])
+            of_rows += decay * weights[0][rows]
+            row_sums[rows] += (of_rows**2).mean(axis=1)
+            weights[0][rows] -= rate * step * of_rows / np.sqrt(row_sums[rows])[:, None]
+            for w, total, gr in zip(weights[1:], sums, g, strict=True):
+                gr = gr + decay * w
+                total += gr * gr
+                w -= rate / 5 * step * gr / np.sqrt(total)
+    emb, *filters, bias, out, out_bias = weights
+    model = Model(emb.astype(np.float32), filters, bias, out, float(out_bias[0]), np.log(counts / counts.sum(axis=0)).astype(np.float32))
     calibrate(model, [texts[i] for i, h in zip(order, held, strict=True) if h or not held.any()], y[held] if held.any() else y, len(names))
     return model
 
@@ -223,20 +262,26 @@ def calibrate(model: Model, texts: list[bytes], y: np.ndarray, n_languages: int,
     model.thresholds.append(everything)
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", label_col: str = "toxic", per_label: int = 2000) -> Model | None:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", label_col: str = "toxic", per_label: int = 2000, sample_bytes: int = 32 << 20) -> Model | None:
     """Learn from a bounded sample of labelled rows outside the held-out fold: about ``per_label`` of each label (by a
-    hash of the id), their whole texts.  Texts that repeat count once.  None if a label is missing."""
+    hash of the id), their whole texts, and fewer if those are more than ``sample_bytes`` in all.
+
+    Texts that repeat count once, with the label of their row of the least id.  None if a label is missing.
+    """
     rows = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).alias("toxic")).filter(F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id"))).distinct()
     sizes = {r[0]: r[1] for r in rows.groupBy("toxic").count().collect()}
     if set(sizes) != {0, 1}:
         return None
+    hashed = F.pmod(F.xxhash64(F.lit(9), "doc_id"), F.lit(1_000_000))
     cut = F.when(F.col("toxic") == 1, per_label / sizes[1]).otherwise(per_label / sizes[0]) * 1_000_000
-    rows = rows.filter(F.pmod(F.xxhash64(F.lit(9), "doc_id"), F.lit(1_000_000)) < cut)
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).filter("text is not null")
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"), F.col(lang_col).alias("lang")).filter("text is not null")
     # the sample is bounded by per_label, so it is the side to send out
-    sample = texts.join(F.broadcast(rows), "doc_id").select(F.col("text").cast("binary").alias("text"), "toxic", "lang", "doc_id")
+    sample = texts.join(F.broadcast(rows.filter(hashed < cut)), "doc_id")
+    size = sample.agg(F.sum(F.length("text"))).first()[0] or 0
+    if size > sample_bytes:
+        sample = sample.filter(hashed < cut * (sample_bytes / size))
     got = {}
-    for r in sorted(sample.collect(), key=lambda r: r.doc_id):
+    for r in sorted(sample.select("text", "toxic", "lang", "doc_id").toLocalIterator(), key=lambda r: (r.doc_id, r.toxic)):
         got.setdefault(bytes(r.text), (r.toxic, r.lang))
     if len({v[0] for v in got.values()}) < 2:
         return None
@@ -246,7 +291,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, score, predicted: a row for each row, from its whole text alone.
 
-    A null text counts as empty; an empty text gets the score of a text without words.  Without a model all scores are 0.
+    A null text counts as empty; an empty text gets the score of a text without words.  Rows that repeat get equal scores,
+    an empty table gives an empty one, and no other column is read.  Without a model all scores are 0.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -68,6 +68,76 @@ def test_toxicity_on_held_out_rows():
     assert (model.scores([None, b""]) < toxicity.AT).all()
 
 
+def test_toxicity_gradients_are_numerical_and_convolution_is_direct():
+    rng = np.random.default_rng(4)
+    weights = toxicity.start(3)
+    weights[0] *= 20
+    weights[-3] += rng.normal(0, 0.1, len(weights[-3]))  # off the rectifier's corner
+    words = [b"", *[b"w%d" % i for i in range(30)], b"lengthier", b"lengthily"]
+    of = np.array([toxicity.padded(w) for w in words])
+    texts = [rng.integers(1, len(words), n) for n in (5, 1, 9, 0)]
+    ids, starts = toxicity.laid_out(texts)
+    y, weight = np.array([1.0, 0, 1, 0]), np.array([2.0, 0.5, 2, 0.5])
+    loss, grads, rows, of_rows = toxicity.gradients(weights, of, ids, starts, y, weight)
+    again = lambda: toxicity.gradients(weights, of, ids, starts, y, weight)[0]
+    for w, g in zip(weights[1:], grads, strict=True):
+        for _ in range(6):
+            i = tuple(rng.integers(0, n) for n in w.shape)
+            w[i] += 1e-6
+            up = again()
+            w[i] -= 1e-6
+            assert abs((up - loss) / 1e-6 - g[i]) < 1e-4
+    for r in range(0, len(rows), 5):
+        weights[0][rows[r], 2] += 1e-6
+        up = again()
+        weights[0][rows[r], 2] -= 1e-6
+        assert abs((up - loss) / 1e-6 - of_rows[r, 2]) < 1e-4
+    emb, *filters, bias, out, out_bias = weights
+    model = toxicity.Model(emb, filters, bias, out, float(out_bias[0]), np.zeros((8, 1)))
+    raw = [b" ".join(words[i] for i in t) for t in texts]
+    for text, t in zip(raw, texts, strict=True):
+        x = np.concatenate([np.zeros((2, toxicity.DIM)), emb[of[t]].sum(axis=1).reshape(-1, toxicity.DIM), np.zeros((4, toxicity.DIM))])
+        z = np.concatenate([np.max([sum(x[i + j] @ f[j] for j in range(len(f))) for i in range(len(t) + 4)], axis=0) for f in filters])
+        assert abs(model.logits([text])[0][0] - (np.maximum(z + bias, 0) @ out + out_bias[0])) < 1e-5
+    long = b" ".join(words[i] for i in rng.integers(1, len(words), 150_000))
+    assert np.isfinite(model.logits([long, b"w1"])[0]).all()
+
+
+def test_toxicity_training_beats_its_start_and_log_odds():
+    docs = duckdb.sql("select d.doc_id, text, lang, toxic from '/root/testdata/sf0.1/documents.parquet' d join '/root/testdata/sf0.1/labels.parquet' l on d.doc_id = l.doc_id where text is not null order by d.doc_id").df()
+    out = np.array([held(d) for d in docs.doc_id])
+    raw, y, lang = [t.encode() for t in docs.text], docs.toxic.to_numpy(), docs.lang.tolist()
+    learn, test = np.flatnonzero(~out), np.flatnonzero(out)
+    texts, some = [raw[i] for i in learn], (y[learn], [lang[i] for i in learn])
+
+    def best_f1(z):
+        order = np.argsort(-z)
+        hits = np.cumsum(y[test][order])
+        return float((2 * hits / (np.arange(1, len(test) + 1) + y[test].sum())).max())
+
+    of = lambda m: best_f1(m.logits([raw[i] for i in test])[0])
+    counts = [Counter(), Counter()]
+    for t, label in zip(texts, some[0], strict=True):
+        counts[label].update(set(t.lower().split()))
+    n = [int((some[0] == k).sum()) for k in (0, 1)]
+    odds = lambda w: np.log((counts[1][w] + 0.5) / (n[1] + 1)) - np.log((counts[0][w] + 0.5) / (n[0] + 1))
+    plain = best_f1(np.array([max((odds(w) for w in set(raw[i].lower().split())), default=0) for i in test]))
+    model = toxicity.fit(texts, *some)
+    trained, untrained = of(model), of(toxicity.fit(texts, *some, epochs=0))
+    print("best F1: trained, untrained, greatest log-odds", trained, untrained, plain)
+    assert trained > plain > untrained + 0.3
+    said = model.scores([raw[i] for i in test]) >= toxicity.AT
+    assert said[y[test] == 1].mean() >= 0.85 and y[test][said].mean() >= 0.88
+
+
+def test_toxicity_scores_of_odd_rows(spark):
+    model = toxicity.fit([b"bad word here"] * 3 + [b"good words there"] * 3, np.array([1, 1, 1, 0, 0, 0]), [None] * 6)
+    df = spark.createDataFrame([(1, "bad", 2, 3), (1, "bad", 2, 3), (None, None, 1, 1)], "doc_id long, text string, score int, predicted int")
+    rows = toxicity.score(df, model).collect()
+    assert len(rows) == 3 and rows[0].score == rows[1].score and all(0 <= r.score <= 1 for r in rows)
+    assert toxicity.score(df.limit(0), model).count() == 0
+
+
 def test_toxicity_without_labels(spark):
     docs = spark.createDataFrame([(1, "a", "en"), (2, None, None)], "doc_id long, text string, lang string")
     labels = spark.createDataFrame([], "doc_id long, toxic int")
