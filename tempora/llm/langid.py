@@ -2,8 +2,8 @@
 
 Each language has a distribution over hashed byte n-grams, learned from labelled documents.  A document's n-grams come
 from a mixture of languages; expectation-maximisation estimates its proportions, and the set of languages is the one of
-the best penalised likelihood (half a logarithm of the document's size for each further language) among the most
-probable one, two, three, ...
+the best penalised likelihood (half a logarithm of the document's size for each further language) on the way from all
+languages down to one.
 
 A text that is null or has no letter is ``und`` with score 0, and so is every text if no language was learned.
 """
@@ -60,48 +60,62 @@ class Model:
         return out, scores
 
     def infer(self, units: np.ndarray, counts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The language with the largest share, and that share, of documents given as runs of (n-gram, count)."""
+        """The language with the largest share, and that share, of documents given as runs of (n-gram, count).
+
+        Sets of languages are tried from all of them down to one: after each estimate the least language goes (and all
+        below ``SLIGHT`` at once).  The set of the best penalised likelihood counts, of equal ones the smaller.
+        """
         p = self.probs[units]
         p /= p.max(axis=1, keepdims=True)  # relative likelihoods: the same for every set of languages
         starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
         # n-grams overlap, so that each counts for an N-th of an independent draw
-        total = np.add.reduceat(counts, starts) / N
-        full = np.full((len(sizes), len(self.languages)), 1 / len(self.languages), np.float32)
-        full, _ = mixture(p, counts, sizes, starts, full, 6)
-        ranks = np.argsort(-full, axis=1, kind="stable")
-        best, share = ranks[:, 0].copy(), np.ones(len(sizes), np.float32)
-        score = np.add.reduceat(counts * np.log(p[np.arange(len(p)), np.repeat(best, sizes)]), starts) / N
-        doubtful = np.flatnonzero(full[np.arange(len(full)), best] < 0.97)
-        for k in range(2, min(len(self.languages), 4) + 1):
-            if not len(doubtful):
-                break
-            rows = np.concatenate([np.arange(starts[d], starts[d] + sizes[d]) for d in doubtful])
-            some = sizes[doubtful]
-            s = np.concatenate([[0], np.cumsum(some)[:-1]])
-            start = np.zeros((len(doubtful), len(self.languages)), np.float32)
-            np.put_along_axis(start, ranks[doubtful, :k], np.take_along_axis(full[doubtful], ranks[doubtful, :k], 1) + 0.01, 1)
-            start /= start.sum(axis=1, keepdims=True)
-            pi, ll = mixture(p[rows], counts[rows], some, s, start, 8)
-            penalised = ll / N - 0.5 * (k - 1) * np.log(np.maximum(total[doubtful], 2.0))
-            better = penalised > score[doubtful]
-            score[doubtful[better]] = penalised[better]
-            best[doubtful[better]] = pi[better].argmax(axis=1)
-            share[doubtful[better]] = pi[better].max(axis=1)
-            doubtful = doubtful[better]
+        price = 0.5 * np.log(np.maximum(np.add.reduceat(counts, starts) / N, 2.0))
+        start = np.full((len(sizes), len(self.languages)), 1 / len(self.languages), np.float32)
+        best, share = np.zeros(len(sizes), np.int64), np.zeros(len(sizes), np.float32)
+        score = np.full(len(sizes), -np.inf)
+        live = np.arange(len(sizes))
+        while len(live):
+            rows = np.concatenate([np.arange(starts[d], starts[d] + sizes[d]) for d in live]) if len(live) < len(sizes) else slice(None)
+            pi, ll = mixture(p[rows], counts[rows], sizes[live], start[live])
+            used = (start[live] > 0).sum(axis=1)
+            penalised = ll / N - price[live] * (used - 1)
+            better = penalised >= score[live]
+            score[live[better]] = penalised[better]
+            best[live[better]], share[live[better]] = pi[better].argmax(axis=1), pi[better].max(axis=1)
+            # the next smaller set, if there is one
+            left = np.where(start[live] > 0, pi, np.inf)
+            rest = pi * (left > np.maximum(left.min(axis=1, keepdims=True), SLIGHT))
+            none = (rest > 0).sum(axis=1) == 0
+            rest[none] = np.eye(len(self.languages))[pi[none].argmax(axis=1)]  # only ties or slight ones were left
+            rest = rest / rest.sum(axis=1, keepdims=True)
+            start[live] = rest
+            live = live[used > 1]
         return best, share
 
 
-def mixture(p: np.ndarray, counts: np.ndarray, sizes: np.ndarray, starts: np.ndarray, pi: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
-    """Proportions after ``rounds`` of expectation-maximisation, and the log-likelihood that they had before the last."""
-    n = np.add.reduceat(counts, starts)[:, None]
-    ll = np.zeros(len(sizes))
-    for k in range(rounds):
-        joint = p * np.repeat(pi, sizes, axis=0)
+#: A share that leaves a set at once; change of a share below which an estimate has converged; rounds at most.
+SLIGHT, CONVERGED, ROUNDS = 0.005, 1e-3, 200
+
+
+def mixture(p: np.ndarray, counts: np.ndarray, sizes: np.ndarray, pi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Proportions by expectation-maximisation from ``pi`` on (a language of share zero stays out), and their
+    log-likelihood.  Documents whose shares stand still are done; the others go on."""
+    pi, ll = pi.astype(np.float32), np.zeros(len(sizes))
+    live, own_sizes, own_p, own_counts = np.arange(len(sizes)), sizes, p, counts
+    for k in range(ROUNDS):
+        starts = np.concatenate([[0], np.cumsum(own_sizes)[:-1]])
+        joint = own_p * np.repeat(pi[live], own_sizes, axis=0)
         of = np.maximum(joint.sum(axis=1), 1e-30)
-        if k == rounds - 1:
-            ll = np.add.reduceat(counts * np.log(of), starts)
-        joint *= (counts / of)[:, None]
-        pi = np.add.reduceat(joint, starts, axis=0) / n
+        ll[live] = np.add.reduceat(own_counts * np.log(of), starts)
+        joint *= (own_counts / of)[:, None]
+        new = np.add.reduceat(joint, starts, axis=0) / np.add.reduceat(own_counts, starts)[:, None]
+        moves = np.abs(new - pi[live]).max(axis=1) >= CONVERGED
+        pi[live] = new
+        if not moves.any():
+            break
+        if moves.mean() < 0.7:
+            keep = np.repeat(moves, own_sizes)
+            live, own_sizes, own_p, own_counts = live[moves], own_sizes[moves], own_p[keep], own_counts[keep]
     return pi, ll
 
 
@@ -134,7 +148,12 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, lang_pred, score (the share of that language): a row for each row, from its text alone."""
+    """doc_id, lang_pred, score (the share of that language): a row for each row, from its text alone.
+
+    A null or empty text and one without a letter is ``und`` with score 0.  Of languages with equal shares the first by
+    name counts.  Rows that repeat get equal results, an empty table gives an empty one, and no other column is read.
+    Whole texts count, however long.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1, 4 << 20):
@@ -146,7 +165,10 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
 
 def keep_known(docs: DataFrame, model: Model, text_col: str = "text", least_share: float = 0.4) -> DataFrame:
-    """The rows whose text has one language that makes up ``least_share`` at least.  Columns as in ``docs``."""
+    """The rows whose text has one language that makes up ``least_share`` at least.  Columns as in ``docs``.
+
+    Null and empty texts and those without a letter go.  Rows that repeat stay or go together.
+    """
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -48,6 +48,55 @@ def test_language_mixture_shares(spark):
     assert lang == ["en", "de"] and abs(score[0] - n) < 0.12 and score[1] > 0.8
 
 
+def test_mixture_is_the_most_likely_and_its_set_the_best():
+    """Two to five languages of a tiny model: shares against a grid, the set against all sets by brute force."""
+    rng = np.random.default_rng(1)
+    probs = rng.dirichlet(np.full(40, 0.2), 5).T + 1e-4
+    probs /= probs.sum(axis=0)
+    model = langid.Model(list("abcde"), probs.astype(np.float32))
+    agreed = 0
+    for k in range(12):
+        truth = np.zeros(5)
+        truth[rng.choice(5, 1 + k % 5, replace=False)] = 1
+        truth = truth * rng.uniform(0.5, 1, 5)
+        truth /= truth.sum()
+        counts = rng.multinomial(900, probs @ truth)
+        units = np.flatnonzero(counts)
+        c, p = counts[units].astype(np.float32), probs[units]
+
+        def climb(languages):
+            pi = np.zeros(5)
+            pi[list(languages)] = 1 / len(languages)
+            for _ in range(3000):
+                joint = p * pi
+                pi = (joint / joint.sum(axis=1, keepdims=True) * c[:, None]).sum(axis=0) / c.sum()
+            return pi, float((c * np.log(p @ pi)).sum())
+
+        scored = {}
+        for bits in range(1, 32):
+            own = [i for i in range(5) if bits >> i & 1]
+            pi, ll = climb(own)
+            scored[bits] = (ll / langid.N - 0.5 * (len(own) - 1) * np.log(c.sum() / langid.N), pi)
+        _, pi = max(scored.values(), key=lambda x: x[0])
+        best, share = model.infer(units, c, np.array([len(units)]))
+        agreed += int(best[0] == pi.argmax() and abs(share[0] - pi.max()) < 0.03)
+        whole, ll = langid.mixture((p / p.max(axis=1, keepdims=True)).astype(np.float32), c, np.array([len(units)]), np.full((1, 5), 0.2))
+        assert np.abs(whole[0] - scored[31][1]).max() < 0.03
+    assert agreed == 12
+
+
+def test_language_of_odd_rows(spark):
+    docs = spark.createDataFrame([(i, t, x, "s") for i, (t, x) in enumerate([("aa bb aa", "k"), ("cc dd cc", "m")] * 6)], "doc_id long, text string, lang string, score string")
+    model = langid.train(docs)
+    assert model.languages == ["k", "m"]
+    lang, score = model.predict([b"zz", b"aa bb", "é".encode()])
+    assert lang[0] == "k" and lang[1] == "k" and score[1] > 0.9 and 0 <= score[0] <= 1  # a tie goes to the first by name
+    rows = langid.predict(docs.union(docs.limit(1)), model).collect()
+    assert len(rows) == 13 and {r.lang_pred for r in rows} == {"k", "m"}
+    assert langid.predict(docs.limit(0), model).count() == 0 and langid.keep_known(docs.limit(0), model).count() == 0
+    assert langid.keep_known(docs, model).columns == docs.columns
+
+
 def test_toxicity_on_held_out_rows():
     rng = random.Random(1)
     words = ["".join(rng.choices("abcdefgh", k=rng.randint(2, 7))) for _ in range(800)]
@@ -252,6 +301,9 @@ def test_cascade_order_and_verdict(spark):
     assert got == oracle(quality.OP7_SQL)
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert quality.assess(empty).count() == 0
+    odd = spark.createDataFrame([(1, "a b c", True, 1)] * 2 + [(None, None, None, None), (2, "", False, 2), (3, "x " * 90_000, True, 3)], "doc_id long, text string, kept boolean, n_words int")
+    rows = quality.assess(odd).orderBy("doc_id").collect()
+    assert [(r.doc_id, r.n_words, r.kept, r.rejected_by) for r in rows] == [(None, 0, False, "base"), (1, 3, False, "base"), (1, 3, False, "base"), (2, 0, False, "base"), (3, 90_000, False, "base")]
 
 
 def test_mix_equals_sql_and_bounds(spark):
