@@ -3,18 +3,18 @@
 A recording (16-bit PCM WAV) becomes frames of twelve pitch classes.  Sixteen box filters over an integral image of the
 frames compare regions of time and pitch; each gives two bits, and the sixteen a 32-bit integer for every frame.
 
-A search correlates the bits of the queries with those of all recordings at every offset; the share of differing bits over
-the overlap decides.  Recordings with the same fingerprint form a class; classes are searched and matched, never all
-pairs of their members.
+A search looks up keys: the sixteen sign bits of a frame and those of the frame ``APART`` later.  All recordings are
+indexed by every key, the queries ask for each of theirs and for those that differ from it in one bit.  What agrees votes
+for an offset; at every offset with ``VOTES`` (and beside it) the share of differing bits over the overlap decides.  This
+is an index with a recall, not a proof: an alignment of which no two keys agree within a bit is missed (see the tests).
+Recordings with the same fingerprint form a class; classes are searched and matched, never all pairs of their members.
 """
 
 from __future__ import annotations
 
 import io
-import math
 import wave
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,9 +26,12 @@ from .common import materialize, slices
 #: Seconds of a frame and between frames, frames that a filter spans, pitch range, and what aligns.
 WINDOW, HOP, SPAN, LOW, HIGH = 0.256, 0.05, 8, 60.0, 1900.0
 MAX_ERROR, MIN_OVERLAP = 0.15, 16
+#: The bits that say on which side of zero each filter is, frames between the two of a key, and votes that an offset needs.
+SIGNS, APART, VOTES = 0xAAAAAAAA, 8, 2
+#: Copies of each query's fingerprint, so that one with very many candidates is checked in as many tasks.
+SALTS = 16
 
 
-@lru_cache(8)
 def pitch_classes(rate: int) -> tuple[int, np.ndarray]:
     """(samples of a frame, matrix from its spectrum to twelve pitch classes)."""
     n = int(WINDOW * rate)
@@ -39,7 +42,6 @@ def pitch_classes(rate: int) -> tuple[int, np.ndarray]:
     return n, m
 
 
-@lru_cache(1)
 def filters() -> tuple[tuple[int, int, int, int], ...]:
     """(kind, first class, classes, frames): the bank of sixteen, by rule over kinds, places and sizes."""
     return tuple((i % 4, (5 * i) % 9, 3 + i % 2, (4, 8, 6, 8)[i % 4]) for i in range(16))
@@ -124,88 +126,85 @@ def classes(fps: DataFrame) -> DataFrame:
     return fps.filter(F.size("fp") > 0).groupBy("fp").agg(F.min("id").alias("class_id")).select("class_id", "fp")
 
 
-def blocks(reps: DataFrame, name: str, ints: int, min_overlap: int) -> DataFrame:
-    """Classes by about ``ints`` integers a row: ``name`` array<long>, ``name``_fp array<array<long>>.
+def keys_of(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(positions, keys, whether of a run of several): of the frames at which a run of equal keys begins or ends, so that
+    a held tone has two."""
+    signs = fp & np.int64(SIGNS)
+    k = signs[: max(0, len(fp) - APART)] << np.int64(31) | signs[APART:] >> np.int64(1)
+    if not len(k):
+        return np.zeros(0, np.int64), k, np.zeros(0, bool)
+    change = k[1:] != k[:-1]
+    begins, ends = np.concatenate([[True], change]), np.concatenate([change, [True]])
+    at = np.flatnonzero(begins | ends)
+    return at, k[at], ~(begins & ends)[at]
 
-    A row has classes of one length up to the next power of two.  Those shorter than any overlap align with nothing, and
-    a class of rows without ids only is no other of any.
-    """
-    long_enough = reps.filter((F.size("fp") >= min_overlap) & F.col("class_id").isNotNull())
-    n = max(1, math.ceil((long_enough.agg(F.sum(F.size("fp"))).first()[0] or 0) / ints))
-    by = long_enough.groupBy(F.ceil(F.log2(F.size("fp"))).alias("pow"), F.pmod(F.xxhash64("class_id"), F.lit(n)).alias("block"))
-    packed = by.agg(F.collect_list(F.struct("class_id", "fp")).alias("all")).select(F.col("all.class_id").alias(name), F.col("all.fp").alias(f"{name}_fp"))
-    return materialize(packed, name).repartition(math.ceil(n / 4))
 
+def keys(reps: DataFrame, min_overlap: int, probes: bool) -> DataFrame:
+    """(class_id, at, key) of the keys of each class; with ``probes`` also of those that differ in one bit.  ``at`` is
+    twice the position, and one more if the key is of a run of several.
 
-def spectra(lengths: np.ndarray, ints: np.ndarray, n: int) -> np.ndarray:
-    """(frequencies, recordings, 32): of each bit as +1 or -1 in time, zero beyond the end; in single precision while
-    products of that length still round to the right integer."""
-    x = np.zeros((len(lengths), n, 32), np.float32 if n <= 1 << 13 else np.float64)
-    at = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    x[np.repeat(np.arange(len(lengths)), lengths), at] = 1 - 2.0 * np.unpackbits(ints.astype("<u4").view(np.uint8).reshape(-1, 4), axis=1)
-    return np.ascontiguousarray(np.fft.rfft(x, axis=1).transpose(1, 0, 2))
+    Classes shorter than any overlap align with nothing, and a class of rows without ids only is no other of any.
+    """
+    flips = np.array([0, *[1 << 2 * i for i in range(32)]], np.int64) if probes else np.zeros(1, np.int64)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 500):
+                part = batch.slice(i, 500)
+                ids, at, found = [], [], []
+                for c, fp in zip(part.column(0).to_pylist(), part.column(1), strict=True):
+                    p, k, run_of = keys_of(fp.values.to_numpy())
+                    ids.append(np.full(len(p) * len(flips), c))
+                    at.append(np.repeat(2 * p + run_of, len(flips)))
+                    found.append((k[:, None] ^ flips).ravel())
+                cols = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (ids, at, found)]
+                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int64())], ["class_id", "at", "key"])
 
-def best_offsets(ql: np.ndarray, q: np.ndarray, rl: np.ndarray, r: np.ndarray, max_error: float, min_overlap: int) -> Iterator[tuple[int, int, int, int, float]]:
-    """(query, other, offset, overlap, error) by number, for all of one block with all of another that align: the offset
-    of the least error, then of the longest overlap, then the nearest.  Lengths and joined integers of both blocks.
+    return reps.filter((F.size("fp") >= min_overlap) & F.col("class_id").isNotNull()).select("class_id", "fp").mapInArrow(run, "class_id long, at int, key long")
 
-    The correlation of the bits at an offset is what agrees less what differs; a product of spectra has all offsets.
-    """
-    n = 2 << int(max(ql.max(), rl.max()) - 1).bit_length()
-    offsets = (np.arange(n) + n // 2) % n - n // 2
-    few = max(1, (1 << 16) // n)
-    qs, rs = np.split(np.arange(len(ql)), range(few // 4 or 1, len(ql), few // 4 or 1)), np.split(np.arange(len(rl)), range(few, len(rl), few))
-    q_at, r_at = np.cumsum(ql) - ql, np.cumsum(rl) - rl
-    part = lambda i, lengths, at, x: spectra(lengths[i], x[at[i[0]] : at[i[-1]] + lengths[i[-1]]], n)
-    q_parts = [part(i, ql, q_at, q) for i in qs] if n <= 1 << 13 else None
-    for j in rs:
-        other = part(j, rl, r_at, r).transpose(0, 2, 1)
-        for k, i in enumerate(qs):
-            own = q_parts[k] if q_parts else part(i, ql, q_at, q)
-            agree = np.fft.irfft(np.ascontiguousarray(np.matmul(own.conj(), other).transpose(1, 2, 0)), n, axis=2)
-            a, b = (v if (v != v[0]).any() else v[:1] for v in (ql[i], rl[j]))  # equal lengths: one row for all
-            overlap = np.minimum(a[:, None, None], b[None, :, None] - offsets) - np.maximum(0, -offsets)
-            least = np.where(overlap >= min_overlap, 32 * overlap * (1 - 2 * max_error) - 1, np.inf).astype(agree.dtype)
-            x, y, z = np.nonzero(agree >= least)
-            if not len(x):
-                continue
-            o = offsets[z]
-            over = np.minimum(ql[i][x], rl[j][y] - o) - np.maximum(0, -o)
-            error = (32 * over - np.rint(agree[x, y, z])) / 2 / (32 * over)
-            ok = error <= max_error
-            x, y, o, over, error = x[ok], y[ok], o[ok], over[ok], error[ok]
-            order = np.lexsort((o, np.abs(o), -over, error, y, x))
-            first = order[np.r_[True, (np.diff(x[order]) != 0) | (np.diff(y[order]) != 0)][: len(order)]]
-            yield from zip(i[x[first]].tolist(), j[y[first]].tolist(), o[first].tolist(), over[first].tolist(), error[first].tolist(), strict=True)
 
+def best_of(a: np.ndarray, b: np.ndarray, offsets: list[int], max_error: float, min_overlap: int) -> tuple[int, int, float] | None:
+    """(offset, overlap, error) of the least error, then the longest overlap, then the nearest; None if none passes."""
+    tried = [(e, -n, abs(o), o) for o in offsets for n, e in [bit_errors(a, b, o)] if n >= min_overlap and e <= max_error]
+    if not tried:
+        return None
+    e, n, _, o = min(tried)
+    return o, -n, e
 
-def search(queries: DataFrame, reps: DataFrame, max_error: float = MAX_ERROR, min_overlap: int = MIN_OVERLAP) -> DataFrame:
-    """(query, other, offset, overlap, error): the best alignment of query classes with all other classes that align
-    (columns class_id, fp).
 
-    Every offset of every two is tried: under an error of 15% in each integer no key of few bits is sure to be equal, and
-    keys that would be are so common that they lead to all pairs.
-    """
-    pairs = blocks(queries, "query", 1 << 14, min_overlap).crossJoin(blocks(reps, "other", 1 << 16, min_overlap))
+def search(queries: DataFrame, reps: DataFrame, max_error: float = MAX_ERROR, min_overlap: int = MIN_OVERLAP) -> DataFrame:
+    """(query, other, offset, overlap, error): the best alignment of query classes with the other classes that align
+    (columns class_id, fp), of the offsets that have votes and those beside them."""
+    asked = keys(queries, min_overlap, True).select(F.col("class_id").alias("query"), F.col("at").alias("q_at"), "key")
+    index = keys(reps, min_overlap, False).select(F.col("class_id").alias("other"), F.col("at").alias("o_at"), "key")
+    hits = asked.join(index, "key").filter("query <> other")
+    offset = F.shiftright("o_at", 1) - F.shiftright("q_at", 1)
+    weight = F.when(F.col("o_at").bitwiseAND(F.col("q_at")).bitwiseAND(F.lit(1)) == 1, VOTES).otherwise(1)  # runs have frames enough
+    votes = hits.groupBy("query", "other", offset.alias("offset")).agg(F.sum(weight).alias("n")).filter(F.col("n") >= VOTES)
+    pairs = votes.groupBy("query", "other").agg(F.collect_list("offset").alias("offsets"))  # at most one a frame
+    salted = queries.select(F.col("class_id").alias("query"), F.col("fp").alias("q_fp"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    pairs = pairs.withColumn("salt", F.pmod(F.xxhash64("other"), F.lit(SALTS)).cast("int")).join(salted, ["query", "salt"])
+    pairs = pairs.join(reps.select(F.col("class_id").alias("other"), F.col("fp").alias("o_fp")), "other")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in range(batch.num_rows):
-                (qi, qf), (ri, rf) = ((batch.column(c)[row].values.to_numpy(), batch.column(c + 1)[row].values) for c in (0, 2))
-                ints = [(np.diff(f.offsets.to_numpy()).astype(np.int64), f.flatten().to_numpy()) for f in (qf, rf)]
-                got = [(qi[i], ri[j], o, n, e) for i, j, o, n, e in best_offsets(*ints[0], *ints[1], max_error, min_overlap) if qi[i] != ri[j]]
-                yield pa.RecordBatch.from_arrays([pa.array([g[c] for g in got], t) for c, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.float64()))], ["query", "other", "offset", "overlap", "error"])
+            rows = []
+            for q, o, offsets, x, y in zip(*(batch.column(c) for c in range(5)), strict=True):
+                near = sorted({int(v) + d for v in offsets.values.to_numpy() for d in (-1, 0, 1)})
+                if best := best_of(x.values.to_numpy(), y.values.to_numpy(), near, max_error, min_overlap):
+                    rows.append((q.as_py(), o.as_py(), *best))
+            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.float64()))], ["query", "other", "offset", "overlap", "error"])
 
-    return pairs.select("query", "query_fp", "other", "other_fp").mapInArrow(run, "query long, other long, offset int, overlap int, error double")
+    return pairs.select("query", "other", "offsets", "q_fp", "o_fp").mapInArrow(run, "query long, other long, offset int, overlap int, error double")
 
 
 def identify(recordings: DataFrame, id_col: str = "id", audio_col: str = "audio", every: int = 50) -> DataFrame:
     """(id, n_ints, class_id, is_query, n_links, best_class, best_offset, best_error): a row for each recording.
 
     Queries are the rows whose id is divisible by ``every``; n_links counts the other classes that their class aligns
-    with, best_* is the alignment of the least error (then the least class).  A recording without integers is in no
-    class and has no links; a null id is no query.  Repeated rows share their class.
+    with, best_* is the alignment of the least error (then the least class).  A recording without integers (null, empty,
+    unreadable or too short) is in no class and has no links; a null id is no query.  Repeated rows share their class, an
+    empty table gives an empty one, and no other column is read.  Whole recordings are compared, however long.
     """
     fps = materialize(fingerprints(recordings, id_col, audio_col), "fingerprints")
     reps = materialize(classes(fps), "classes")
@@ -232,16 +231,37 @@ def render(values: np.ndarray, rate: int = 4000, note: float = 0.1) -> bytes:
     return out.getvalue()
 
 
+def covered(own: np.ndarray, vec_id: int) -> bytes:
+    """A part of what the notes ``own`` sound like, as a recording has it: begun between two frames, and with noise."""
+    rng = np.random.default_rng(abs(vec_id))
+    first = int(rng.integers(0, max(1, len(own) // 4)))
+    notes = own[first : first + max(1, 3 * len(own) // 4)]
+    blob = render(notes)
+    x = np.frombuffer(blob[44:], "<i2")[int(rng.integers(0, 200)) :]
+    x = np.clip(x + rng.normal(0, rng.uniform(0, 600), len(x)), -32000, 32000).astype("<i2").tobytes()
+    return blob[:40] + np.uint32(len(x)).tobytes() + x
+
+
 def rendered(vectors: DataFrame) -> DataFrame:
+    """(id, audio): each vector is played.  Recordings must share material to be found, so a row with vec_id % 5 = 1 is a
+    noisy excerpt of the row at the last full fifty before it, where there is one."""
+    own = vectors.select("vec_id", "embedding", F.when(F.col("vec_id") % 5 == 1, F.col("vec_id") - F.pmod(F.col("vec_id"), F.lit(50))).alias("whole"))
+    wholes = vectors.filter("vec_id % 50 = 0").groupBy(F.col("vec_id").alias("whole")).agg(F.min("embedding").alias("source"))
+    rows = own.join(wholes, "whole", "left").select("vec_id", "embedding", "source")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        values = lambda v: np.array([0.0 if x is None else x for x in v])
         for batch in batches:
             for i in range(0, batch.num_rows, 200):
                 part = batch.slice(i, 200)
-                audio = [None if v is None else render(np.array([0.0 if x is None else x for x in v])) for v in part.column(1).to_pylist()]
+                audio = []
+                for d, v, source in zip(*(part.column(c).to_pylist() for c in range(3)), strict=True):
+                    audio.append(covered(values(source), d) if source is not None else None if v is None else render(values(v)))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(audio, pa.binary())], ["id", "audio"])
 
-    return vectors.select("vec_id", "embedding").mapInArrow(run, "id long, audio binary")
+    return rows.mapInArrow(run, "id long, audio binary")
 
 
 def op6_chroma_fingerprints(spark, sf_dir: str) -> DataFrame:
+    """There is no audio among the tables: the vectors of ``embeddings`` are played, see ``rendered``."""
     return identify(rendered(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))).withColumnRenamed("id", "vec_id")
