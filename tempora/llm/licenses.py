@@ -1,8 +1,10 @@
-"""License scan: sparse TF-IDF cosine of lines to notice templates, then inheritance from the nearest directory.
+"""License scan: sparse TF-IDF cosine of headers and licence files to templates, then inheritance from the nearest directory.
 
-DataFrame functions only.  Inverse document frequencies come from all texts.  A line is a candidate header; it has the
-licence of the most similar template if the cosine is ``THRESHOLD`` or more.  A licence file gives its licence to its
-directory; a file without a header of its own takes that of its nearest ancestor directory that has one.
+DataFrame functions only.  Inverse document frequencies come from all texts.  Candidates of a file are each of its lines,
+each run of lines most of whose terms some template has (a notice that is wrapped over lines, behind comment marks or
+not), and the file as a whole; blank lines do not count.  The file has the licence of the most similar template if a
+candidate's cosine is ``THRESHOLD`` or more.  A licence file gives its licence to its directory; a file without a header
+of its own takes that of its nearest ancestor directory that has one.
 """
 
 from __future__ import annotations
@@ -12,8 +14,9 @@ import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
-from .common import materialize, null_safe_join
+from .common import materialize
 
 #: Licence and notice, in the words in which notices are commonly given.
 TEMPLATES = (
@@ -33,8 +36,22 @@ TEMPLATES = (
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0"),
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright under CC0 1.0"),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    # whole notices and licence texts
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."),
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."),
+    ("BSD-2-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED."),
+    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED."),
+    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("LGPL-3.0", "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
+    ("Unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
 )
-THRESHOLD = 0.75
+#: The least cosine, the least share of a line's terms that its run's template has, and copies of each directory's licence,
+#: so that a directory with very many files below it is joined in as many tasks.
+THRESHOLD, COVERED, SALTS = 0.75, 0.5, 16
 SPLIT = r"[^\p{L}\p{N}.\-]+|[.\-]+(?![\p{L}\p{N}])|(?<![\p{L}\p{N}])[.\-]+"
 _SPLIT = re.compile(r"[^\w.\-]+|_+|[.\-]+(?!\w)|(?<!\w)[.\-]+")
 
@@ -79,8 +96,14 @@ def telling_terms(idf: dict[str, float], vectors: list[tuple[str, dict[str, floa
     return out
 
 
-def headers(files: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """(key, license, score, share): the best line of each file that has one; share is that of its terms in the file's.
+def file_id(key: Column, text: Column) -> Column:
+    """Names a file by its key and text: rows without a key, or that share one, are told apart."""
+    return F.md5(F.concat(F.coalesce(key.cast("string"), F.lit("")), F.when(key.isNull(), "?").otherwise("!"), F.coalesce(text, F.lit(""))))
+
+
+def headers(files: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD, covered: float = COVERED) -> DataFrame:
+    """(file, license, score, share): the best candidate of each file (see ``file_id``) that has one; share is that of its
+    characters in the file's.  Of equal scores the first candidate counts, then the first template.
 
     The cosine gives a term that no template has the least weight, 1.
     """
@@ -89,17 +112,30 @@ def headers(files: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD)
     idf, vectors = weights(*document_frequencies(files, vocabulary), templates)
     telling = telling_terms(idf, vectors, threshold)
     some = r"(?<![\p{L}\p{N}])(?:" + "|".join(re.escape(t) for t in telling) + r")(?![\p{L}\p{N}])"
-    lines = files.filter(F.lower("text").rlike(some)).select("key", F.length("text").alias("all"), F.posexplode(F.split("text", "\n")).alias("line", "said"))
-    lines = lines.filter(F.lower("said").rlike(some))
-    counted = lines.select("key", "all", "line", F.length("said").alias("own"), F.explode(terms_column(F.col("said"))).alias("term")).groupBy("key", "all", "line", "own", "term").agg(F.count("*").alias("tf"))
-    values = spark.createDataFrame([(t, w, [(n, i, v[t]) for i, (n, v) in enumerate(vectors) if t in v]) for t, w in sorted(idf.items())], "term string, idf double, uses array<struct<license:string,template:int,w:double>>")
-    weighed = counted.join(F.broadcast(values), "term", "left").withColumn("x", F.col("tf") * F.coalesce("idf", F.lit(1.0)))
-    line = ["key", "all", "line", "own"]
-    norms = weighed.groupBy(*line).agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
-    dots = weighed.filter("uses is not null").select(*line, "x", F.inline("uses")).groupBy(*line, "license", "template").agg(F.sum(F.col("x") * F.col("w")).alias("dot"))
-    scored = null_safe_join(dots, norms, line).withColumn("score", F.round(F.col("dot") / F.col("norm"), 6)).filter(F.col("score") >= threshold)
-    best = scored.groupBy("key").agg(F.max(F.struct("score", (-F.col("line")).alias("line"), (-F.col("template")).alias("template"), "license", (F.col("own") / F.col("all")).alias("share"))).alias("b"))
-    return best.select("key", "b.license", "b.score", "b.share")
+    lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[\p{L}\p{N}]"))
+    told = files.filter(F.lower("text").rlike(some)).select(file_id(F.col("key"), F.col("text")).alias("file"), F.length("text").alias("all"), lines.alias("lines")).distinct()
+    told = materialize(told, "told")
+    values = F.broadcast(spark.createDataFrame([(t, w, [(n, i, v[t]) for i, (n, v) in enumerate(vectors) if t in v]) for t, w in sorted(idf.items())], "term string, idf double, uses array<struct<license:string,template:int,w:double>>"))
+    line = told.select("file", F.posexplode("lines").alias("line", "said"))
+    # runs: neighbouring lines most of whose terms one template has
+    said = line.select("file", "line", F.explode(terms_column(F.col("said"))).alias("term"))
+    size = said.groupBy("file", "line").agg(F.count("*").alias("size"))
+    shared = said.join(values, "term").select("file", "line", F.explode("uses.template").alias("template")).groupBy("file", "line", "template").agg(F.count("*").alias("n"))
+    close = shared.join(size, ["file", "line"]).filter(F.col("n") >= covered * F.col("size"))
+    run = close.withColumn("run", F.col("line") - F.row_number().over(W.partitionBy("file", "template").orderBy("line")))
+    runs = run.groupBy("file", "template", "run").agg(F.min("line").alias("first"), F.count("*").cast("int").alias("n")).filter("n > 1").select("file", "first", "n").distinct()
+    whole = told.filter(F.size("lines") > 1).select("file", F.lit(0).alias("first"), F.size("lines").alias("n"))
+    wide = told.join(runs.unionByName(whole).distinct(), "file").select("file", "all", "first", "n", F.array_join(F.slice("lines", F.col("first") + 1, F.col("n")), "\n").alias("said"))
+    single = told.select("file", "all", F.posexplode("lines").alias("first", "said")).select("file", "all", "first", F.lit(1).alias("n"), "said")
+    spans = single.unionByName(wide).filter(F.lower("said").rlike(some))
+    span = ["file", "all", "first", "n", "own"]
+    counted = spans.select("file", "all", "first", "n", F.length("said").alias("own"), F.explode(terms_column(F.col("said"))).alias("term")).groupBy(*span, "term").agg(F.count("*").alias("tf"))
+    weighed = counted.join(values, "term", "left").withColumn("x", F.col("tf") * F.coalesce("idf", F.lit(1.0)))
+    norms = weighed.groupBy(*span).agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
+    dots = weighed.filter("uses is not null").select(*span, "x", F.inline("uses")).groupBy(*span, "license", "template").agg(F.sum(F.col("x") * F.col("w")).alias("dot"))
+    scored = dots.join(norms, span).withColumn("score", F.round(F.col("dot") / F.col("norm"), 6)).filter(F.col("score") >= threshold)
+    best = scored.groupBy("file").agg(F.max(F.struct("score", (-F.col("first")).alias("first"), (-F.col("n")).alias("n"), (-F.col("template")).alias("template"), "license", F.least(F.lit(1.0), F.col("own") / F.col("all")).alias("share"))).alias("b"))
+    return best.select("file", "b.license", "b.score", "b.share")
 
 
 def scan(files: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD, file_names: str = r"(?i)^(licen[cs]e|copying|notice)", file_share: float = 0.5) -> DataFrame:
@@ -108,20 +144,22 @@ def scan(files: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD, fi
     how: ``header`` (its own), ``inherited`` (from_path is the licence file's), or null.  A licence file is one whose
     name says so, or more than ``file_share`` of whose text is the notice, and that has a header.  A null path is in no
     directory; a null or empty text has no header.  Of two licence files in a directory the more similar counts, then
-    the first by path.  Keys name rows: rows that share a key share their result.
+    the first by path.  Rows that repeat get equal results; rows that share a key or have none are files in their own
+    right.  An empty table gives an empty one, and no other column is read.
     """
     own = materialize(headers(files, templates, threshold), "headers")
-    marked = null_safe_join(files.select("key", "path"), own, ["key"], "left")
+    marked = files.select("key", "path", file_id(F.col("key"), F.col("text")).alias("file")).join(own, "file", "left")
     parts = F.split("path", "/")
     name, folder = F.element_at(parts, -1), F.array_join(F.slice(parts, F.lit(1), F.greatest(F.size(parts) - 1, F.lit(0))), "/")
     givers = marked.filter(F.col("license").isNotNull() & F.col("path").isNotNull() & (name.rlike(file_names) | (F.col("share") > file_share)))
-    by_folder = givers.groupBy(folder.alias("folder")).agg(F.min(F.struct((-F.col("score")).alias("s"), F.col("path").alias("from_path"), "license")).alias("g")).select("folder", F.col("g.from_path").alias("from_path"), F.col("g.license").alias("given"))
-    wanting = marked.filter(F.col("license").isNull() & F.col("path").isNotNull()).select("key", "path").distinct()
+    by_folder = givers.groupBy(folder.alias("folder")).agg(F.min(F.struct((-F.col("score")).alias("s"), F.col("path").alias("from_path"), "license")).alias("g"))
+    by_folder = by_folder.select("folder", F.col("g.from_path").alias("from_path"), F.col("g.license").alias("given"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    wanting = marked.filter(F.col("license").isNull() & F.col("path").isNotNull()).select("path").distinct()
     depth = F.greatest(F.size(parts) - 1, F.lit(0))
     up = F.transform(F.sequence(F.lit(0), depth), lambda i: F.struct(i.alias("depth"), F.array_join(F.slice(parts, F.lit(1), i), "/").alias("folder")))
-    nearest = wanting.select("key", "path", F.inline(up)).join(by_folder, "folder").groupBy("key", "path").agg(F.max(F.struct("depth", "from_path", "given")).alias("n"))
-    nearest = nearest.select("key", "path", F.col("n.from_path").alias("from_path"), F.col("n.given").alias("given"))
-    out = null_safe_join(marked, nearest, ["key", "path"], "left")
+    above = wanting.select("path", F.pmod(F.xxhash64("path"), F.lit(SALTS)).cast("int").alias("salt"), F.inline(up))
+    nearest = above.join(by_folder, ["folder", "salt"]).groupBy("path").agg(F.max(F.struct("depth", "from_path", "given")).alias("n"))
+    out = marked.join(nearest.select("path", F.col("n.from_path").alias("from_path"), F.col("n.given").alias("given")), "path", "left")
     how = F.when(F.col("license").isNotNull(), "header").when(F.col("given").isNotNull(), "inherited")
     return out.select("key", "path", F.coalesce("license", "given").alias("license"), "score", how.alias("how"), F.when(F.col("license").isNull(), F.col("from_path")).alias("from_path"))
 
@@ -136,4 +174,5 @@ def document_files(docs: DataFrame) -> DataFrame:
 
 
 def op1_license_scan(spark, sf_dir: str) -> DataFrame:
+    """The directories are made from doc_id, see ``document_files``: few files inherit anything."""
     return scan(document_files(spark.read.parquet(f"{sf_dir}/documents.parquet"))).withColumnRenamed("key", "doc_id")
