@@ -95,14 +95,22 @@ def block_takes(src: DataFrame, n_slots: int = 1 << 18) -> DataFrame:
     # every block of a source, also those without a slot, so that the words before a block are known
     blocks = src.filter("source_size > 0").select("source", "block", F.explode(F.sequence(F.lit(0), (n_blocks - 1).cast("long"))).alias("blk"))
     full = null_safe_join(blocks, taken, ["source", "blk"], "left").select("source", "blk", *[F.coalesce(F.col(c), F.lit(0)).alias(c) for c in ("n_full", "part", "got")])
-    order = W.partitionBy("source").orderBy("blk").rowsBetween(W.unboundedPreceding, -1)
-    return full.withColumn("before", F.coalesce(F.sum("got").over(order), F.lit(0))).drop("got")
+    # words before a block: of the chunks of blocks before its own, then within that, so that no task has a whole source
+    full = full.withColumn("chunk", F.floor(F.col("blk") / CHUNK))
+    chunks = full.groupBy("source", "chunk").agg(F.sum("got").alias("n"))
+    earlier = W.partitionBy("source").orderBy("chunk").rowsBetween(W.unboundedPreceding, -1)
+    chunks = chunks.select("source", "chunk", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
+    order = W.partitionBy("source", "chunk").orderBy("blk").rowsBetween(W.unboundedPreceding, -1)
+    full = full.withColumn("own", F.coalesce(F.sum("got").over(order), F.lit(0)))
+    return null_safe_join(full, chunks, ["source", "chunk"]).withColumn("before", F.col("base") + F.col("own")).drop("got", "own", "base", "chunk")
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (5, 2, 1), ratio: float = 1.5, cap: float = 2.0, n_slots: int = 1 << 18, seed: int = 11) -> DataFrame:
     """doc_id, source, size, source_size, target, taken: a row for each row of ``docs``."""
-    sizes = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"))
-    sizes = materialize(sizes.withColumn("h", F.coalesce(shuffle_key(seed, F.col("doc_id")), F.lit(0))), "sizes")
+    text = F.col(text_col)
+    named = F.coalesce(F.col(id_col).cast("string"), F.md5(F.coalesce(text, F.lit(""))))  # rows without ids by their texts
+    sizes = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(text).alias("size"), shuffle_key(seed, named).alias("h"))
+    sizes = materialize(sizes, "sizes")
     src = materialize(targets(sizes, weights, ratio, cap, n_slots), "sources")
     takes = materialize(block_takes(src, n_slots), "takes")
 
@@ -149,7 +157,7 @@ def op2_mix_sources(spark, sf_dir: str) -> DataFrame:
 OP2_SQL = r"""
 WITH sizes AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-         coalesce(('0x' || substr(md5('11|' || doc_id::VARCHAR), 1, 13))::BIGINT, 0) AS h
+         ('0x' || substr(md5('11|' || coalesce(doc_id::VARCHAR, md5(coalesce(text, '')))), 1, 13))::BIGINT AS h
   FROM documents
 ), src0 AS (
   SELECT source, sum(size)::BIGINT AS source_size FROM sizes GROUP BY source
