@@ -2,7 +2,7 @@
 
 DataFrame functions only.  Inverse document frequencies come from all texts.  Candidates of a file are each of its lines,
 each run of lines most of whose terms some template has (a notice that is wrapped over lines, behind comment marks or
-not), and the file as a whole; blank lines do not count.  The file has the licence of the most similar template if a
+not), and the file as a whole if half of its lines are such lines of one template; blank lines do not count.  The file has the licence of the most similar template if a
 candidate's cosine is ``THRESHOLD`` or more.  A licence file gives its licence to its directory; a file without a header
 of its own takes that of its nearest ancestor directory that has one.
 """
@@ -96,9 +96,25 @@ def telling_terms(idf: dict[str, float], vectors: list[tuple[str, dict[str, floa
     return out
 
 
+def any_of(words: list[str]) -> str:
+    """A pattern of whole words, with common beginnings shared, so that few alternatives are tried at a place."""
+
+    def tree(rest: list[str]) -> str:
+        heads: dict[str, list[str]] = {}
+        for w in rest:
+            if w:
+                heads.setdefault(w[0], []).append(w[1:])
+        parts = [re.escape(c) + tree(tails) for c, tails in sorted(heads.items())]
+        if not parts:
+            return ""
+        return (parts[0] if len(parts) == 1 and "" not in rest else "(?:" + "|".join(parts) + ")") + ("?" if "" in rest else "")
+
+    return r"(?<![\p{L}\p{N}])" + (tree(sorted(set(words))) or "(?!)") + r"(?![\p{L}\p{N}])"
+
+
 def file_id(key: Column, text: Column) -> Column:
     """Names a file by its key and text: rows without a key, or that share one, are told apart."""
-    return F.md5(F.concat(F.coalesce(key.cast("string"), F.lit("")), F.when(key.isNull(), "?").otherwise("!"), F.coalesce(text, F.lit(""))))
+    return F.unhex(F.md5(F.concat(F.coalesce(key.cast("string"), F.lit("")), F.when(key.isNull(), "?").otherwise("!"), F.coalesce(text, F.lit("")))))
 
 
 def headers(files: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD, covered: float = COVERED) -> DataFrame:
@@ -111,7 +127,7 @@ def headers(files: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD,
     vocabulary = sorted({t for _, x in templates for t in terms(x)})
     idf, vectors = weights(*document_frequencies(files, vocabulary), templates)
     telling = telling_terms(idf, vectors, threshold)
-    some = r"(?<![\p{L}\p{N}])(?:" + "|".join(re.escape(t) for t in telling) + r")(?![\p{L}\p{N}])"
+    some = any_of(telling)
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[\p{L}\p{N}]"))
     told = files.filter(F.lower("text").rlike(some)).select(file_id(F.col("key"), F.col("text")).alias("file"), F.length("text").alias("all"), lines.alias("lines")).distinct()
     told = materialize(told, "told")
@@ -121,19 +137,22 @@ def headers(files: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD,
     said = line.select("file", "line", F.explode(terms_column(F.col("said"))).alias("term"))
     size = said.groupBy("file", "line").agg(F.count("*").alias("size"))
     shared = said.join(values, "term").select("file", "line", F.explode("uses.template").alias("template")).groupBy("file", "line", "template").agg(F.count("*").alias("n"))
-    close = shared.join(size, ["file", "line"]).filter(F.col("n") >= covered * F.col("size"))
+    close = shared.join(size, ["file", "line"]).filter(F.col("n") >= covered * F.col("size")).select("file", "line", "template")
     run = close.withColumn("run", F.col("line") - F.row_number().over(W.partitionBy("file", "template").orderBy("line")))
     runs = run.groupBy("file", "template", "run").agg(F.min("line").alias("first"), F.count("*").cast("int").alias("n")).filter("n > 1").select("file", "first", "n").distinct()
-    whole = told.filter(F.size("lines") > 1).select("file", F.lit(0).alias("first"), F.size("lines").alias("n"))
-    wide = told.join(runs.unionByName(whole).distinct(), "file").select("file", "all", "first", "n", F.array_join(F.slice("lines", F.col("first") + 1, F.col("n")), "\n").alias("said"))
+    runs = materialize(runs.unionByName(close.groupBy("file", "template").agg(F.count("*").cast("int").alias("k")).filter("k > 1").groupBy("file").agg(F.lit(0).alias("first"), (-F.max("k")).alias("n"))), "runs")
+    wide = told.join(runs, "file").filter((F.col("n") > 0) | ((F.size("lines") > 1) & (-2 * F.col("n") >= F.size("lines"))))
+    wide = wide.select("file", "all", "lines", "first", F.when(F.col("n") > 0, F.col("n")).otherwise(F.size("lines")).alias("n")).distinct()
+    wide = wide.select("file", "all", "first", "n", F.array_join(F.slice("lines", F.col("first") + 1, F.col("n")), "\n").alias("said"))
     single = told.select("file", "all", F.posexplode("lines").alias("first", "said")).select("file", "all", "first", F.lit(1).alias("n"), "said")
     spans = single.unionByName(wide).filter(F.lower("said").rlike(some))
-    span = ["file", "all", "first", "n", "own"]
-    counted = spans.select("file", "all", "first", "n", F.length("said").alias("own"), F.explode(terms_column(F.col("said"))).alias("term")).groupBy(*span, "term").agg(F.count("*").alias("tf"))
+    span = ["file", "first", "n"]
+    counted = spans.select(*span, F.explode(terms_column(F.col("said"))).alias("term")).groupBy(*span, "term").agg(F.count("*").alias("tf"))
     weighed = counted.join(values, "term", "left").withColumn("x", F.col("tf") * F.coalesce("idf", F.lit(1.0)))
     norms = weighed.groupBy(*span).agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
     dots = weighed.filter("uses is not null").select(*span, "x", F.inline("uses")).groupBy(*span, "license", "template").agg(F.sum(F.col("x") * F.col("w")).alias("dot"))
     scored = dots.join(norms, span).withColumn("score", F.round(F.col("dot") / F.col("norm"), 6)).filter(F.col("score") >= threshold)
+    scored = scored.join(spans.select(*span, "all", F.length("said").alias("own")), span)
     best = scored.groupBy("file").agg(F.max(F.struct("score", (-F.col("first")).alias("first"), (-F.col("n")).alias("n"), (-F.col("template")).alias("template"), "license", F.least(F.lit(1.0), F.col("own") / F.col("all")).alias("share"))).alias("b"))
     return best.select("file", "b.license", "b.score", "b.share")
 

@@ -38,9 +38,11 @@ def brute(rows):
     for key, path, text in rows:
         best = None
         lines = [x for x in (text or "").split("\n") if any(map(str.isalnum, x))]
-        spans = {(k, 1) for k in range(len(lines))} | ({(0, len(lines))} if lines else set())
+        spans = {(k, 1) for k in range(len(lines))}
         for _, v in vectors:
             close = [sum(t in v for t in L.terms(x)) >= L.COVERED * len(L.terms(x)) for x in lines] + [False]
+            if sum(close) > 1 and 2 * sum(close) >= len(lines):
+                spans.add((0, len(lines)))
             begun = None
             for k, c in enumerate(close):
                 if c and begun is None:
