@@ -3,8 +3,10 @@
 A recording (16-bit PCM WAV) becomes frames of twelve pitch classes.  Sixteen box filters over an integral image of the
 frames compare regions of time and pitch; each gives two bits, and the sixteen a 32-bit integer for every frame.
 
-A search looks up keys: the sixteen sign bits of a frame and those of the frame ``APART`` later.  All recordings are
-indexed by every key, the queries ask for each of theirs and for those that differ from it in one bit.  What agrees votes
+A search looks up keys: sixteen bits of a frame and of those ``APART`` and twice that later, those that err least when a
+recording begins between two frames of another: on which side of zero the filters are that do not compare times, and
+how far those that compare the middle with the sides.  All recordings are indexed by every key, the queries ask for
+each of theirs and for those that differ from it in one bit.  What agrees votes
 for an offset; at every offset with ``VOTES`` (and beside it) the share of differing bits over the overlap decides.  This
 is an index with a recall, not a proof: an alignment of which no two keys agree within a bit is missed (see the tests).
 Recordings with the same fingerprint form a class; classes are searched and matched, never all pairs of their members.
@@ -26,8 +28,9 @@ from .common import materialize, slices
 #: Seconds of a frame and between frames, frames that a filter spans, pitch range, and what aligns.
 WINDOW, HOP, SPAN, LOW, HIGH = 0.256, 0.05, 8, 60.0, 1900.0
 MAX_ERROR, MIN_OVERLAP = 0.15, 16
-#: The bits that say on which side of zero each filter is, frames between the two of a key, and votes that an offset needs.
-SIGNS, APART, VOTES = 0xAAAAAAAA, 8, 2
+#: The bits of a key (of every four filters, two of each: none, first, first, both), frames between the three of a key, and
+#: votes that an offset needs.
+KEY_BITS, APART, VOTES = 0x2B2B2B2B, 5, 2
 #: Copies of each query's fingerprint, so that one with very many candidates is checked in as many tasks.
 SALTS = 16
 
@@ -129,10 +132,14 @@ def classes(fps: DataFrame) -> DataFrame:
 def keys_of(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(positions, keys, whether of a run of several): of the frames at which a run of equal keys begins or ends, so that
     a held tone has two."""
-    signs = fp & np.int64(SIGNS)
-    k = signs[: max(0, len(fp) - APART)] << np.int64(31) | signs[APART:] >> np.int64(1)
-    if not len(k):
-        return np.zeros(0, np.int64), k, np.zeros(0, bool)
+    n = len(fp) - 2 * APART
+    if n < 1:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
+    own = np.zeros(len(fp), np.int64)
+    for bit in range(32):
+        if KEY_BITS >> bit & 1:
+            own = own << np.int64(1) | fp >> np.int64(bit) & np.int64(1)
+    k = own[:n] << np.int64(32) | own[APART : n + APART] << np.int64(16) | own[2 * APART :]
     change = k[1:] != k[:-1]
     begins, ends = np.concatenate([[True], change]), np.concatenate([change, [True]])
     at = np.flatnonzero(begins | ends)
@@ -145,7 +152,7 @@ def keys(reps: DataFrame, min_overlap: int, probes: bool) -> DataFrame:
 
     Classes shorter than any overlap align with nothing, and a class of rows without ids only is no other of any.
     """
-    flips = np.array([0, *[1 << 2 * i for i in range(32)]], np.int64) if probes else np.zeros(1, np.int64)
+    flips = np.array([0, *[1 << i for i in range(48)]], np.int64) if probes else np.zeros(1, np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -245,9 +252,11 @@ def covered(own: np.ndarray, vec_id: int) -> bytes:
 def rendered(vectors: DataFrame) -> DataFrame:
     """(id, audio): each vector is played.  Recordings must share material to be found, so a row with vec_id % 5 = 1 is a
     noisy excerpt of the row at the last full fifty before it, where there is one."""
-    own = vectors.select("vec_id", "embedding", F.when(F.col("vec_id") % 5 == 1, F.col("vec_id") - F.pmod(F.col("vec_id"), F.lit(50))).alias("whole"))
+    excerpt = F.coalesce(F.pmod(F.col("vec_id"), F.lit(5)) == 1, F.lit(False))
     wholes = vectors.filter("vec_id % 50 = 0").groupBy(F.col("vec_id").alias("whole")).agg(F.min("embedding").alias("source"))
-    rows = own.join(wholes, "whole", "left").select("vec_id", "embedding", "source")
+    parts = vectors.filter(excerpt).select("vec_id", "embedding", (F.col("vec_id") - F.pmod(F.col("vec_id"), F.lit(50))).alias("whole"))
+    rows = vectors.filter(~excerpt).select("vec_id", "embedding", F.lit(None).cast(vectors.schema["embedding"].dataType).alias("source"))
+    rows = rows.unionByName(parts.join(wholes, "whole", "left").select("vec_id", "embedding", "source"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         values = lambda v: np.array([0.0 if x is None else x for x in v])
