@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tempora.functions.rules import holds
@@ -13,19 +15,19 @@ from tempora.functions.scores import combined, noisy_or
 from tempora.operators.graph import in_window
 
 
-def _instances(contexts: DataFrame, rules: DataFrame, edges: DataFrame, window: int, tied: bool, longest: int | None = None) -> DataFrame:
-    """(q_sub, q_ts, body_rels, ents, cand, start, n) of rules with (``tied``) or without constraints.
+def _instances(contexts: DataFrame, rules: DataFrame, edges: DataFrame, window: int, tied: bool, lengths: list[int]) -> DataFrame:
+    """(q_sub, q_ts, body_rels, ents, cand, start, n) of rules with (``tied``) or without constraints, of these lengths.
 
     Only the latest start matters to a score, and later hops depend on the node and time reached (and, for constraints, on
     the entities), so that states are reduced to their latest start after each hop.
     """
     keys = ["q_sub", "q_ts", "prefix", *(["ents"] if tied else []), "node", "last"]
     rules = rules.filter(F.size("var_constraints") > 0 if tied else F.size("var_constraints") == 0)
-    longest = longest or rules.select(F.max(F.size("body_rels"))).first()[0] or 0
-    wanted = contexts.join(rules.select("head_rel", "body_rels").distinct(), "head_rel").select("q_sub", "q_ts", "body_rels").distinct()
+    # read at every hop: what each subject and time asks for
+    wanted = contexts.join(rules.select("head_rel", "body_rels").distinct(), "head_rel").select("q_sub", "q_ts", "body_rels").distinct().persist()
     e = edges.select(F.col("sub").alias("s"), F.col("rel").alias("r"), F.col("obj").alias("o"), F.col("ts").alias("t"), F.col("split").alias("sp"))
     out = state = None
-    for k in range(1, max(longest, 1) + 1):
+    for k in range(1, lengths[-1] + 1):
         here = wanted.filter(F.size("body_rels") >= k).select("q_sub", "q_ts", F.slice("body_rels", 1, k).alias("prefix")).distinct().withColumn("rk", F.element_at("prefix", -1))
         usable = in_window(F.col("q_ts"), F.col("t"), F.col("sp"), window)
         if state is None:
@@ -38,24 +40,33 @@ def _instances(contexts: DataFrame, rules: DataFrame, edges: DataFrame, window:
             ents = F.concat("ents", F.array("o")) if tied else F.lit(None).cast("array<bigint>")
             step = step.select("q_sub", "q_ts", "prefix", ents.alias("ents"), F.col("o").alias("node"), F.col("t").alias("last"), "start", "n")
         state = step.groupBy(*keys).agg(F.max("start").alias("start"), F.sum("n").alias("n"))
+        if k not in lengths:
+            continue
         done = wanted.filter(F.size("body_rels") == k).withColumnRenamed("body_rels", "prefix")
         ents = "ents" if tied else F.lit(None).cast("array<bigint>").alias("ents")
-        full = state.join(done, ["q_sub", "q_ts", "prefix"], "left_semi").select("q_sub", "q_ts", F.col("prefix").alias("body_rels"), ents, F.col("node").alias("cand"), "start", "n")
+        ended = state if k == lengths[-1] else state.join(done, ["q_sub", "q_ts", "prefix"], "left_semi")
+        full = ended.select("q_sub", "q_ts", F.col("prefix").alias("body_rels"), ents, F.col("node").alias("cand"), "start", "n")
         out = full if out is None else out.unionByName(full)
     return out.groupBy("q_sub", "q_ts", "body_rels", "ents", "cand").agg(F.max("start").alias("start"), F.sum("n").alias("n"))
 
 
-def apply_rules(queries: DataFrame, rules: DataFrame, edges: DataFrame, window: int = 0, longest: int | None = None) -> DataFrame:
+def apply_rules(queries: DataFrame, rules: DataFrame, edges: DataFrame, window: int = 0) -> DataFrame:
     """(qid, q_ts, head_rel, rule_rank, cand, start, n_walks, rule_supp, body_supp): what each rule with the query's
-    relation as head gives, the latest start of its walks and their number.  Rules have rule_rank (see rank_rules) and
-    ``longest`` relations at most (asked of them if not given)."""
+    relation as head gives, the latest start of its walks and their number.  Rules have rule_rank (see rank_rules);
+    which lengths they have is asked of them first, so they had better be persisted."""
     q = queries.select("qid", F.col("sub").alias("q_sub"), F.col("rel").alias("head_rel"), F.col("ts").alias("q_ts"))
     contexts = q.select("q_sub", "q_ts", "head_rel").distinct()
     asked = q.join(rules, "head_rel")
     on = ["q_sub", "q_ts", "body_rels"]
-    free = asked.filter(F.size("var_constraints") == 0).join(_instances(contexts, rules, edges, window, False, longest), on)
-    tied = asked.filter(F.size("var_constraints") > 0).join(_instances(contexts, rules, edges, window, True, longest), on).filter(holds(F.col("var_constraints"), F.col("ents")))
-    both = free.unionByName(tied)
+    kinds = {tuple(r) for r in rules.select(F.size("var_constraints") > 0, F.size("body_rels")).distinct().collect()}
+    parts = []
+    for tied in (False, True):
+        lengths = sorted(n for t, n in kinds if t == tied)
+        if lengths or not (tied or kinds):
+            own = asked.filter(F.size("var_constraints") > 0 if tied else F.size("var_constraints") == 0)
+            found = own.join(_instances(contexts, rules, edges, window, tied, lengths or [1]), on)
+            parts.append(found.filter(holds(F.col("var_constraints"), F.col("ents"))) if tied else found)
+    both = reduce(DataFrame.unionByName, parts)
     return both.groupBy("qid", "q_ts", "head_rel", "rule_rank", "cand", "rule_supp", "body_supp").agg(F.max("start").alias("start"), F.sum("n").alias("n_walks"))
 
 
@@ -88,6 +99,21 @@ def score_grid(matches: DataFrame, grid: list[tuple[float, float]]) -> DataFrame
     return m.withColumn("score", combined(F.col("rule_supp"), F.col("body_supp"), F.col("start"), F.col("q_ts"), F.col("lmbda"), F.col("a")))
 
 
+def final_order(lists: DataFrame) -> DataFrame:
+    """``candidate_lists`` with ``place``, from 1 within the query: by the noisy-or, then by the list of scores, then by
+    the candidate."""
+    order = W.partitionBy("qid").orderBy(F.desc("score"), F.desc("scores"), "cand")
+    return lists.withColumn("place", F.row_number().over(order))
+
+
+def ranked_by_rules(scored: DataFrame) -> DataFrame:
+    """(qid, cand, scores, place): candidates by their scores in the order of the rules that gave them, without combining
+    them: what a single query is shown with."""
+    by_rule = F.array_sort(F.collect_list(F.struct("rule_rank", (-F.col("score")).alias("s"))))
+    lists = scored.groupBy("qid", "cand").agg(F.transform(by_rule, lambda x: -x["s"]).alias("scores"))
+    return lists.withColumn("place", F.row_number().over(W.partitionBy("qid").orderBy(F.desc("scores"), "cand")))
+
+
 def candidate_lists(scored: DataFrame, digits: int | None = None) -> DataFrame:
     """(qid, cand, scores, score): a candidate's scores, best first, and their noisy-or."""
     s = F.col("score") if digits is None else F.round("score", digits)
@@ -102,18 +128,28 @@ def early_stop(scored: DataFrame, stop_k: int = 20) -> DataFrame:
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        from bisect import insort
+        from heapq import nlargest
+
         import numpy as np
 
+        pdf = pdf.sort_values("rule_rank", kind="stable")
+        ranks, cands = pdf.rule_rank.to_numpy(), pdf["cand"].tolist()
+        scores = pdf["score"].to_numpy(np.float32).tolist()
+        ends = np.append(np.flatnonzero(np.diff(ranks)) + 1, len(ranks)).tolist()
         lists: dict[int, list[float]] = {}
-        last = int(pdf.rule_rank.max())
-        for rank, part in pdf.sort_values("rule_rank").groupby("rule_rank"):
-            for c, s in zip(part["cand"].tolist(), part["score"].to_numpy(np.float32).tolist(), strict=True):
-                lists.setdefault(c, []).append(s)
-            if len(lists) >= stop_k:
-                top = sorted((sorted(x, reverse=True) for x in lists.values()), reverse=True)[:stop_k]
-                if all(x != y for x, y in zip(top, top[1:], strict=False)):
-                    last = int(rank)
-                    break
+        top: list[int] = []
+        last, begin = int(ranks[-1]), 0
+        for end in ends:
+            touched = set(cands[begin:end])
+            for c, s in zip(cands[begin:end], scores[begin:end], strict=True):
+                insort(lists.setdefault(c, []), s, key=lambda x: -x)
+            begin = end
+            # a list never falls when it grows, so that only those touched can join the first ones
+            top = nlargest(stop_k, touched.union(top), key=lists.__getitem__)
+            if len(top) == stop_k and all(lists[x] != lists[y] for x, y in zip(top, top[1:], strict=False)):
+                last = int(ranks[end - 1])
+                break
         return pd.DataFrame({"qid": [pdf.qid.iloc[0]], "last_rank": [last]})
 
     return scored.select("qid", "rule_rank", "cand", "score").groupBy("qid").applyInPandas(run, "qid long, last_rank long")

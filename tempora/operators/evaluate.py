@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -31,12 +32,12 @@ def with_baseline(queries: DataFrame, candidates: DataFrame, rel_dist: DataFrame
 
 
 def filter_other_answers(queries: DataFrame, candidates: DataFrame) -> DataFrame:
-    """Drops candidates that are another true answer of the same (subject, relation, time) among the queries."""
+    """Drops candidates that are another true answer of the same (subject, relation, time) among the queries.  Candidates
+    are read once: the true answers of each query come first."""
     q = queries.select("qid", "sub", "rel", "obj", "ts")
     truths = q.select("sub", "rel", "ts", F.col("obj").alias("cand")).distinct()
-    joined = candidates.join(q, "qid")
-    other = joined.filter("cand <> obj").join(truths, ["sub", "rel", "ts", "cand"], "left_anti").select("qid", "cand", "score")
-    return other.unionByName(joined.filter("cand = obj").select("qid", "cand", "score"))
+    others = q.join(truths, ["sub", "rel", "ts"]).filter("cand <> obj").select("qid", "cand")
+    return candidates.join(others, ["qid", "cand"], "left_anti").select("qid", "cand", "score")
 
 
 def ranks(queries: DataFrame, candidates: DataFrame, n_entities: int | Column, setting: str = "best") -> DataFrame:
@@ -44,8 +45,10 @@ def ranks(queries: DataFrame, candidates: DataFrame, n_entities: int | Column, s
     (first + last) // 2 + 1); an answer that is no candidate ranks ``n_entities``."""
     if setting not in ("best", "average", "worst"):
         raise ValueError("the rank setting is best, average or worst")
-    answer = queries.select("qid", F.col("obj").alias("cand")).join(candidates, ["qid", "cand"]).select("qid", F.col("score").alias("own"))
-    counted = candidates.join(answer, "qid").groupBy("qid").agg(F.count_if(F.col("score") > F.col("own")).alias("above"), F.count_if(F.col("score") >= F.col("own")).alias("upto"))
+    # one pass over the candidates: the answer's score beside each, then counts, all by query
+    own = F.max(F.when(F.col("cand") == F.col("obj"), F.col("score"))).over(W.partitionBy("qid"))
+    beside = queries.select("qid", "obj").join(candidates, "qid").withColumn("own", own).filter("own is not null")
+    counted = beside.groupBy("qid").agg(F.count_if(F.col("score") > F.col("own")).alias("above"), F.count_if(F.col("score") >= F.col("own")).alias("upto"))
     place = {"best": F.col("above") + 1, "worst": F.col("upto"), "average": F.floor((F.col("above") + F.col("upto") - 1) / 2) + 1}[setting]
     absent = n_entities if isinstance(n_entities, Column) else F.lit(n_entities)
     return queries.select("qid").join(counted, "qid", "left").select("qid", F.coalesce(place, absent).cast("long").alias("rank"))

@@ -51,9 +51,10 @@ def split_counts(edges: DataFrame) -> DataFrame:
 
 
 def new_entities(edges: DataFrame) -> DataFrame:
-    """(split, n_new): entities of the later splits that training does not have."""
-    known = in_split(edges, "train").select("sub").distinct()
-    return edges.filter("split <> 'train'").select("split", "sub").distinct().join(known, "sub", "left_anti").groupBy("split").agg(F.count("*").alias("n_new"))
+    """(split, n_new): how many entities of each later split training does not have."""
+    known = in_split(edges, "train").select("sub").distinct().withColumn("known", F.lit(True))
+    later = edges.filter("split <> 'train'").select("split", "sub").distinct().join(known, "sub", "left")
+    return later.groupBy("split").agg(F.count_if(F.col("known").isNull()).alias("n_new"))
 
 
 def queries_of(edges: DataFrame, split: str = "test") -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tempora.functions.rules import inverse, uniform, var_constraints, verbalized
+from tempora.operators.walks import numbered_edges
 
 KEY = ["head_rel", "body_rels", "var_constraints"]
 
@@ -19,28 +20,35 @@ def rules_from_walks(walks: DataFrame, n_relations: int) -> DataFrame:
     return walks.select(F.get("rels", F.lit(0)).alias("head_rel"), body.alias("body_rels"), var_constraints(ents).alias("var_constraints")).distinct()
 
 
-def body_instances(edges: DataFrame, bodies: DataFrame, longest: int | None = None) -> DataFrame:
+def body_instances(edges: DataFrame, bodies: DataFrame, longest: int | None = None, patterns: bool = True) -> DataFrame:
     """(body_rels, pattern, e0, en, last, n): distinct instances of each body, counted by both ends, the last time and the
-    pattern of equal entities.  ``edges`` has distinct rows.  Bodies are expanded hop by hop, prefix by prefix: what
-    two bodies have in common is joined once."""
+    pattern of equal entities; without ``patterns`` that is null, and no entity between the ends is kept.  ``edges`` has
+    distinct rows.  Bodies are expanded hop by hop, prefix by prefix: what two bodies have in common is joined once, and
+    instances that only differ in what no later step asks go on as one."""
     longest = longest or bodies.select(F.max(F.size("body_rels"))).first()[0] or 1
-    out = None
-    state = None
+    out = state = None
+    ents = "ents" if patterns else "e0"
+    e = edges.select(F.col("sub").alias("s"), F.col("rel").alias("r"), F.col("obj").alias("o"), F.col("ts").alias("t"))
     for k in range(1, longest + 1):
         here = bodies.filter(F.size("body_rels") >= k).select(F.slice("body_rels", 1, k).alias("prefix")).distinct()
-        e = edges.select(F.col("sub").alias("s"), F.col("rel").alias("r"), F.col("obj").alias("o"), F.col("ts").alias("t"))
         if state is None:
-            state = here.withColumn("r0", F.get("prefix", F.lit(0))).join(e, F.col("r0") == F.col("r")).select("prefix", F.array("s", "o").alias("ents"), F.col("t").alias("last"), F.lit(1).cast("long").alias("n"))
+            first = here.withColumn("r0", F.get("prefix", F.lit(0))).join(e, F.col("r0") == F.col("r"))
+            kept = F.array("s", "o") if patterns else F.col("s")
+            step = first.select("prefix", kept.alias(ents), F.col("o").alias("en"), F.col("t").alias("last"), F.lit(1).cast("long").alias("n"))
         else:
             here = here.select(F.slice("prefix", 1, k - 1).alias("was"), F.element_at("prefix", -1).alias("rk"), "prefix")
             step = state.withColumnRenamed("prefix", "was").join(here, "was")
-            on = (F.element_at("ents", -1) == F.col("s")) & (F.col("rk") == F.col("r")) & (F.col("t") >= F.col("last"))
-            step = step.join(e, on).select("prefix", F.concat("ents", F.array("o")).alias("ents"), F.col("t").alias("last"), "n")
-            # instances that only differ in earlier times go on alike
-            state = step.groupBy("prefix", "ents", "last").agg(F.sum("n").alias("n"))
+            step = step.join(e, (F.col("en") == F.col("s")) & (F.col("rk") == F.col("r")) & (F.col("t") >= F.col("last")))
+            kept = F.concat("ents", F.array("o")) if patterns else F.col("e0")
+            step = step.select("prefix", kept.alias(ents), F.col("o").alias("en"), F.col("t").alias("last"), "n")
+        state = step.groupBy("prefix", ents, "en", "last").agg(F.sum("n").alias("n"))
         done = bodies.filter(F.size("body_rels") == k).select("body_rels").distinct()
-        full = state.join(done, state.prefix == done.body_rels, "left_semi").select(F.col("prefix").alias("body_rels"), var_constraints(F.col("ents")).alias("pattern"), F.get("ents", F.lit(0)).alias("e0"), F.element_at("ents", -1).alias("en"), "last", "n")
-        full = full.groupBy("body_rels", "pattern", "e0", "en", "last").agg(F.sum("n").alias("n"))
+        full = state.join(done, state.prefix == done.body_rels, "left_semi")
+        pattern = var_constraints(F.col("ents")) if patterns else F.lit(None).cast("array<array<int>>")
+        e0 = F.get("ents", F.lit(0)) if patterns else F.col("e0")
+        full = full.select(F.col("prefix").alias("body_rels"), pattern.alias("pattern"), e0.alias("e0"), "en", "last", "n")
+        if patterns:
+            full = full.groupBy("body_rels", "pattern", "e0", "en", "last").agg(F.sum("n").alias("n"))
         out = full if out is None else out.unionByName(full)
     return out
 
@@ -53,56 +61,71 @@ def support(rules: DataFrame, edges: DataFrame, longest: int | None = None) -> D
     strictly later time: only the latest such edge matters.  conf is their ratio, half-even at six digits.
     """
     e = edges.select("sub", "rel", "obj", "ts").distinct()
-    found = body_instances(e, rules.select("body_rels"), longest)
-    patterned = found.groupBy("body_rels", "pattern").agg(F.sum("n").alias("bs"))
     latest = e.groupBy(F.col("sub").alias("e0"), F.col("obj").alias("en"), F.col("rel").alias("head_rel")).agg(F.max("ts").alias("latest"))
-    heads = found.join(latest, ["e0", "en"]).filter("latest > last").groupBy("head_rel", "body_rels", "pattern").agg(F.sum("n").alias("rs"))
 
-    def by_rule(counts: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
-        free = counts.groupBy(*keys).agg(F.sum(value).alias(name)).withColumn("var_constraints", F.array().cast("array<array<int>>"))
-        tied = counts.filter(F.size("pattern") > 0).select(*keys, F.col(value).alias(name), F.col("pattern").alias("var_constraints"))
-        return free.unionByName(tied.select(free.columns))
+    def counted(tied: bool) -> DataFrame:
+        own = rules.filter(F.size("var_constraints") > 0 if tied else F.size("var_constraints") == 0)
+        found = body_instances(e, own.select("body_rels"), longest, patterns=tied)
+        by = ["body_rels", "pattern"] if tied else ["body_rels"]
+        if tied:
+            found = found.filter(F.size("pattern") > 0)
+        bs = found.groupBy(*by).agg(F.sum("n").alias("body_supp"))
+        rs = found.join(latest, ["e0", "en"]).filter("latest > last").groupBy("head_rel", *by).agg(F.sum("n").alias("rule_supp"))
+        keyed = own.withColumn("pattern", F.col("var_constraints"))
+        return keyed.join(bs, by, "left").join(rs, ["head_rel", *by], "left").select(*KEY, "rule_supp", "body_supp")
 
-    out = rules.join(by_rule(patterned, ["body_rels"], "bs", "body_supp"), ["body_rels", "var_constraints"], "left")
-    out = out.join(by_rule(heads, ["head_rel", "body_rels"], "rs", "rule_supp"), KEY, "left")
+    out = counted(False).unionByName(counted(True))
+    return out.select(*KEY, *_supports())
+
+
+def _supports() -> list[Column]:
     rs, bs = F.coalesce("rule_supp", F.lit(0)).cast("long"), F.coalesce("body_supp", F.lit(0)).cast("long")
-    return out.select(*KEY, rs.alias("rule_supp"), bs.alias("body_supp"), F.when(bs > 0, F.bround(rs / bs, 6)).otherwise(0.0).alias("conf"))
+    return [rs.alias("rule_supp"), bs.alias("body_supp"), F.when(bs > 0, F.bround(rs / bs, 6)).otherwise(0.0).alias("conf")]
+
+
+def _later_edges(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(r, sub, i, obj, ts): edges numbered from 0 within (relation, subject), latest first, then by object; and (r, sub,
+    ts, upto): how many are not earlier than each of their times.  Numbers come by time first, so that a subject with
+    very many edges takes no more rows than there are times."""
+    e = edges.select(F.col("rel").alias("r"), "sub", "ts", "obj")
+    later = W.partitionBy("r", "sub").orderBy(F.desc("ts"))
+    times = e.groupBy("r", "sub", "ts").agg(F.count("*").alias("m")).withColumn("upto", F.sum("m").over(later.rowsBetween(W.unboundedPreceding, 0)))
+    rn = F.row_number().over(W.partitionBy("r", "sub", "ts").orderBy("obj")) - 1
+    rows = e.withColumn("rn", rn).join(times, ["r", "sub", "ts"]).select("r", "sub", (F.col("upto") - F.col("m") + F.col("rn")).alias("i"), "obj", "ts")
+    return rows, times.select("r", "sub", "ts", "upto")
 
 
-def sampled_support(rules: DataFrame, edges: DataFrame, n_samples: int = 500, seed: int = 7) -> DataFrame:
+def sampled_support(rules: DataFrame, edges: DataFrame, n_samples: int = 500, seed: int = 7, longest: int | None = None) -> DataFrame:
     """``support`` by sampled body instances (distinct ones count): each sample starts at a uniform edge of the first
     relation and goes on to a uniform edge that is not earlier; a rule with constraints takes exact patterns only.
 
-    Adjacency is an array for each (relation, subject), ordered by time, so that a hop is one lookup a sample.
+    Edges are numbered, so that each pick is an equi-join; how many edges a hop has to pick from is looked up once for
+    each (relation, subject, time) that samples have, by a running count over the times of both.
     """
-    e = edges.select("sub", "rel", "obj", "ts")
+    e = edges.select("eid", "sub", "rel", "obj", "ts")
     rules = rules.withColumn("rule", F.concat_ws(";", F.col("head_rel").cast("string"), F.col("body_rels").cast("string"), F.col("var_constraints").cast("string")))
-    longest = rules.select(F.max(F.size("body_rels"))).first()[0] or 1
-    ranked = e.withColumn("i", F.row_number().over(W.partitionBy("rel", "sub").orderBy("ts", "obj")) - 1)
-    nodes = ranked.groupBy("rel", "sub").agg(F.count("*").alias("m"))
-    before = W.partitionBy("rel").orderBy("sub").rowsBetween(W.unboundedPreceding, -1)
-    nodes = nodes.withColumn("before", F.coalesce(F.sum("m").over(before), F.lit(0))).withColumn("total", F.sum("m").over(W.partitionBy("rel")))
-    adjacent = e.groupBy("rel", "sub").agg(F.array_sort(F.collect_list(F.struct("ts", "obj"))).alias("out"))
-    totals = nodes.groupBy(F.col("rel").alias("r")).agg(F.first("total").alias("total"))
-    s = rules.select("rule", "body_rels", F.explode(F.sequence(F.lit(0), F.lit(n_samples - 1))).alias("k"))
-    s = s.withColumn("r", F.get("body_rels", F.lit(0))).join(totals, "r").withColumn("pick", F.pmod(uniform(seed, "rule", "k"), F.col("total"))).drop("total")
-    own = nodes.select(F.col("rel").alias("r"), "sub", "before", "m")
-    s = s.join(own, "r").filter((F.col("pick") >= F.col("before")) & (F.col("pick") < F.col("before") + F.col("m"))).withColumn("i", (F.col("pick") - F.col("before")).cast("int"))
-    first = adjacent.select(F.col("rel").alias("r"), "sub", "out")
-    s = s.join(first, ["r", "sub"]).withColumn("x", F.get("out", F.col("i"))).select("rule", "body_rels", "k", F.array("sub", "x.obj").alias("ents"), F.array("x.ts").alias("tss"))
+    longest = longest or rules.select(F.max(F.size("body_rels"))).first()[0] or 1
+    numbered, sizes = numbered_edges(e)
+    s = rules.select("rule", "body_rels", F.get("body_rels", F.lit(0)).alias("rel"), F.explode(F.sequence(F.lit(0), F.lit(n_samples - 1))).alias("k"))
+    s = s.join(sizes, "rel").withColumn("i", F.pmod(uniform(seed, "rule", "k"), F.col("n"))).join(numbered.select("rel", "i", "sub", "obj", "ts"), ["rel", "i"])
+    s = s.select("rule", "body_rels", "k", F.array("sub", "obj").alias("ents"), F.array("ts").alias("tss"))
+    if longest > 1:
+        rows, times = _later_edges(e)
     for hop in range(1, longest):
-        more = s.filter(F.size("body_rels") > hop).withColumn("r", F.get("body_rels", F.lit(hop))).withColumn("sub", F.element_at("ents", -1))
-        more = more.join(first, ["r", "sub"]).withColumn("late", F.filter("out", lambda x: x.ts >= F.element_at("tss", -1))).filter(F.size("late") > 0)
-        more = more.withColumn("x", F.get("late", F.pmod(uniform(seed + hop, "rule", "k"), F.size("late")).cast("int")))
-        more = more.select("rule", "body_rels", "k", F.concat("ents", F.array("x.obj")).alias("ents"), F.concat("tss", F.array("x.ts")).alias("tss"))
+        more = s.filter(F.size("body_rels") > hop).withColumn("r", F.get("body_rels", F.lit(hop))).withColumn("sub", F.element_at("ents", -1)).withColumn("now", F.element_at("tss", -1))
+        asked = more.select("r", "sub", "now").distinct()
+        both = times.select("r", "sub", "ts", "upto", F.lit(0).alias("asks")).unionByName(asked.select("r", "sub", F.col("now").alias("ts"), F.lit(None).cast("long").alias("upto"), F.lit(1).alias("asks")))
+        running = W.partitionBy("r", "sub").orderBy(F.desc("ts"), "asks").rowsBetween(W.unboundedPreceding, 0)
+        known = both.withColumn("upto", F.max("upto").over(running)).filter("asks = 1 and upto is not null").select("r", "sub", F.col("ts").alias("now"), "upto")
+        more = more.join(known, ["r", "sub", "now"]).withColumn("i", F.pmod(uniform(seed + hop, "rule", "k"), F.col("upto"))).join(rows, ["r", "sub", "i"])
+        more = more.select("rule", "body_rels", "k", F.concat("ents", F.array("obj")).alias("ents"), F.concat("tss", F.array("ts")).alias("tss"))
         s = s.filter(F.size("body_rels") <= hop).unionByName(more)
     s = s.join(rules.select("rule", "head_rel", "var_constraints"), "rule").filter((F.size("var_constraints") == 0) | (var_constraints(F.col("ents")) == F.col("var_constraints")))
     s = s.select("rule", "head_rel", "ents", "tss").distinct()
     latest = e.groupBy(F.col("sub").alias("e0"), F.col("obj").alias("en"), F.col("rel").alias("head_rel")).agg(F.max("ts").alias("latest"))
     s = s.withColumn("e0", F.get("ents", F.lit(0))).withColumn("en", F.element_at("ents", -1)).join(latest, ["e0", "en", "head_rel"], "left")
     got = s.groupBy("rule").agg(F.count("*").alias("body_supp"), F.count_if(F.coalesce(F.col("latest") > F.element_at("tss", -1), F.lit(False))).alias("rule_supp"))
-    out = rules.join(got, "rule", "left").fillna(0, ["body_supp", "rule_supp"])
-    return out.select(*KEY, "rule_supp", "body_supp", F.when(F.col("body_supp") > 0, F.bround(F.col("rule_supp") / F.col("body_supp"), 6)).otherwise(0.0).alias("conf"))
+    return rules.join(got, "rule", "left").select(*KEY, *_supports())
 
 
 def positive(rules: DataFrame, keep_zero_conf: bool = False) -> DataFrame:

@@ -35,20 +35,27 @@ def cyclic_walks(edges: DataFrame, length: int, n_relations: int, no_backtrack:
     return w.select("rels", "ents", "tss")
 
 
-def start_edges(edges: DataFrame, n_walks: int, seed: int) -> DataFrame:
-    """(rel, walk_no, eid): a uniform edge row of each relation for each walk, by a hash of (relation, walk number).
+def numbered_edges(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(edges with ``i``, their number within the relation from 0 by eid; (rel, n): how many each relation has).
 
     Rows are numbered within (relation, range of eids) and the ranges within their relation, so that no task sorts the
     rows of a whole relation.
     """
     e = edges.withColumn("part", F.floor(F.col("eid") / 65536))
     before = W.partitionBy("rel").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
-    parts = e.groupBy("rel", "part").agg(F.count("*").alias("m")).withColumn("before", F.coalesce(F.sum("m").over(before), F.lit(0))).withColumn("n", F.sum("m").over(W.partitionBy("rel")))
-    rows = e.withColumn("i", F.row_number().over(W.partitionBy("rel", "part").orderBy("eid")) - 1).select("rel", "part", "i", "eid")
-    walks = parts.groupBy("rel").agg(F.first("n").alias("n")).withColumn("walk_no", F.explode(F.sequence(F.lit(0), F.lit(n_walks - 1))))
-    pick = walks.withColumn("pick", F.pmod(uniform(seed, "rel", "walk_no"), F.col("n"))).drop("n")
-    placed = pick.join(parts, "rel").filter((F.col("pick") >= F.col("before")) & (F.col("pick") < F.col("before") + F.col("m"))).withColumn("i", F.col("pick") - F.col("before"))
-    return placed.join(rows, ["rel", "part", "i"]).select("rel", F.col("walk_no").cast("long").alias("walk_no"), "eid")
+    counts = e.groupBy("rel", "part").agg(F.count("*").alias("m"))
+    parts = counts.select("rel", "part", F.coalesce(F.sum("m").over(before), F.lit(0)).alias("before"))
+    rn = F.row_number().over(W.partitionBy("rel", "part").orderBy("eid")) - 1
+    rows = e.withColumn("rn", rn).join(parts, ["rel", "part"]).withColumn("i", F.col("before") + F.col("rn"))
+    return rows.drop("part", "before", "rn"), counts.groupBy("rel").agg(F.sum("m").alias("n"))
+
+
+def start_edges(edges: DataFrame, n_walks: int, seed: int) -> DataFrame:
+    """(rel, walk_no, eid): a uniform edge row of each relation for each walk, by a hash of (relation, walk number)."""
+    rows, sizes = numbered_edges(edges.select("rel", "eid"))
+    walks = sizes.withColumn("walk_no", F.explode(F.sequence(F.lit(0), F.lit(n_walks - 1))))
+    pick = walks.select("rel", "walk_no", F.pmod(uniform(seed, "rel", "walk_no"), F.col("n")).alias("i"))
+    return pick.join(rows, ["rel", "i"]).select("rel", F.col("walk_no").cast("long").alias("walk_no"), "eid")
 
 
 def next_edges(edges: DataFrame, walks: DataFrame, first_step: bool, distribution: str, seed: int, n_relations: int, closing: bool = False) -> DataFrame:

@@ -112,7 +112,7 @@ def flat(rules: DataFrame, *more: str) -> DataFrame:
 
 def matched(spark, sf_dir: str) -> DataFrame:
     g = events_graph(spark, sf_dir)
-    return A.apply_rules(G.queries_of(g), usable(spark, sf_dir), g, 0, longest=1)
+    return A.apply_rules(G.queries_of(g), usable(spark, sf_dir), g, 0)
 
 
 def scored(spark, sf_dir: str) -> DataFrame:
@@ -160,11 +160,9 @@ def split_counts(spark, sf_dir):
     return G.split_counts(events_graph(spark, sf_dir))
 
 
-@query(BASE + " SELECT split, count(DISTINCT sub) AS n_new FROM e WHERE split <> 'train' AND sub NOT IN (SELECT sub FROM tr WHERE ts < 1 AND rel = 3) GROUP BY split")
+@query(BASE + " SELECT split, count(DISTINCT CASE WHEN sub NOT IN (SELECT sub FROM tr) THEN sub END) AS n_new FROM e WHERE split <> 'train' GROUP BY split")
 def new_entities(spark, sf_dir):
-    # against the signups of the first day only: all entities of this graph are in training
-    g = events_graph(spark, sf_dir).filter("split <> 'train' or (ts < 1 and rel = 3)")
-    return G.new_entities(g)
+    return G.new_entities(events_graph(spark, sf_dir))
 
 
 @query(BASE + " SELECT rel, count(*) AS n FROM tr GROUP BY rel")
@@ -205,29 +203,23 @@ def walk_shapes(spark, sf_dir, length):
     return shaped.groupBy("head", "body", "constraints").agg(F.count("*").alias("n_walks"))
 
 
-#: Walks of three edges in a window of the last training days (the whole graph has hundreds of thousands).
-LATE = 14
-WALKS3 = BASE + f"""
-, l AS (SELECT * FROM tr WHERE ts >= {LATE}
-), w3 AS (
+#: Walks of three edges.
+WALKS3 = BASE + """
+, w3 AS (
   SELECT a.rel AS head, CASE WHEN c.rel < 5 THEN c.rel + 5 ELSE c.rel % 5 END AS b0, CASE WHEN b.rel < 5 THEN b.rel + 5 ELSE b.rel % 5 END AS b1,
          a.sub AS x0, b.obj AS x1, a.obj AS x2,
          (c.rel = CASE WHEN b.rel < 5 THEN b.rel + 5 ELSE b.rel % 5 END AND c.obj = b.sub AND c.ts = b.ts) AS back
-  FROM l a JOIN l b ON b.sub = a.obj AND b.ts < a.ts JOIN l c ON c.sub = b.obj AND c.ts <= b.ts AND c.obj = a.sub
+  FROM tr a JOIN tr b ON b.sub = a.obj AND b.ts < a.ts JOIN tr c ON c.sub = b.obj AND c.ts <= b.ts AND c.obj = a.sub
 ), w3c AS (
   SELECT *, CASE WHEN x0 = x1 AND x1 = x2 THEN '[[0,1,2]]' WHEN x0 = x1 THEN '[[0,1]]' WHEN x0 = x2 THEN '[[0,2]]' WHEN x1 = x2 THEN '[[1,2]]' ELSE '[]' END AS constraints FROM w3
 )"""
 
 
-def late_train(spark, sf_dir):
-    return train_of(spark, sf_dir).filter(F.col("ts") >= LATE)
-
-
 @query(WALKS3 + " SELECT head, b0 || ',' || b1 AS body, constraints, count(*) AS n_walks FROM w3c WHERE NOT back GROUP BY ALL")
 def cyclic_walks_l2(spark, sf_dir):
     from tempora.functions.rules import inverse, var_constraints
 
-    w = K.cyclic_walks(late_train(spark, sf_dir), 3, N_RELATIONS)
+    w = K.cyclic_walks(train_of(spark, sf_dir), 3, N_RELATIONS)
     body = F.transform(F.reverse(F.slice("rels", 2, 2)), lambda r: inverse(r, N_RELATIONS))
     shaped = w.select(F.get("rels", F.lit(0)).alias("head"), list_text(body).alias("body"), constraints_text(var_constraints(F.reverse(F.slice("ents", 2, 3)))).alias("constraints"))
     return shaped.groupBy("head", "body", "constraints").agg(F.count("*").alias("n_walks"))
@@ -235,7 +227,7 @@ def cyclic_walks_l2(spark, sf_dir):
 
 @query(WALKS3 + " SELECT count(*) FILTER (NOT back) AS n_kept, count(*) FILTER (back) AS n_removed FROM w3")
 def no_backtrack_effect(spark, sf_dir):
-    t = late_train(spark, sf_dir)
+    t = train_of(spark, sf_dir)
     every = K.cyclic_walks(t, 3, N_RELATIONS, no_backtrack=False).agg(F.count("*").alias("n"))
     kept = K.cyclic_walks(t, 3, N_RELATIONS).agg(F.count("*").alias("n_kept"))
     return kept.crossJoin(F.broadcast(every)).select("n_kept", (F.col("n") - F.col("n_kept")).alias("n_removed"))  # a row each
@@ -280,10 +272,45 @@ def walk_exp_choice(spark, sf_dir):
     return K.next_edges(t, s, True, "exp", 13, N_RELATIONS).select("walk", "eid")
 
 
-@query()
-def sampled_walks(spark, sf_dir):
-    w = K.sample_walks(train_of(spark, sf_dir), 2, 50, N_RELATIONS)
-    return w.select("rel", "walk_no", list_text(F.col("rels")).alias("rels"), list_text(F.col("ents")).alias("ents"), list_text(F.col("tss")).alias("tss"))
+def walks_sql(length: int, n_walks: int, seed: int = 12) -> str:
+    """Sampled walks of ``length`` edges as (rel, walk_no, rels, ents, tss), lists: each step by the greatest of gap - ln(-ln(u))."""
+    u = lambda k: HASH.format(f"'{seed + k}|' || w.walk || '|' || b.eid")
+    out = f"""
+, numbered AS (SELECT rel, eid, row_number() OVER (PARTITION BY rel ORDER BY eid) - 1 AS i, count(*) OVER (PARTITION BY rel) AS n FROM tr
+), s0 AS (
+  SELECT '{length}-' || t.rel || '-' || w.walk_no AS walk, t.rel, w.walk_no, [t.rel] AS rels, [x.sub, x.obj] AS ents, [x.ts] AS tss
+  FROM (SELECT DISTINCT rel, n FROM numbered) r, range({n_walks}) w(walk_no)
+  JOIN numbered t ON t.rel = r.rel AND t.i = {HASH.format(f"'{seed}|' || r.rel || '|' || w.walk_no")} % r.n JOIN tr x ON x.eid = t.eid
+)"""
+    for k in range(1, length):
+        on = ["b.sub = w.ents[-1]", "b.ts < w.tss[-1]" if k == 1 else "b.ts <= w.tss[-1]"]
+        if k > 1:
+            on.append("NOT (b.rel = CASE WHEN w.rels[-1] < 5 THEN w.rels[-1] + 5 ELSE w.rels[-1] % 5 END AND b.obj = w.ents[-2] AND b.ts = w.tss[-1])")
+        if k == length - 1:
+            on.append("b.obj = w.ents[1]")
+        gumbel = f"b.ts - w.tss[-1] - ln(-ln(({u(k)} + 0.5) / 4503599627370496.0))"
+        out += f"""
+, c{k} AS (SELECT w.walk, arg_max(b.eid, {{'g': {gumbel}, 'eid': -b.eid}}) AS eid FROM s{k - 1} w JOIN tr b ON {" AND ".join(on)} GROUP BY w.walk
+), s{k} AS (SELECT w.walk, w.rel, w.walk_no, list_append(w.rels, b.rel) AS rels, list_append(w.ents, b.obj) AS ents, list_append(w.tss, b.ts) AS tss
+  FROM s{k - 1} w JOIN c{k} ON c{k}.walk = w.walk JOIN tr b ON b.eid = c{k}.eid)"""
+    return out
+
+
+def joined(x: str) -> str:
+    return f"array_to_string({x}, ',')"
+
+
+def _sampled(name: str, length: int, n_walks: int) -> None:
+    def f(spark, sf_dir):
+        w = K.sample_walks(train_of(spark, sf_dir), length, n_walks, N_RELATIONS)
+        return w.select("rel", "walk_no", list_text(F.col("rels")).alias("rels"), list_text(F.col("ents")).alias("ents"), list_text(F.col("tss")).alias("tss"))
+
+    f.__name__ = name
+    query(BASE + walks_sql(length, n_walks) + f" SELECT rel, walk_no, {joined('rels')} AS rels, {joined('ents')} AS ents, {joined('tss')} AS tss FROM s{length - 1}")(f)
+
+
+_sampled("sampled_walks", 2, 50)
+_sampled("sampled_walks_l3", 4, 200)
 
 
 @query(RULES1 + f" SELECT head, body::VARCHAR AS body, {TIED} AS constraints FROM r0")
@@ -296,17 +323,16 @@ def rule_support_l1(spark, sf_dir):
     return flat(mined(spark, sf_dir), "rule_supp", "body_supp", "conf")
 
 
-#: Length-2 rules of the last training days, with exact support there.
+#: Length-2 rules with exact support.
 RULES2 = WALKS3 + """
-, dl AS (SELECT DISTINCT sub, rel, obj, ts FROM l
-), r2 AS (SELECT DISTINCT head, b0, b1, constraints FROM w3c WHERE NOT back
+, r2 AS (SELECT DISTINCT head, b0, b1, constraints FROM w3c WHERE NOT back
 ), inst AS (
   SELECT a.rel AS b0, b.rel AS b1, a.sub AS x0, b.obj AS x2, b.ts AS last,
          CASE WHEN a.sub = a.obj AND a.obj = b.obj THEN '[[0,1,2]]' WHEN a.sub = a.obj THEN '[[0,1]]' WHEN a.sub = b.obj THEN '[[0,2]]' WHEN a.obj = b.obj THEN '[[1,2]]' ELSE '[]' END AS pattern
-  FROM dl a JOIN dl b ON b.sub = a.obj AND b.ts >= a.ts
+  FROM de a JOIN de b ON b.sub = a.obj AND b.ts >= a.ts
 ), ends AS (SELECT b0, b1, pattern, x0, x2, last, count(*) AS n FROM inst GROUP BY ALL
 ), bp AS (SELECT b0, b1, pattern, sum(n) AS n FROM ends GROUP BY ALL
-), hl AS (SELECT sub, rel, obj, max(ts) AS latest FROM dl GROUP BY ALL
+), hl AS (SELECT sub, rel, obj, max(ts) AS latest FROM de GROUP BY ALL
 ), hp AS (SELECT hl.rel AS head, b0, b1, pattern, sum(n) AS n FROM ends JOIN hl ON hl.sub = x0 AND hl.obj = x2 AND latest > last GROUP BY ALL
 ), b2 AS (SELECT b0, b1, '[]' AS constraints, sum(n) AS n FROM bp GROUP BY ALL UNION ALL SELECT b0, b1, pattern, n FROM bp WHERE pattern <> '[]'
 ), h2 AS (SELECT head, b0, b1, '[]' AS constraints, sum(n) AS n FROM hp GROUP BY ALL UNION ALL SELECT head, b0, b1, pattern, n FROM hp WHERE pattern <> '[]'
@@ -318,7 +344,7 @@ RULES2 = WALKS3 + """
 
 
 def mined2(spark, sf_dir):
-    return mine(late_train(spark, sf_dir), 2)
+    return mine(train_of(spark, sf_dir), 2)
 
 
 @query(RULES2 + " SELECT * FROM s2 WHERE constraints = '[]'")
@@ -331,11 +357,73 @@ def rule_support_constrained(spark, sf_dir):
     return flat(mined2(spark, sf_dir).filter(F.size("var_constraints") > 0), "rule_supp", "body_supp", "conf")
 
 
-@query()
+#: Groups of equal entities of a list ``ents``.
+PATTERN = "list_transform(list_filter(range(len(ents)), lambda i: list_position(ents, ents[i + 1]) = i + 1 AND len(list_filter(ents, lambda x: x = ents[i + 1])) > 1), lambda i: list_filter(range(len(ents)), lambda j: ents[j + 1] = ents[i + 1]))"
+
+
+def sampled_support_sql(rules: str, length: int, n_samples: int = 500, seed: int = 7) -> str:
+    """Support of rules (head, body, constraints: lists) of one length by samples, as ``supported``."""
+    pick = lambda h: HASH.format(f"'{seed + h}|' || s.rule || '|' || s.k")
+    out = f"""
+, numbered2 AS (SELECT rel, eid, sub, obj, ts, row_number() OVER (PARTITION BY rel ORDER BY eid) - 1 AS i, count(*) OVER (PARTITION BY rel) AS n,
+    row_number() OVER (PARTITION BY rel, sub ORDER BY ts DESC, obj) - 1 AS later FROM tr
+), named AS (SELECT *, head || ';' || body::VARCHAR || ';' || constraints::VARCHAR AS rule FROM {rules}
+), h0 AS (
+  SELECT s.rule, s.body, s.k, [t.sub, t.obj] AS ents, [t.ts] AS tss
+  FROM (SELECT rule, body, k, n FROM named, range({n_samples}) r(k) JOIN (SELECT DISTINCT rel, n FROM numbered2) z ON z.rel = body[1]) s
+  JOIN numbered2 t ON t.rel = s.body[1] AND t.i = {pick(0)} % s.n
+)"""
+    for h in range(1, length):
+        out += f"""
+, n{h} AS (
+  SELECT a.rel, a.sub, a.now, count(*) AS upto FROM (SELECT DISTINCT body[{h + 1}] AS rel, ents[-1] AS sub, tss[-1] AS now FROM h{h - 1}) a
+  JOIN tr x ON x.rel = a.rel AND x.sub = a.sub AND x.ts >= a.now GROUP BY ALL
+), h{h} AS (
+  SELECT s.rule, s.body, s.k, list_append(s.ents, t.obj) AS ents, list_append(s.tss, t.ts) AS tss
+  FROM h{h - 1} s JOIN n{h} a ON a.rel = s.body[{h + 1}] AND a.sub = s.ents[-1] AND a.now = s.tss[-1]
+  JOIN numbered2 t ON t.rel = a.rel AND t.sub = a.sub AND t.later = {pick(h)} % a.upto
+)"""
+    return out + f"""
+, inst AS (
+  SELECT DISTINCT named.rule, head, ents, tss FROM h{length - 1} JOIN named USING (rule) WHERE len(constraints) = 0 OR {PATTERN} = constraints
+), hl3 AS (SELECT sub, rel, obj, max(ts) AS latest FROM tr GROUP BY ALL
+), sup AS (
+  SELECT rule, count(*) AS body_supp, count(*) FILTER (latest > tss[-1]) AS rule_supp
+  FROM inst LEFT JOIN hl3 ON hl3.sub = ents[1] AND hl3.obj = ents[-1] AND hl3.rel = head GROUP BY rule
+), supported AS (
+  SELECT head, body, constraints, coalesce(rule_supp, 0) AS rule_supp, coalesce(body_supp, 0) AS body_supp,
+         CASE WHEN coalesce(body_supp, 0) > 0 THEN round_even(rule_supp::DOUBLE / body_supp, 6) ELSE 0.0 END AS conf
+  FROM named LEFT JOIN sup USING (rule)
+)"""
+
+
+RULE_COLUMNS = f"head, {joined('body')} AS body, replace(constraints::VARCHAR, ' ', '') AS constraints"
+
+
+@query(RULES1 + ", r1 AS (SELECT head, [body] AS body, CASE WHEN tied THEN [[0, 1]] ELSE [] END::BIGINT[][] AS constraints FROM r0)" + sampled_support_sql("r1", 1) + f" SELECT {RULE_COLUMNS}, rule_supp, body_supp, conf FROM supported")
 def rule_support_sampled(spark, sf_dir):
     t = train_of(spark, sf_dir)
     rules = R.rules_from_walks(K.cyclic_walks(t, 2, N_RELATIONS), N_RELATIONS)
-    return flat(R.sampled_support(rules, t), "rule_supp", "body_supp", "conf")
+    return flat(R.sampled_support(rules, t, longest=1), "rule_supp", "body_supp", "conf")
+
+
+def rules3_sql(n_walks: int) -> str:
+    """Rules of length 3 are mined by samples: walks, then support."""
+    return BASE + walks_sql(4, n_walks) + f"""
+, turned AS (
+  SELECT rels[1] AS head, list_transform(list_reverse(rels[2:]), lambda r: CASE WHEN r < 5 THEN r + 5 ELSE r % 5 END) AS body, list_reverse(ents[2:]) AS ents FROM s3
+), r3 AS (SELECT DISTINCT head, body, {PATTERN} AS constraints FROM turned)""" + sampled_support_sql("r3", 3)
+
+
+def mined3(spark, sf_dir, n_walks: int):
+    t = train_of(spark, sf_dir)
+    rules = R.rules_from_walks(K.sample_walks(t, 4, n_walks, N_RELATIONS), N_RELATIONS).persist()
+    return R.sampled_support(rules, t, longest=3).persist()
+
+
+@query(rules3_sql(200) + f" SELECT {RULE_COLUMNS}, rule_supp, body_supp, conf FROM supported")
+def rule_support_l3(spark, sf_dir):
+    return flat(mined3(spark, sf_dir, 200), "rule_supp", "body_supp", "conf")
 
 
 @query(RULES2 + " SELECT true AS keep_zero, count(*) AS n FROM s2 UNION ALL SELECT false, count(*) FROM s2 WHERE conf > 0")
@@ -401,51 +489,90 @@ def apply_walks_l1(spark, sf_dir):
     return matched(spark, sf_dir).select("qid", F.col("rule_rank").cast("long").alias("rule_rank"), "cand", "start", "n_walks")
 
 
-#: The 40 best length-2 rules of each head that have support, over the last four days.
-TOP2, W2 = 40, 4
-APPLY2 = RULES2 + f"""
-, top2 AS (
-  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY head ORDER BY conf DESC, split_part(body, ',', 1)::INT, split_part(body, ',', 2)::INT, constraints) AS rule_rank FROM s2 WHERE conf >= 0.01 AND body_supp >= 2) WHERE rule_rank <= {TOP2}
+def apply2_sql(window: int = 0, best: int | None = None) -> str:
+    """What length-2 rules (the ``best`` of each head, if given) match for the test queries."""
+    since = f" AND a.ts >= ctx.ts - {window} AND b.ts >= ctx.ts - {window}" if window else ""
+    return RULES2 + f"""
+, ranked2 AS (
+  SELECT *, row_number() OVER (PARTITION BY head ORDER BY conf DESC, split_part(body, ',', 1)::INT, split_part(body, ',', 2)::INT, constraints) AS rule_rank FROM s2 WHERE conf >= 0.01 AND body_supp >= 2
+), top2 AS (SELECT * FROM ranked2{f" WHERE rule_rank <= {best}" if best else ""}
 ), ctx AS (SELECT DISTINCT sub, ts FROM q
 ), hop AS (
-  SELECT ctx.sub, ctx.ts, a.rel AS b0, b.rel AS b1, a.obj AS x1, b.obj AS x2, a.ts AS t0, b.ts AS t1
-  FROM ctx JOIN e a ON a.sub = ctx.sub AND a.ts < ctx.ts AND a.ts >= ctx.ts - {W2} JOIN e b ON b.sub = a.obj AND b.ts >= a.ts AND b.ts < ctx.ts AND b.ts >= ctx.ts - {W2}
+  SELECT ctx.sub, ctx.ts, a.rel || ',' || b.rel AS body, a.rel AS b0, b.rel AS b1, a.obj AS x1, b.obj AS x2, a.ts AS t0, b.ts AS t1
+  FROM ctx JOIN e a ON a.sub = ctx.sub AND a.ts < ctx.ts JOIN e b ON b.sub = a.obj AND b.ts >= a.ts AND b.ts < ctx.ts{since}
 ), m2 AS (
   SELECT q.qid, r.rule_rank, r.constraints, h.sub, h.x1, h.x2, h.t0, h.t1, h.b0, h.b1 FROM q JOIN top2 r ON r.head = q.rel
-  JOIN hop h ON h.sub = q.sub AND h.ts = q.ts AND h.b0 || ',' || h.b1 = r.body
+  JOIN hop h ON h.sub = q.sub AND h.ts = q.ts AND h.body = r.body
   WHERE r.constraints = '[]' OR (r.constraints = '[[0,1]]' AND h.sub = h.x1) OR (r.constraints = '[[0,2]]' AND h.sub = h.x2) OR (r.constraints = '[[1,2]]' AND h.x1 = h.x2) OR (r.constraints = '[[0,1,2]]' AND h.sub = h.x1 AND h.x1 = h.x2)
+), g2 AS (
+  SELECT qid, rule_rank, constraints, x2 AS cand, max(t0) AS start, count(*) AS n_walks FROM m2 GROUP BY ALL
 )"""
 
 
-def top2(spark, sf_dir):
-    return R.rank_rules(R.filter_rules(mined2(spark, sf_dir))).filter(F.col("rule_rank") <= TOP2).persist()
+#: One row a query and rule: how many candidates the rule gives, by how many walks, and a sum that tells them and their starts apart.
+PER_RULE = "qid, rule_rank::BIGINT AS rule_rank, count(*) AS n_cands, sum(n_walks)::BIGINT AS n_walks, sum((cand + 1) * (start + 1))::BIGINT AS told"
+
+
+def ranked2(spark, sf_dir):
+    return R.rank_rules(R.filter_rules(mined2(spark, sf_dir))).persist()
 
 
-def matched2(spark, sf_dir, tied: bool):
+def per_rule(matches: DataFrame) -> DataFrame:
+    return matches.groupBy("qid", F.col("rule_rank").cast("long").alias("rule_rank")).agg(F.count("*").alias("n_cands"), F.sum("n_walks").alias("n_walks"), F.sum((F.col("cand") + 1) * (F.col("start") + 1)).alias("told"))
+
+
+def matched2(spark, sf_dir, rules: DataFrame, window: int = 0) -> DataFrame:
     g = events_graph(spark, sf_dir)
-    rules = top2(spark, sf_dir).filter(F.size("var_constraints") > 0 if tied else F.size("var_constraints") == 0)
-    return A.apply_rules(G.queries_of(g), rules, g, W2, longest=2).select("qid", F.col("rule_rank").cast("long").alias("rule_rank"), "cand", "start", "n_walks")
+    return A.apply_rules(G.queries_of(g), rules, g, window)
 
 
-@query(APPLY2 + " SELECT qid, rule_rank::BIGINT AS rule_rank, x2 AS cand, max(t0) AS start, count(*) AS n_walks FROM m2 WHERE constraints = '[]' GROUP BY ALL")
+@query(apply2_sql() + f" SELECT {PER_RULE} FROM g2 WHERE constraints = '[]' GROUP BY ALL")
 def apply_walks_l2(spark, sf_dir):
-    return matched2(spark, sf_dir, False)
+    return per_rule(matched2(spark, sf_dir, ranked2(spark, sf_dir).filter(F.size("var_constraints") == 0)))
 
 
-@query(APPLY2 + " SELECT qid, rule_rank::BIGINT AS rule_rank, x2 AS cand, max(t0) AS start, count(*) AS n_walks FROM m2 WHERE constraints <> '[]' GROUP BY ALL")
+@query(apply2_sql() + f" SELECT {PER_RULE} FROM g2 WHERE constraints <> '[]' GROUP BY ALL")
 def apply_walks_constrained(spark, sf_dir):
-    return matched2(spark, sf_dir, True)
+    return per_rule(matched2(spark, sf_dir, ranked2(spark, sf_dir).filter(F.size("var_constraints") > 0)))
+
 
+@query(apply2_sql(4, 40) + " SELECT qid, rule_rank::BIGINT AS rule_rank, cand, start, n_walks FROM g2")
+def apply_walks_l2_best(spark, sf_dir):
+    """The parameters of rank and window: the 40 best rules of each head over the last four days."""
+    m = matched2(spark, sf_dir, ranked2(spark, sf_dir).filter("rule_rank <= 40"), 4)
+    return m.select("qid", F.col("rule_rank").cast("long").alias("rule_rank"), "cand", "start", "n_walks")
 
-@query(APPLY2 + f" SELECT qid, rule_rank::BIGINT AS rule_rank, sub || chr(9) || {NAMES}[b0 + 1] || chr(9) || x1 || chr(9) || t0 || chr(9) || {NAMES}[b1 + 1] || chr(9) || x2 || chr(9) || t1 AS walk, count(*) AS n FROM m2 WHERE constraints <> '[]' GROUP BY ALL")
+
+@query(apply2_sql(4) + f" SELECT qid, rule_rank::BIGINT AS rule_rank, sub || chr(9) || {NAMES}[b0 + 1] || chr(9) || x1 || chr(9) || t0 || chr(9) || {NAMES}[b1 + 1] || chr(9) || x2 || chr(9) || t1 AS walk, count(*) AS n FROM m2 WHERE constraints <> '[]' GROUP BY ALL")
 def apply_walks_complete(spark, sf_dir):
+    """Every walk in full, over the last four days before each query."""
     g = events_graph(spark, sf_dir)
     names = R.relation_names(RELATIONS)
-    w = A.explained_walks(G.queries_of(g), top2(spark, sf_dir).filter(F.size("var_constraints") > 0), g, W2, 2)
+    w = A.explained_walks(G.queries_of(g), ranked2(spark, sf_dir).filter(F.size("var_constraints") > 0), g, 4, 2)
     text = verbalized_walk(F.col("ents").cast("array<string>"), F.transform("rels", lambda r: F.get(names, r.cast("int"))), F.col("tss").cast("array<string>"))
     return w.groupBy("qid", F.col("rule_rank").cast("long").alias("rule_rank"), text.alias("walk")).agg(F.count("*").alias("n"))
 
 
+@query(rules3_sql(10) + f"""
+, ranked3 AS (
+  SELECT *, row_number() OVER (PARTITION BY head ORDER BY conf DESC, body, constraints) AS rule_rank FROM supported WHERE conf >= 0.01 AND body_supp >= 2
+), ctx AS (SELECT DISTINCT q.sub, q.ts, body FROM q JOIN ranked3 ON head = q.rel
+), m3 AS (
+  SELECT ctx.body, ctx.sub, ctx.ts, a.obj AS x1, b.obj AS x2, c.obj AS x3, max(a.ts) AS start, count(*) AS n
+  FROM ctx JOIN e a ON a.sub = ctx.sub AND a.rel = body[1] AND a.ts < ctx.ts JOIN e b ON b.sub = a.obj AND b.rel = body[2] AND b.ts >= a.ts AND b.ts < ctx.ts
+  JOIN e c ON c.sub = b.obj AND c.rel = body[3] AND c.ts >= b.ts AND c.ts < ctx.ts GROUP BY ALL
+), g3 AS (
+  SELECT qid, rule_rank, x3 AS cand, max(start) AS start, sum(n) AS n_walks FROM q JOIN ranked3 r ON r.head = q.rel
+  JOIN m3 m ON m.body = r.body AND m.sub = q.sub AND m.ts = q.ts
+  WHERE len(constraints) = 0 OR len(list_filter(constraints, lambda g: len(list_filter(g, lambda i: [m.sub, x1, x2, x3][i + 1] <> [m.sub, x1, x2, x3][g[1] + 1])) > 0)) = 0
+  GROUP BY ALL
+) SELECT {PER_RULE} FROM g3 GROUP BY ALL""")
+def apply_walks_l3(spark, sf_dir):
+    g = events_graph(spark, sf_dir)
+    rules = R.rank_rules(R.filter_rules(mined3(spark, sf_dir, 10))).persist()
+    return per_rule(A.apply_rules(G.queries_of(g), rules, g, 0))
+
+
 @query(APPLY1 + " SELECT qid, rule_rank::BIGINT AS rule_rank, cand, round(score, 6) AS score FROM s")
 def candidate_scores(spark, sf_dir):
     return scored(spark, sf_dir).select("qid", F.col("rule_rank").cast("long").alias("rule_rank"), "cand", F.round("score", 6).alias("score"))
@@ -461,7 +588,7 @@ def candidate_scores_grid(spark, sf_dir):
 
 
 @query(APPLY1 + """, rounded AS (SELECT qid, cand, list(round(score, 6) ORDER BY score DESC) AS scores FROM s GROUP BY ALL)
-SELECT qid, cand, len(scores) AS n_scores, list_sum(list_transform(scores, x -> round(x * 1000000)::BIGINT))::BIGINT AS total, row_number() OVER (PARTITION BY qid ORDER BY scores DESC, cand) AS place FROM rounded""")
+SELECT qid, cand, len(scores) AS n_scores, list_sum(list_transform(scores, lambda x: round(x * 1000000)::BIGINT))::BIGINT AS total, row_number() OVER (PARTITION BY qid ORDER BY scores DESC, cand) AS place FROM rounded""")
 def candidate_lists(spark, sf_dir):
     from pyspark.sql import Window as W
 
@@ -476,11 +603,32 @@ def noisy_or(spark, sf_dir):
     return A.candidate_lists(scored(spark, sf_dir)).select("qid", "cand", F.round("score", 6).alias("score"))
 
 
-@query()
+@query(APPLY1 + """
+, upto AS (
+  SELECT s.qid, r.rule_rank, s.cand, list(s.score::FLOAT ORDER BY s.score DESC) AS scores
+  FROM s JOIN (SELECT DISTINCT qid, rule_rank FROM s) r ON r.qid = s.qid AND s.rule_rank <= r.rule_rank GROUP BY ALL
+), firsts AS (
+  SELECT qid, rule_rank, count(*) AS n, count(DISTINCT scores) AS n_distinct
+  FROM (SELECT *, row_number() OVER (PARTITION BY qid, rule_rank ORDER BY scores DESC) AS place FROM upto) WHERE place <= 20 GROUP BY ALL
+) SELECT qid, coalesce(min(rule_rank) FILTER (n = 20 AND n_distinct = 20), max(rule_rank))::BIGINT AS last_rank FROM firsts GROUP BY qid""")
 def early_stop_rank(spark, sf_dir):
     return A.early_stop(scored(spark, sf_dir))
 
 
+@query(APPLY1 + """, rounded AS (SELECT qid, cand, list(round(score, 6) ORDER BY score DESC) AS scores, round(1 - product(1 - score), 6) AS score FROM s GROUP BY ALL)
+SELECT qid, cand, row_number() OVER (PARTITION BY qid ORDER BY score DESC, scores DESC, cand) AS place FROM rounded""")
+def candidates_in_order(spark, sf_dir):
+    c = A.candidate_lists(scored(spark, sf_dir), digits=6).withColumn("score", F.round("score", 6))
+    return A.final_order(c).select("qid", "cand", F.col("place").cast("long").alias("place"))
+
+
+@query(APPLY1 + """, by_rule AS (SELECT qid, cand, list(round(score, 6) ORDER BY rule_rank) AS scores FROM s GROUP BY ALL)
+SELECT qid, cand, row_number() OVER (PARTITION BY qid ORDER BY scores DESC, cand) AS place FROM by_rule""")
+def candidates_by_rules(spark, sf_dir):
+    c = A.ranked_by_rules(scored(spark, sf_dir).withColumn("score", F.round("score", 6)))
+    return c.select("qid", "cand", F.col("place").cast("long").alias("place"))
+
+
 @query(APPLY1 + " SELECT count(*) AS n FROM q WHERE qid NOT IN (SELECT qid FROM c)")
 def no_candidate_queries(spark, sf_dir):
     g = events_graph(spark, sf_dir)
@@ -497,19 +645,17 @@ def rel_obj_dist(spark, sf_dir):
     return V.relation_object_distribution(train_of(spark, sf_dir))
 
 
-#: For the fallback: queries divisible by 7 are taken to have no candidates, and click not to occur in training.
 @query(APPLY1 + """
-, rd AS (SELECT rel, obj, round_even(count(*)::DOUBLE / any_value(n), 6) AS p FROM tr JOIN (SELECT rel, count(*) AS n FROM tr GROUP BY rel) USING (rel) WHERE rel <> 0 GROUP BY rel, obj
+, rd AS (SELECT rel, obj, round_even(count(*)::DOUBLE / any_value(n), 6) AS p FROM tr JOIN (SELECT rel, count(*) AS n FROM tr GROUP BY rel) USING (rel) GROUP BY rel, obj
 ), od AS (SELECT obj, round_even(count(*)::DOUBLE / (SELECT count(*) FROM tr), 6) AS p FROM tr GROUP BY obj
-), rest AS (SELECT * FROM q WHERE qid NOT IN (SELECT qid FROM c WHERE qid % 7 <> 0))
-SELECT qid, rd.obj AS cand, p AS score FROM rest JOIN rd USING (rel) UNION ALL
+), rest AS (SELECT * FROM q WHERE qid NOT IN (SELECT qid FROM c))
+SELECT qid, cand, round(score, 6) AS score FROM c UNION ALL SELECT qid, rd.obj, p FROM rest JOIN rd USING (rel) UNION ALL
 SELECT qid, od.obj, p FROM rest, od WHERE rel NOT IN (SELECT rel FROM rd)""")
 def baseline_fallback(spark, sf_dir):
     g, t = events_graph(spark, sf_dir), train_of(spark, sf_dir)
-    q = G.queries_of(g)
-    c = A.candidate_lists(scored(spark, sf_dir)).filter("qid % 7 <> 0")
-    out = V.with_baseline(q, c, V.relation_object_distribution(t).filter("rel <> 0"), V.object_distribution(t))
-    return out.join(c.select("qid").distinct(), "qid", "left_anti")
+    c = A.candidate_lists(scored(spark, sf_dir))
+    out = V.with_baseline(G.queries_of(g), c, V.relation_object_distribution(t), V.object_distribution(t))
+    return out.select("qid", "cand", F.round("score", 6).alias("score"))
 
 
 @query(APPLY1 + " SELECT qid, cand, round(score, 6) AS score FROM fc")

@@ -16,13 +16,15 @@ def read_dictionary(spark: SparkSession, path: str) -> DataFrame:
     return text.select(F.explode(F.from_json("value", "map<string,int>")).alias("name", "id"))
 
 
-def read_quads(spark: SparkSession, path: str) -> DataFrame:
-    """Tab-separated subject, relation, object, timestamp; further fields are ignored."""
-    return spark.read.csv(path, sep="\t", schema=QUADS, quote="", enforceSchema=True)
+def read_quads(spark: SparkSession, path: str, positions: bool = False) -> DataFrame:
+    """Tab-separated subject, relation, object, timestamp (further fields are ignored), with ``positions`` also ``pos``,
+    which grows with the position in the file."""
+    quads = spark.read.csv(path, sep="\t", schema=QUADS, quote="", enforceSchema=True)
+    return quads.withColumn("pos", F.monotonically_increasing_id()) if positions else quads
 
 
 def encode_quads(quads: DataFrame, entities: DataFrame, relations: DataFrame, times: DataFrame) -> DataFrame:
-    """(sub, rel, obj, ts): names to ids.  A name that a dictionary lacks fails the job when it runs.
+    """(sub, rel, obj, ts), and ``pos`` where there is one: names to ids.  A name that a dictionary lacks fails the job when it runs.
 
     The relation and time dictionaries are small by nature; the entities' is left to the optimizer, which knows its size.
     """
@@ -32,7 +34,7 @@ def encode_quads(quads: DataFrame, entities: DataFrame, relations: DataFrame, ti
         return found.withColumn(out, F.coalesce(out, F.raise_error(F.concat(F.lit(f"unknown {name}: "), F.coalesce(name, F.lit("null")))).cast("int")))
 
     df = lookup(lookup(lookup(lookup(quads, entities, "subject", "sub"), relations, "relation", "rel"), entities, "object", "obj"), times, "timestamp", "ts")
-    return df.select("sub", "rel", "obj", "ts")
+    return df.select("sub", "rel", "obj", "ts", *(["pos"] if "pos" in quads.columns else []))
 
 
 def read_rules(spark: SparkSession, path: str) -> DataFrame:
@@ -51,13 +53,30 @@ def rules_json(rules: DataFrame) -> DataFrame:
 
 
 def read_candidates(spark: SparkSession, path: str) -> DataFrame:
-    text = spark.read.text(path, wholetext=True)
+    text = spark.read.text(path)
     per = text.select(F.explode(F.from_json("value", "map<string,map<string,double>>")).alias("qid", "cands"))
     return per.select(F.col("qid").cast("long").alias("qid"), F.explode("cands").alias("cand", "score")).select("qid", F.col("cand").cast("long").alias("cand"), "score")
 
 
 def write_candidates(candidates: DataFrame, path: str) -> None:
-    candidates.write.mode("overwrite").parquet(path)
+    """A line a query, each a JSON object from the query to its candidates' scores, best first."""
+    scored = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("order"), F.col("cand").alias("c"), "score")))
+    lists = candidates.groupBy("qid").agg(scored.alias("l"))
+    entries = F.map_from_entries(F.transform("l", lambda x: F.struct(x["c"].cast("string"), x["score"])))
+    lists.select(F.to_json(F.create_map(F.col("qid").cast("string"), entries)).alias("value")).write.mode("overwrite").text(path)
+
+
+def write_lines(lines: DataFrame, path: str) -> None:
+    """A few lines (column ``value``) in their order, in one file of the folder."""
+    lines.select("value").coalesce(1).write.mode("overwrite").text(path)
+
+
+def stat_json(counts: DataFrame, statistics: DataFrame, top: DataFrame, key: str) -> DataFrame:
+    """One row: counts of rules by relation, their statistics and the first relations as a JSON object.  Relations are few."""
+    by = lambda df: df.agg(F.map_from_entries(F.collect_list(F.struct(F.col(key).cast("string"), "n"))))
+    every, first = by(counts).toDF("relation_rule_counts"), by(top).toDF("top_10_relations")
+    one = statistics.select(F.struct(*statistics.columns).alias("statistics"))
+    return every.crossJoin(F.broadcast(one)).crossJoin(F.broadcast(first)).select(F.to_json(F.struct("relation_rule_counts", "statistics", "top_10_relations")).alias("value"))  # a row each
 
 
 def read_rule_counts(spark: SparkSession, path: str) -> DataFrame:

@@ -25,7 +25,7 @@ def duck():
     return c
 
 
-@pytest.mark.parametrize("name", ["edges_with_inverse", "split_counts", "new_entities", "window_edges_w7", "window_edges_learn", "cyclic_walks_l2", "no_backtrack_effect", "walk_start_sample", "walk_next_uniform", "walk_exp_choice", "rule_support_l1", "rules_ranked", "rule_lines_sampled", "noisy_or", "answer_rank_best", "answer_rank_average", "answer_rank_worst", "metrics", "rel_obj_dist", "llm_response_parse", "path_format"])
+@pytest.mark.parametrize("name", ["edges_with_inverse", "split_counts", "new_entities", "window_edges_w7", "window_edges_learn", "cyclic_walks_l2", "no_backtrack_effect", "walk_start_sample", "walk_next_uniform", "walk_exp_choice", "sampled_walks", "sampled_walks_l3", "rule_support_l1", "rule_support_sampled", "rule_support_l3", "early_stop_rank", "candidates_in_order", "rules_ranked", "rule_lines_sampled", "noisy_or", "answer_rank_best", "answer_rank_average", "answer_rank_worst", "metrics", "rel_obj_dist", "llm_response_parse", "path_format"])
 def test_query_equals_sql(spark, duck, name):
     got, want = C.QUERIES[name](spark, SF).toPandas(), duck.sql(C.ORACLE_SQL[name]).df()
     cols = sorted(want.columns)
@@ -70,6 +70,26 @@ def test_support_of_duplicates_and_patterns(spark):
     assert got == {((0,), "[]"): (1, 3, 0.333333), ((0,), "[[0, 1]]"): (0, 1, 0.0), ((2,), "[]"): (0, 0, 0.0)}
 
 
+def test_support_of_length_three_by_brute_force(spark):
+    import random
+
+    rng = random.Random(11)
+    rows = list({(rng.randint(1, 5), rng.randint(0, 2), rng.randint(1, 5), rng.randint(0, 6), "train") for _ in range(70)})
+    wanted = [(h, b, v) for h in (0, 1) for b in ([0, 1, 2], [1, 1, 0], [2, 0]) for v in ([], [[0, 2]], [[0, 1], [2, 3]]) if not v or max(map(max, v)) <= len(b)]
+    want = {}
+    for h, b, v in wanted:
+        paths = [((s, o), t) for s, r, o, t, _ in rows if r == b[0]]
+        for rel in b[1:]:
+            paths = [((*e, o), x) for e, t in paths for s, r, o, x, _ in rows if s == e[-1] and r == rel and x >= t]
+        same = lambda e: sorted(g for g in ([i for i in range(len(e)) if e[i] == x] for x in set(e)) if len(g) > 1)
+        paths = [(e, t) for e, t in paths if not v or same(e) == v]
+        hits = sum(any(s == e[0] and o == e[-1] and r == h and x > t for s, r, o, x, _ in rows) for e, t in paths)
+        want[h, tuple(b), str(v)] = (hits, len(paths))
+    rules = spark.createDataFrame(wanted, "head_rel long, body_rels array<long>, var_constraints array<array<int>>")
+    got = {(r.head_rel, tuple(r.body_rels), str(r.var_constraints)): (r.rule_supp, r.body_supp) for r in R.support(rules, graph(spark, rows)).collect()}
+    assert got == want and any(x for x, _ in want.values())
+
+
 def test_half_even_confidence(spark):
     # 1/128 = 0.0078125: half-even at six digits
     assert spark.range(1).select(F.bround(F.lit(1) / F.lit(128), 6)).first()[0] == 0.007812
