@@ -34,8 +34,8 @@ from pyspark.sql import functions as F
 from .common import materialize, slices
 
 LENGTH, K, CROWD, HEAVY, SHARD_BYTES, LONGEST = 100, 32, 4096, 1024, 4 << 20, 128
-#: Bytes of strings under one index, and that a task holds before it sends them on.
-INDEX_BYTES, HELD_BYTES = 1 << 20, 8 << 20
+#: Bytes of strings under one index, that a task holds before it sends them on, and of text whose pieces it combines.
+INDEX_BYTES, HELD_BYTES, CUT_BYTES = 1 << 20, 4 << 20, 8 << 20
 _rng = np.random.default_rng(20240229)
 TABLE = _rng.integers(0, 1 << 64, 256, np.uint64)
 ODD = [int(x) | 1 for x in _rng.integers(0, 1 << 64, 8, np.uint64)]
@@ -223,7 +223,7 @@ def cut_pieces(docs: DataFrame, n_buckets: int, heavy: int) -> DataFrame:
             texts = batch.column(2).to_pylist()
             held.append(pieces_of(texts, batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64)))
             size += sum(map(len, texts))
-            if size > 24 << 20:
+            if size > CUT_BYTES:
                 yield from send()
                 size = 0
         yield from send()
