@@ -72,19 +72,29 @@ def convolved(parts: np.ndarray, n: int) -> np.ndarray:
 class _Table(dict):
     """From a word to the row of its products; starts anew when full, so that its size is bounded."""
 
-    def __init__(self, parts: np.ndarray, languages: np.ndarray, limit: int = 100_000) -> None:
+    def __init__(self, parts: np.ndarray, languages: np.ndarray, limit: int = 300_000) -> None:
         self.parts, self.languages, self.limit = parts, languages, limit
         self.rows = np.zeros((limit + 1, parts.shape[1] + languages.shape[1]), np.float32)
 
-    def __missing__(self, word: bytes) -> int:
-        f = features(word)
-        n = len(self) + 1
-        self.rows[n] = 0
-        if f:
-            self.rows[n, : self.parts.shape[1]] = self.parts[list(f)].sum(axis=0)
-            self.rows[n, self.parts.shape[1] :] = self.languages[f[0] % len(self.languages)]
-        self[word] = n
-        return n
+    def learn(self, texts: list[list[bytes]]) -> None:
+        """Rows for all words of the texts, of which there are fewer than the limit."""
+        new = set().union(*texts).difference(self)
+        if len(self) + len(new) > self.limit:
+            self.clear()
+            new = set().union(*texts)
+        if not new:
+            return
+        words = sorted(new)
+        of = np.array([padded(w) for w in words])
+        at = np.arange(len(self) + 1, len(self) + 1 + len(words))
+        width = self.parts.shape[1]
+        got = self.parts[of[:, 0]]
+        for k in range(1, WIDE):
+            some = np.flatnonzero(of[:, k])
+            got[some] += self.parts[of[some, k]]
+        self.rows[at, :width] = got
+        self.rows[at, width:] = np.where(of[:, :1] > 0, self.languages[of[:, 0] % len(self.languages)], 0)
+        self.update(zip(words, at.tolist(), strict=True))
 
     def numbers(self, words: list[bytes]) -> np.ndarray:
         return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
@@ -114,8 +124,7 @@ class Model:
             step = 1 << 16
             parts = [self.pooled([texts[0][max(0, i - PAD) : i + step]]) for i in range(0, len(texts[0]), step)]
             return np.max([p for p, _ in parts], axis=0), np.sum([q for _, q in parts], axis=0)
-        if len(self.table) + sum(map(len, texts)) > self.table.limit:
-            self.table.clear()
+        self.table.learn(texts)
         ids, starts = laid_out([self.table.numbers(w) for w in texts])
         got = rows[ids]
         n, width = len(ids) - PAD, self.table.parts.shape[1]
