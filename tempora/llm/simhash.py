@@ -7,12 +7,18 @@ candidate key, and the longer chains prune a candidate pair before the full dist
 Buckets with more than ``BUCKET`` distinct fingerprints (groups of near copies) give no pairs.  There the full check
 goes through the one-bit neighbourhood: two fingerprints are within two bits exactly if they share one of the 65
 values that differ from each in at most one bit, and no such value has more than 65 fingerprints around it.
+
+Near copies at a Jaccard similarity of 0.8 differ in about ten of 64 bits, where every key of pigeonring is a few bits
+long and prunes nothing.  With ``similarity`` set, ``similar_links`` adds those links by exact prefix filtering of the
+same shingles, verified on the whole texts.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import repeat
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +30,11 @@ from .common import materialize, null_safe_join, slices
 from .graph import components
 
 TAU, M, SHINGLE, BUCKET = 2, 7, 3, 32
+#: Of ``keep_one``: words a shingle and the least Jaccard similarity.
+WORDS, SIMILARITY = 5, 0.8
+#: Shingles known as frequent, at most: what tasks are sent is bounded by 8 bytes each.
+FREQUENT = 1 << 16
+EPS = 1e-9
 #: The longest chain whose budget is below one bit.
 CHAIN = (M - 1) // TAU
 EDGES = [64 * i // M for i in range(M + 1)]
@@ -42,22 +53,31 @@ def ring_mask(start: int, length: int) -> int:
     return signed(bits)
 
 
-def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
-    """The 64 majority bits of the shingles' XXH64 (seed 42); zero for a text without words."""
+def shingle_hashes(text: bytes | None, shingle: int = SHINGLE) -> np.ndarray:
+    """XXH64 (seed 42) of every shingle, repeats included; none for a text without words."""
     words = (text or b"").lower().split()  # of bytes: A-Z and the ASCII blanks only
     if not words:
-        return 0
+        return np.empty(0, "<u8")
     if len(words) < shingle:
         grams: Iterator[bytes] = iter([b" ".join(words)])
         n = 1
     else:
         grams = map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False))
         n = len(words) - shingle + 1
-    h = np.fromiter(map(xxhash.xxh64_intdigest, grams, repeat(42)), np.dtype("<u8"), n)
+    return np.fromiter(map(xxhash.xxh64_intdigest, grams, repeat(42)), np.dtype("<u8"), n)
+
+
+def majority(h: np.ndarray) -> int:
+    """The 64 bits set in more than half of the hashes; zero for none."""
     bits = np.zeros(64, np.int64)
-    for i in range(0, n, 1 << 14):
+    for i in range(0, len(h), 1 << 14):
         bits += np.unpackbits(h[i : i + (1 << 14)].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.uint16)
-    return int.from_bytes(np.packbits(2 * bits > n).tobytes(), "big", signed=True)
+    return int.from_bytes(np.packbits(2 * bits > len(h)).tobytes(), "big", signed=True)
+
+
+def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
+    """The 64 majority bits of the shingles' hashes; zero for a text without words."""
+    return majority(shingle_hashes(text, shingle))
 
 
 def text_key(text: Column) -> Column:
@@ -102,37 +122,175 @@ def links(nodes: DataFrame, bucket: int = BUCKET) -> DataFrame:
     return pairs.unionByName(stars).distinct()
 
 
-def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, bucket: int = BUCKET) -> DataFrame:
+def frequent(texts: DataFrame, shingle: int, limit: int = FREQUENT) -> np.ndarray:
+    """At most ``limit`` of the most frequent shingles, the most frequent first, by what repeats within Arrow slices.
+
+    They only set the order in which shingles are taken, so links do not depend on them; the cost does.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 0):
+            sets = [np.unique(shingle_hashes(t, shingle)) for t in batch.column(0).cast(pa.binary()).to_pylist()]
+            h, n = np.unique(np.concatenate(sets), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(h[n > 2].view(np.int64)), pa.array(n[n > 2])], ["h", "n"])
+
+    counts = texts.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    top = counts.orderBy(F.desc("n"), "h").limit(limit).select("h").collect()
+    return np.array([r.h for r in top], np.int64).view("<u8")
+
+
+def prefixes(texts: DataFrame, shingle: int, similarity: float, often: np.ndarray) -> DataFrame:
+    """(k, fp, n, rare, prefix) of each distinct text with words: its hash, fingerprint, number of distinct shingles, those
+    not frequent, and the first of them in one order of all (rare ones by hash, then from less to more frequent).
+
+    Two sets of that similarity or more share a shingle of both prefixes.
+    """
+    order = np.argsort(often)
+    known, rank = often[order], (len(often) - order).astype(np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 0):
+            out = []
+            for k, t in zip(batch.column(1).to_pylist(), batch.column(0).cast(pa.binary()).to_pylist(), strict=True):
+                h = shingle_hashes(t, shingle)
+                if not len(h):
+                    continue
+                fp, h = majority(h), np.unique(h)
+                place = (h >> np.uint64(2)).astype(np.int64)  # below 2**62
+                if len(known):
+                    at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+                    place = np.where(known[at] == h, (1 << 62) + rank[at], place)
+                place = np.unique(place)
+                n = len(place)
+                out.append((k, fp, n, int((place < 1 << 62).sum()), place[: n - ceil(similarity * n - EPS) + 1]))
+            columns = list(zip(*out, strict=True)) or [[]] * 5
+            types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["k", "fp", "n", "rare", "prefix"])
+
+    found = texts.select("text", "k").mapInArrow(run, "k long, fp long, n long, rare long, prefix array<long>")
+    return found.dropDuplicates(["k", "fp"])
+
+
+def verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Of the pairs (a, b) of text hashes those similar enough, with fingerprints fa and fb.
+
+    Where both prefixes reach, a shingle of one that is not in the other's is in no shingle of the other; pairs that
+    this leaves too little to share go first.  The others are judged on the whole texts.
+    """
+    pre = nodes.select("k", "n", "prefix")
+    both = pairs.join(pre.toDF("a", "na", "pa"), "a").join(pre.toDF("b", "nb", "pb"), "b")
+    end = F.least(F.element_at("pa", -1), F.element_at("pb", -1))
+    both = both.withColumn("end", end).withColumn("need", (F.col("na") + F.col("nb")) * (similarity / (1 + similarity)) - EPS)
+    for one, other in (("a", "b"), ("b", "a")):
+        alone = F.size(F.array_except(F.filter(f"p{one}", lambda x: x <= F.col("end")), f"p{other}"))
+        both = both.filter(F.col(f"n{one}") - alone >= F.col("need"))
+    left = materialize(both.select("a", "b").distinct(), "pairs")
+    wanted = left.select(F.col("a").alias("k")).unionByName(left.select(F.col("b").alias("k"))).distinct()
+    whole = materialize(texts.join(wanted, "k", "left_semi").dropDuplicates(["k", "text"]), "texts")
+    whole = whole.select("k", "text")
+    judged = left.join(whole.toDF("a", "ta"), "a").join(whole.toDF("b", "tb"), "b").select("a", "b", "ta", "tb")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 2):
+            out = []
+            a, b = (batch.column(i).to_pylist() for i in (0, 1))
+            ta, tb = (batch.column(i).cast(pa.binary()).to_pylist() for i in (2, 3))
+            for x, y, s, t in zip(a, b, ta, tb, strict=True):
+                hs, ht = shingle_hashes(s, shingle), shingle_hashes(t, shingle)
+                us, ut = np.unique(hs), np.unique(ht)
+                shared = len(np.intersect1d(us, ut, assume_unique=True))
+                if shared >= similarity * (len(us) + len(ut) - shared) - EPS:
+                    out.append((x, y, majority(hs), majority(ht)))
+            columns = list(zip(*out, strict=True)) or [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["a", "b", "fa", "fb"])
+
+    return judged.mapInArrow(run, "a long, b long, fa long, fb long")
+
+
+def similar_links(texts: DataFrame, shingle: int, similarity: float, bucket: int = BUCKET) -> DataFrame:
+    """Edges (a, b) between fingerprints of texts (columns text, k) whose sets of shingles are that similar.
+
+    Texts meet in buckets, one a shingle of their prefixes.  In buckets of at most ``bucket`` members each pair is judged.
+    In larger ones pivots are judged against all members: first the member with the fewest rare shingles (a group's
+    original has none of its own), then ever more of those that no pivot is linked to, until none is left.  So a
+    group of copies costs a few checks a member, and members that are linked to no pivot are judged against all; not
+    judged are pairs of two members of which each is linked to a pivot.
+    """
+    nodes = materialize(prefixes(texts, shingle, similarity, frequent(texts.select("text"), shingle)), "prefixes")
+    rows = nodes.select("k", "n", "rare", F.posexplode("prefix").alias("at", "h"))
+    shared = rows.groupBy("h").agg(F.count("*").alias("size")).filter("size > 1")
+    rows = materialize(rows.select("h", "k", F.struct("n", "rare", "at").alias("of")).join(shared, "h"), "postings")
+
+    def met(one: DataFrame, other: DataFrame) -> DataFrame:
+        x, y = one.select("h", F.col("k").alias("a"), F.col("of").alias("x")), other.select("h", F.col("k").alias("b"), F.col("of").alias("y"))
+        left = F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at"))  # what can be shared from here on
+        need = (F.col("x.n") + F.col("y.n")) * (similarity / (1 + similarity)) - EPS
+        sizes = F.least("x.n", "y.n") >= F.greatest("x.n", "y.n") * similarity - EPS
+        return x.join(y, "h").filter((F.col("a") != F.col("b")) & sizes & (left + F.least("x.at", "y.at") >= need))
+
+    few = rows.filter(F.col("size") <= bucket)
+    found = [verified(met(few, few).filter("a < b").select("a", "b").distinct(), nodes, texts, shingle, similarity)]
+    many = rows.filter(F.col("size") > bucket).select("h", "k", "of")
+    still, count = materialize(many, "open"), 0
+    while not still.isEmpty():
+        of = still.groupBy("h").agg(F.count("*").alias("left"), F.min(F.struct("of.rare", "k"))["k"].alias("least"))
+        drawn = F.pmod(F.xxhash64("k", "h", F.lit(count)), F.col("left")) < count
+        pivots = still.join(of, "h").filter((F.col("k") == F.col("least")) | drawn).select("h", "k", "of")
+        pairs = materialize(met(pivots, many).select("h", "a", "b"), "met")
+        found.append(materialize(verified(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), nodes, texts, shingle, similarity), "linked"))
+        links_ = found[-1].select(F.col("a").alias("_a"), F.col("b").alias("_b"))
+        linked = pairs.join(links_, (F.least("a", "b") == F.col("_a")) & (F.greatest("a", "b") == F.col("_b"))).select("h", F.col("b").alias("k"))
+        still = materialize(still.join(linked.unionByName(pivots.select("h", "k")).distinct(), ["h", "k"], "left_anti"), "open")
+        count = max(8, 8 * count)
+    return reduce(DataFrame.unionByName, found).select(F.col("fa").alias("a"), F.col("fb").alias("b")).filter("a <> b").distinct()
+
+
+def grouped(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, bucket: int = BUCKET, similarity: float | None = None
+) -> DataFrame:
     """(doc_id, key, fp, component, component_id): component is the least fingerprint reachable over links."""
     fps = materialize(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
     nodes = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes")
-    comp = components(links(nodes, bucket)).select(F.col("node").alias("fp"), "component")
+    edges = links(nodes, bucket)
+    if similarity is not None:
+        texts = docs.select(F.col(text_col).alias("text")).filter("text is not null").withColumn("k", F.xxhash64("text"))
+        edges = edges.unionByName(similar_links(texts, shingle, similarity, bucket))
+    comp = components(edges).select(F.col("node").alias("fp"), "component")
     named = nodes.join(comp, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     least = named.groupBy("component").agg(F.min("first").alias("component_id"))
     named = named.join(least, "component").select("fp", "component", "component_id")
     return fps.join(named, "fp")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, bucket: int = BUCKET) -> DataFrame:
+def near_duplicates(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, bucket: int = BUCKET, similarity: float | None = None
+) -> DataFrame:
     """(doc_id, fp, component_id): component_id is the smallest doc_id reachable over links, its own included.
 
-    A null text has no words; texts without words share fingerprint zero and are linked like any others.  Rows that
-    repeat are linked to each other.  A null doc_id never is a component_id unless its whole component has none.
+    Links are fingerprints within two bits and, if ``similarity`` is set, texts whose sets of shingles have that Jaccard
+    similarity or more.  A null text has no words; texts without words share fingerprint zero and are linked like any
+    others.  Rows that repeat are linked to each other.  A null doc_id never is a component_id unless its whole
+    component has none.
     """
-    return grouped(docs, id_col, text_col, shingle, bucket).select("doc_id", "fp", "component_id")
+    return grouped(docs, id_col, text_col, shingle, bucket, similarity).select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = WORDS, similarity: float | None = SIMILARITY) -> DataFrame:
     """One document of each group: that with the smallest id (null last), then the smallest key of its text.  Columns as
     in ``docs``.
 
     Rows of different groups stay also where they share an id or have none.
     """
-    members = grouped(docs, id_col, text_col).groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("m"))
+    found = grouped(docs, id_col, text_col, shingle, similarity=similarity)
+    members = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("m"))
     kept = members.select(F.col("m.doc_id").alias("id"), F.col("m.key").alias("key"))  # equal texts are of one group
+    copies = found.groupBy(F.col("doc_id").alias("id"), "key").agg(F.count("*").alias("copies"))
+    kept = materialize(null_safe_join(kept, copies, ["id", "key"]), "kept")
     rows = docs.select(F.struct(*docs.columns).alias("row"))  # so that no column of theirs clashes
     rows = rows.select("row", F.col("row")[id_col].cast("long").alias("id"), text_key(F.col("row")[text_col]).alias("key"))
-    return null_safe_join(rows, kept, ["id", "key"], "left_semi").dropDuplicates(["id", "key"]).select("row.*")
+    rows = null_safe_join(rows, kept, ["id", "key"])
+    again = rows.filter("copies > 1").dropDuplicates(["id", "key"])  # only rows that repeat are dealt a second time
+    return rows.filter("copies = 1").unionByName(again).select("row.*")
 
 
 def op8_simhash(spark, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ def test_stages_over_small_tables(spark):
     model = langid.train(docs)
     want = [r.doc_id for r in docs.collect() if (p := model.predict([(r.text or "").encode() or None])) and p[0][0] != "und" and p[1][0] >= 0.4]
     assert sorted(r.doc_id for r in known.collect()) == sorted(want) and len(want) > 0.9 * n
-    groups = {r.component_id for r in simhash.near_duplicates(known).collect()}
+    groups = {r.component_id for r in simhash.near_duplicates(known, shingle=5, similarity=0.8).collect()}
     assert sorted(r.doc_id for r in single.collect()) == sorted(groups)
 
     rows = sorted(single.collect(), key=lambda r: r.doc_id)

@@ -47,7 +47,7 @@ def test_fingerprints_and_components(spark):
     want = [(d, brute_fp(t)) for d, t in docs]
     assert {d: got[d].fp & (2**64 - 1) for d, _ in docs} == dict(want)
     assert {d: got[d].component_id for d, _ in docs} == brute_components(want)
-    assert {r.doc_id for r in simhash.keep_one(df).collect()} == set(brute_components(want).values())
+    assert {r.doc_id for r in simhash.keep_one(df, shingle=3, similarity=None).collect()} == set(brute_components(want).values())
 
 
 def test_large_buckets_find_the_same_links(spark):
@@ -77,9 +77,60 @@ def test_large_buckets_find_the_same_links(spark):
         assert sorted(map(sorted, groups.values())) == sorted(map(sorted, brute.values()))
 
 
+def similar(a, b):
+    x, y = (set(simhash.shingle_hashes(t.encode(), 5).tolist()) for t in (a, b))
+    return len(x & y) >= 0.8 * len(x | y)
+
+
+def test_groups_by_similarity_equal_all_pairs(spark):
+    rng = random.Random(11)
+    vocab = ["".join(rng.choices("abcdefgh", k=5)) for _ in range(900)]
+    passage = rng.choices(vocab, k=40)
+    texts = ["", "a", "a b c", "A b  c"]
+    for k in range(25):  # copies at similarities around 0.8, some behind a passage that all share
+        base = rng.choices(vocab, k=rng.choice([30, 120, 400]))
+        for _ in range(5):
+            words = [w if rng.random() > 0.02 else w + "x" for w in base]
+            texts.append(" ".join((passage if k % 3 == 0 else []) + words))
+    base = rng.choices(vocab, k=150)  # a group that is larger than a bucket, with its original
+    texts.append(" ".join(base))
+    for _ in range(120):
+        words = list(base)
+        for at in rng.sample(range(150), rng.choice([1, 2, 3, 5])):
+            words[at] = rng.choice(vocab) + "y"
+        texts.append(" ".join(words))
+    rows = list(enumerate(texts, 1))
+    rng.shuffle(rows)
+    df = spark.createDataFrame([*rows, *rows[:20]], "doc_id long, text string").repartition(5)
+    ids, text = [d for d, _ in rows], [t for _, t in rows]
+    fps = [simhash.fingerprint(t.encode(), 5) for t in text]
+    parent = list(range(len(rows)))
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if ((fps[i] ^ fps[j]) & (2**64 - 1)).bit_count() <= 2 or (text[i] and text[j] and similar(text[i], text[j])):
+                parent[find(i)] = find(j)
+    least = {}
+    for i, d in enumerate(ids):
+        least[find(i)] = min(least.get(find(i), d), d)
+    want = {d: least[find(i)] for i, d in enumerate(ids)}
+    got = simhash.near_duplicates(df, shingle=5, similarity=0.8).collect()
+    assert len(got) == len(rows) + 20 and {r.doc_id: r.component_id for r in got} == want
+    assert len(set(want.values())) < len(rows) - 100
+    assert sorted(r.doc_id for r in simhash.keep_one(df).collect()) == sorted(set(want.values()))
+
+
 def test_empty_and_odd_columns(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert simhash.near_duplicates(empty).count() == 0
+    assert simhash.keep_one(empty).count() == 0
+    nothing = spark.createDataFrame([(1, None), (2, " "), (None, None)], "doc_id long, text string")
+    assert [r.doc_id for r in simhash.keep_one(nothing).collect()] == [1]
     odd = spark.createDataFrame([(1, "a b c", 5, "x"), (1, "a b c", 5, "x"), (None, "a b c", 6, None)], "doc_id long, text string, fp int, component_id string")
     got = simhash.near_duplicates(odd).collect()
     assert len(got) == 3 and {r.component_id for r in got} == {1}
