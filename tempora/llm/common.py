@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import gc
 import os
 import tempfile
 import uuid
@@ -33,6 +34,29 @@ def shared_dir(spark: SparkSession) -> str:
     return where
 
 
+#: Folders of the tables written so far, in order.
+_WRITTEN: list[str] = []
+
+
+def mark() -> int:
+    """The place from which ``drop_written`` counts."""
+    return len(_WRITTEN)
+
+
+def drop_written(spark: SparkSession, since: int, *kept: DataFrame) -> None:
+    """Removes the tables written since that mark but those that ``kept`` read: for steps whose result is written."""
+    files = [f for df in kept for f in df.inputFiles()]
+    for folder in _WRITTEN[since:]:
+        if not any(os.path.basename(folder) in f for f in files):
+            _remove(spark, folder)
+
+
+def free(spark: SparkSession) -> None:
+    """Lets Spark's cleaner drop the shuffle files of plans that a written table has replaced."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 
@@ -41,7 +65,9 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tempora-{uuid.uuid4().hex}/{tag}"
     df.write.parquet(path)
-    atexit.register(_remove, spark, path.rpartition("/")[0])
+    folder = path.rpartition("/")[0]
+    atexit.register(_remove, spark, folder)
+    _WRITTEN.append(folder)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, slices
+from .common import drop_written, free, mark, materialize, slices
 
 LENGTH, K, CROWD, HEAVY, SHARD_BYTES, LONGEST = 100, 32, 4096, 1024, 4 << 20, 128
 #: Bytes of strings under one index, that a task holds before it sends them on, and of text whose pieces it combines.
@@ -550,11 +550,6 @@ def row_key(doc_id: Column, text: Column) -> Column:
     return F.when(doc_id.isNull(), short.bitwiseOR(F.lit(-(1 << 63)))).otherwise(short)
 
 
-def _free(spark) -> None:
-    """Lets Spark's cleaner drop the shuffle files of plans that a written table has replaced."""
-    spark.sparkContext._jvm.System.gc()
-
-
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", crowd: int = CROWD, shard_bytes: int = SHARD_BYTES, heavy: int = HEAVY) -> DataFrame:
     """doc_id, key, kept, n_bytes, spans: a row for each row.
 
@@ -564,13 +559,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     doc_id, text = F.col(id_col).cast("long"), F.col(text_col)
     rows = docs.select(F.coalesce(doc_id, F.lit(LAST)).alias("doc_id"), row_key(doc_id, text).alias("key"), F.coalesce(text.cast("binary"), F.lit(b"")).alias("text"))
+    free(docs.sparkSession)  # what came before
     size = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     n_buckets = max(8, size // shard_bytes)
     compared = materialize(compare_pieces(cut_pieces(rows, n_buckets, heavy), n_buckets, crowd), "compared")
-    _free(docs.sparkSession)
+    free(docs.sparkSession)
     strings = fetch_bytes(rows, compared.filter(F.col("kind") == NEEDS), n_buckets)
     matched = materialize(index_shards(strings, n_buckets), "matched")
-    _free(docs.sparkSession)
+    free(docs.sparkSession)
     return cut(rows, compared.filter(F.col("kind") == MARKS).unionByName(matched), n_buckets)
 
 
@@ -585,9 +581,12 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Bytes of a character that was cut in two are dropped.  ``length_col``, where there is one, counts the new text's code
     points.  Rows that share an id are told apart by their text; of rows that repeat both, one stays.
     """
+    begun = mark()
     found = remove_repeats(docs, id_col, text_col).groupBy("doc_id", "key").agg(F.count("*").alias("_n"), F.max(F.struct(F.length("kept").alias("left"), "kept", F.size("spans").alias("cuts"))).alias("b"))
     found = found.filter("_n > 1 or b.cuts > 0")
     found = materialize(found.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), "_n", F.col("b.kept").alias("_kept"), (F.col("b.cuts") > 0).alias("_cut")), "changed")
+    drop_written(docs.sparkSession, begun, found)
+    free(docs.sparkSession)
     rows = docs.select(F.struct(*docs.columns).alias("row"))  # so that no column of theirs clashes
     doc_id, said = F.col("row")[id_col].cast("long"), F.col("row")[text_col]
     on = doc_id.eqNullSafe(F.col("_id")) & (row_key(doc_id, said) == F.col("_key"))

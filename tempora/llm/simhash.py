@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, null_safe_join, slices
+from .common import drop_written, free, mark, materialize, null_safe_join, slices
 from .graph import components
 
 TAU, M, SHINGLE, BUCKET = 2, 7, 3, 32
@@ -171,8 +171,8 @@ def prefixes(texts: DataFrame, shingle: int, similarity: float, often: np.ndarra
     return found.dropDuplicates(["k", "fp"])
 
 
-def verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """Of the pairs (a, b) of text hashes those similar enough, with fingerprints fa and fb.
+def verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
+    """Of the pairs (a, b, least) of text hashes those of a similarity ``s`` of ``least`` or more, with fingerprints fa, fb.
 
     Where both prefixes reach, a shingle of one that is not in the other's is in no shingle of the other; pairs that
     this leaves too little to share go first.  The others are judged on the whole texts.
@@ -180,71 +180,116 @@ def verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, shingle: int,
     pre = nodes.select("k", "n", "prefix")
     both = pairs.join(pre.toDF("a", "na", "pa"), "a").join(pre.toDF("b", "nb", "pb"), "b")
     end = F.least(F.element_at("pa", -1), F.element_at("pb", -1))
-    both = both.withColumn("end", end).withColumn("need", (F.col("na") + F.col("nb")) * (similarity / (1 + similarity)) - EPS)
+    both = both.withColumn("end", end).withColumn("need", (F.col("na") + F.col("nb")) * (F.col("least") / (1 + F.col("least"))) - EPS)
+    both = both.filter(F.least("na", "nb") >= F.greatest("na", "nb") * F.col("least") - EPS)
     for one, other in (("a", "b"), ("b", "a")):
         alone = F.size(F.array_except(F.filter(f"p{one}", lambda x: x <= F.col("end")), f"p{other}"))
         both = both.filter(F.col(f"n{one}") - alone >= F.col("need"))
-    left = materialize(both.select("a", "b").distinct(), "pairs")
+    left = materialize(both.select("a", "b", "least").distinct(), "pairs")
     wanted = left.select(F.col("a").alias("k")).unionByName(left.select(F.col("b").alias("k"))).distinct()
     whole = materialize(texts.join(wanted, "k", "left_semi").dropDuplicates(["k", "text"]), "texts")
     whole = whole.select("k", "text")
-    judged = left.join(whole.toDF("a", "ta"), "a").join(whole.toDF("b", "tb"), "b").select("a", "b", "ta", "tb")
+    judged = left.join(whole.toDF("a", "ta"), "a").join(whole.toDF("b", "tb"), "b").select("a", "b", "ta", "tb", "least")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 2):
             out = []
-            a, b = (batch.column(i).to_pylist() for i in (0, 1))
+            a, b, least = (batch.column(i).to_pylist() for i in (0, 1, 4))
             ta, tb = (batch.column(i).cast(pa.binary()).to_pylist() for i in (2, 3))
-            for x, y, s, t in zip(a, b, ta, tb, strict=True):
+            for x, y, s, t, limit in zip(a, b, ta, tb, least, strict=True):
                 hs, ht = shingle_hashes(s, shingle), shingle_hashes(t, shingle)
                 us, ut = np.unique(hs), np.unique(ht)
                 shared = len(np.intersect1d(us, ut, assume_unique=True))
-                if shared >= similarity * (len(us) + len(ut) - shared) - EPS:
-                    out.append((x, y, majority(hs), majority(ht)))
-            columns = list(zip(*out, strict=True)) or [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["a", "b", "fa", "fb"])
+                every = len(us) + len(ut) - shared
+                if shared >= limit * every - EPS:
+                    out.append((x, y, majority(hs), majority(ht), shared / every))
+            columns = list(zip(*out, strict=True)) or [[]] * 5
+            types = [pa.int64()] * 4 + [pa.float64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["a", "b", "fa", "fb", "s"])
 
-    return judged.mapInArrow(run, "a long, b long, fa long, fb long")
+    return judged.mapInArrow(run, "a long, b long, fa long, fb long, s double")
 
 
 def similar_links(texts: DataFrame, shingle: int, similarity: float, bucket: int = BUCKET) -> DataFrame:
-    """Edges (a, b) between fingerprints of texts (columns text, k) whose sets of shingles are that similar.
+    """Edges (a, b) between fingerprints of texts (columns text, k) whose sets of shingles are that similar; their
+    components are those of all such links.
 
     Texts meet in buckets, one a shingle of their prefixes.  In buckets of at most ``bucket`` members each pair is judged.
     In larger ones pivots are judged against all members: first the member with the fewest rare shingles (a group's
     original has none of its own), then ever more of those that no pivot is linked to, until none is left.  So a
-    group of copies costs a few checks a member, and members that are linked to no pivot are judged against all; not
-    judged are pairs of two members of which each is linked to a pivot.
+    group of copies costs a few checks a member, and members that are linked to no pivot are judged against all.  What
+    is left are pairs of members of which each is linked to a pivot, to different ones: see ``crossing``.
     """
     nodes = materialize(prefixes(texts, shingle, similarity, frequent(texts.select("text"), shingle)), "prefixes")
     rows = nodes.select("k", "n", "rare", F.posexplode("prefix").alias("at", "h"))
     shared = rows.groupBy("h").agg(F.count("*").alias("size")).filter("size > 1")
     rows = materialize(rows.select("h", "k", F.struct("n", "rare", "at").alias("of")).join(shared, "h"), "postings")
 
-    def met(one: DataFrame, other: DataFrame) -> DataFrame:
-        x, y = one.select("h", F.col("k").alias("a"), F.col("of").alias("x")), other.select("h", F.col("k").alias("b"), F.col("of").alias("y"))
-        left = F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at"))  # what can be shared from here on
-        need = (F.col("x.n") + F.col("y.n")) * (similarity / (1 + similarity)) - EPS
-        sizes = F.least("x.n", "y.n") >= F.greatest("x.n", "y.n") * similarity - EPS
-        return x.join(y, "h").filter((F.col("a") != F.col("b")) & sizes & (left + F.least("x.at", "y.at") >= need))
+    def judged(pairs: DataFrame) -> DataFrame:
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        return materialize(verified(pairs.withColumn("least", F.lit(similarity)), nodes, texts, shingle), "linked")
 
     few = rows.filter(F.col("size") <= bucket)
-    found = [verified(met(few, few).filter("a < b").select("a", "b").distinct(), nodes, texts, shingle, similarity)]
+    found = [judged(met(few, few, ["h"], similarity).filter("a < b"))]
     many = rows.filter(F.col("size") > bucket).select("h", "k", "of")
     still, count = materialize(many, "open"), 0
+    done, near = [], []
     while not still.isEmpty():
         of = still.groupBy("h").agg(F.count("*").alias("left"), F.min(F.struct("of.rare", "k"))["k"].alias("least"))
         drawn = F.pmod(F.xxhash64("k", "h", F.lit(count)), F.col("left")) < count
         pivots = still.join(of, "h").filter((F.col("k") == F.col("least")) | drawn).select("h", "k", "of")
-        pairs = materialize(met(pivots, many).select("h", "a", "b"), "met")
-        found.append(materialize(verified(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), nodes, texts, shingle, similarity), "linked"))
-        links_ = found[-1].select(F.col("a").alias("_a"), F.col("b").alias("_b"))
-        linked = pairs.join(links_, (F.least("a", "b") == F.col("_a")) & (F.greatest("a", "b") == F.col("_b"))).select("h", F.col("b").alias("k"))
-        still = materialize(still.join(linked.unionByName(pivots.select("h", "k")).distinct(), ["h", "k"], "left_anti"), "open")
+        pairs = materialize(met(pivots, many, ["h"], similarity).select("h", "a", "b"), "met")
+        found.append(judged(pairs))
+        links_ = found[-1].select(F.col("a").alias("_a"), F.col("b").alias("_b"), (1 - F.col("s")).alias("far"))
+        linked = pairs.join(links_, (F.least("a", "b") == F.col("_a")) & (F.greatest("a", "b") == F.col("_b")))
+        near.append(materialize(linked.select("h", F.col("b").alias("k"), F.col("a").alias("pivot"), "far"), "near"))
+        done.append(materialize(pivots.select("h", "k"), "pivots"))
+        still = materialize(still.join(near[-1].select("h", "k").unionByName(done[-1]).distinct(), ["h", "k"], "left_anti"), "open")
         count = max(8, 8 * count)
+    if near:
+        pivots, near = (reduce(DataFrame.unionByName, x) for x in (done, near))
+        linked = reduce(DataFrame.unionByName, found)
+        left = crossing(near, pivots, many, linked, nodes, texts, shingle, similarity)
+        if left is not None:
+            found.append(judged(left))
     return reduce(DataFrame.unionByName, found).select(F.col("fa").alias("a"), F.col("fb").alias("b")).filter("a <> b").distinct()
 
 
+def met(one: DataFrame, other: DataFrame, on: list[str], similarity: float) -> DataFrame:
+    """Pairs (a, b) of (h, k, of) in one bucket that size and place leave able to be that similar."""
+    x = one.withColumnsRenamed({"k": "a", "of": "x"})
+    y = other.withColumnsRenamed({"k": "b", "of": "y"})
+    left = F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at"))  # what can be shared from here on
+    need = (F.col("x.n") + F.col("y.n")) * (similarity / (1 + similarity)) - EPS
+    sizes = F.least("x.n", "y.n") >= F.greatest("x.n", "y.n") * similarity - EPS
+    return x.join(y, on).filter((F.col("a") != F.col("b")) & sizes & (left + F.least("x.at", "y.at") >= need))
+
+
+def crossing(near: DataFrame, pivots: DataFrame, many: DataFrame, linked: DataFrame, nodes: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame | None:
+    """Pairs (a, b) of one bucket's members of which neither was a pivot, and that may be linked: their pivots are in
+    different components of ``linked``, and near enough.
+
+    One minus the Jaccard similarity is a metric, so a pair that is linked has pivots no farther from each other than
+    its own distance and those of both members to their pivots.  ``near`` has (h, k, pivot, far).
+    """
+    members = near.groupBy("h", "k").agg(F.min(F.struct("far", "pivot")).alias("m")).select("h", "k", "m.pivot", "m.far")
+    members = materialize(members.join(pivots, ["h", "k"], "left_anti").join(many, ["h", "k"]), "members")
+    leaders = members.groupBy("h", "pivot").agg(F.max("far").alias("far"))
+    several = leaders.groupBy("h").agg(F.count("*").alias("c")).filter("c > 1").select("h")
+    leaders = materialize(leaders.join(several, "h"), "leaders")
+    if leaders.isEmpty():
+        return None
+    comp = components(linked.select("a", "b"))
+    leaders = leaders.join(comp.select(F.col("node").alias("pivot"), F.col("component").alias("c")), "pivot")
+    one, other = leaders.toDF("p", "h", "fp", "cp"), leaders.toDF("q", "h", "fq", "cq")
+    both = one.join(other, "h").filter("p < q and cp <> cq").groupBy("p", "q").agg(F.max(F.col("fp") + F.col("fq")).alias("far"))
+    both = both.select(F.col("p").alias("a"), F.col("q").alias("b"), (similarity - F.col("far") - EPS).alias("least"))
+    close = verified(both, nodes, texts, shingle).select(F.col("a").alias("p"), F.col("b").alias("q"), (1 - F.col("s")).alias("d"))
+    one = members.withColumnsRenamed({"pivot": "p", "far": "fp"}).join(materialize(close, "close"), "p")
+    other = members.withColumnsRenamed({"pivot": "q", "far": "fq"})
+    return met(one, other, ["h", "q"], similarity).filter(F.col("fp") + F.col("fq") + (1 - similarity) >= F.col("d") - 2 * EPS).select("a", "b")
+
+
 def grouped(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, bucket: int = BUCKET, similarity: float | None = None
 ) -> DataFrame:
@@ -281,11 +326,14 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
 
     Rows of different groups stay also where they share an id or have none.
     """
+    begun = mark()
     found = grouped(docs, id_col, text_col, shingle, similarity=similarity)
     members = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("m"))
     kept = members.select(F.col("m.doc_id").alias("id"), F.col("m.key").alias("key"))  # equal texts are of one group
     copies = found.groupBy(F.col("doc_id").alias("id"), "key").agg(F.count("*").alias("copies"))
     kept = materialize(null_safe_join(kept, copies, ["id", "key"]), "kept")
+    drop_written(docs.sparkSession, begun, kept)
+    free(docs.sparkSession)
     rows = docs.select(F.struct(*docs.columns).alias("row"))  # so that no column of theirs clashes
     rows = rows.select("row", F.col("row")[id_col].cast("long").alias("id"), text_key(F.col("row")[text_col]).alias("key"))
     rows = null_safe_join(rows, kept, ["id", "key"])

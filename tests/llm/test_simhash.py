@@ -125,6 +125,28 @@ def test_groups_by_similarity_equal_all_pairs(spark):
     assert sorted(r.doc_id for r in simhash.keep_one(df).collect()) == sorted(set(want.values()))
 
 
+def test_pairs_of_members_of_two_pivots_are_judged(spark):
+    # two originals that are not linked, and a text near either; a link of those two joins the groups
+    rng = random.Random(4)
+    base, x, y = (["".join(rng.choices("abcdefghij", k=8)) for _ in range(n)] for n in (204, 48, 48))
+
+    def near(at, tail):
+        return [*base[:at], "changed", *base[at + 1 :], *tail[:12]]
+
+    texts = [" ".join(t) for t in ([*base, *x], [*base, *y], near(20, x), near(60, y))]
+    assert [(i, j) for i in range(4) for j in range(i) if similar(texts[i], texts[j])] == [(2, 0), (3, 1), (3, 2)]
+    df = spark.createDataFrame(list(enumerate(texts)), "k long, text string").coalesce(1).persist()
+    nodes = simhash.prefixes(df, 5, 0.8, simhash.np.empty(0, "<u8")).persist()
+    bucket = nodes.select(F.lit(1).cast("long").alias("h"), "k", F.struct("n", "rare", F.lit(0).alias("at")).alias("of"))
+    linked = spark.createDataFrame([(1, 2, 0, 0.19), (1, 3, 1, 0.19)], "h long, k long, pivot long, far double")
+    pivots = spark.createDataFrame([(1, 0), (1, 1)], "h long, k long")
+    found = spark.createDataFrame([(0, 2), (1, 3)], "a long, b long")
+    got = simhash.crossing(linked, pivots, bucket, found, nodes, df, 5, 0.8)
+    assert [tuple(sorted(r)) for r in got.collect()] == [(2, 3)]
+    joined = found.unionByName(got)  # of one group nothing is judged again
+    assert simhash.crossing(linked, pivots, bucket, joined, nodes, df, 5, 0.8).count() == 0
+
+
 def test_empty_and_odd_columns(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert simhash.near_duplicates(empty).count() == 0
