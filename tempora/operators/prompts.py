@@ -11,16 +11,17 @@ from pyspark.sql import functions as F
 from tempora.functions.rules import path_format, safe_name
 from tempora.operators.rules import uniform_sample, weighted_sample
 
-def parse_rule_lines(lines: DataFrame, compat: bool = False) -> DataFrame:
+def parse_rule_lines(lines: DataFrame, compat: bool = False, width: int | None = None) -> DataFrame:
     """(conf, head, rule, body) of verbalized rules (column ``value``); other lines go.
 
     A line has four columns apart: confidence, two supports, and the rule, the last with blanks of its own.  A head ends at
-    its variables; ``compat`` ends it at the first parenthesis, which cuts names that have one.
+    its variables; ``compat`` ends it at the first parenthesis, which cuts names that have one.  With ``width`` the rule
+    is what follows so many characters, blanks included, however wide the other columns are.
     """
     cells = F.split(F.trim("value"), " +", 4)
     at = lambda i: F.get(cells, F.lit(i))
     good = at(0).try_cast("double").isNotNull() & at(1).try_cast("long").isNotNull() & at(2).try_cast("long").isNotNull() & F.contains(at(3), F.lit(" <- "))
-    parsed = lines.filter(F.coalesce(good, F.lit(False))).select(at(0).alias("conf"), at(3).alias("rule"))
+    parsed = lines.filter(F.coalesce(good, F.lit(False))).select(at(0).alias("conf"), (F.substring("value", width + 1, 1 << 30) if width else at(3)).alias("rule"))
     head = F.substring_index("rule", "(", 1) if compat else F.regexp_extract("rule", r"^(.*?)\(X0,", 1)
     return parsed.select(F.col("conf").cast("double").alias("conf"), head.alias("head"), "rule", F.element_at(F.split("rule", " <- "), 2).alias("body"))
 

@@ -118,3 +118,14 @@ def test_files(spark, tmp_path):
     assert sorted(map(tuple, S.read_candidates(spark, str(tmp_path / "cands.json")).collect())) == [(0, 5, 0.5), (0, 6, 0.25)]
     assert S.rules_file_name("t", [1, 2], 100, "exp", 12) == "t_r[1,2]_n100_exp_s12_rules.json"
     assert S.candidates_file_name("t_r[1]_rules.json", [1, 2], 0, "score_12") == "t_r[1]_cands_r[1,2]_w0_score_12.json"
+
+
+def test_rule_lines_by_place_as_the_sql_takes_them(spark):
+    import duckdb
+
+    from tempora.operators import prompts as P
+
+    lines = ["0.500000     5    10  view(X0,X1,T1) <- click(X0,X1,T0)", "0.250000  12345  49380  view(X0,X1,T1) <- _view(X0,X1,T0)"]
+    got = P.parse_rule_lines(spark.createDataFrame([(x,) for x in lines], "value string"), width=22).collect()
+    sql = "select regexp_extract(t, '^.{22}(.*?)\\(X0,', 1), substr(t, 23) from (select unnest(?) as t)"
+    assert sorted((r.head, r.rule) for r in got) == sorted(duckdb.execute(sql, [lines]).fetchall())
