@@ -171,3 +171,19 @@ def test_ranks_filter_and_baseline(spark):
     assert sorted(map(tuple, V.with_baseline(q, f, rel, every).filter("qid > 1").collect())) == [(2, 9, 0.75), (3, 3, 0.5)]
     with pytest.raises(ValueError):
         V.ranks(q, f, 9, "middle")
+
+
+def test_counts_without_candidates_equal_those_of_all_matches(spark):
+    import random
+
+    rng = random.Random(5)
+    rows = [(rng.randint(1, 6), rng.randint(0, 3), rng.randint(1, 6), rng.randint(0, 9), "train") for _ in range(70)]
+    queries = [(i, rng.randint(1, 8), rng.randint(0, 3), 1, rng.randint(1, 9)) for i in range(30)]
+    rules = [(0, 1, [1], [], 1, 2), (0, 2, [2], [[0, 1]], 1, 4), (1, 1, [3], [[0, 1]], 1, 3), (2, 1, [0], [], 2, 3)]
+    df = spark.createDataFrame(rules, "head_rel long, rule_rank long, body_rels array<long>, var_constraints array<array<int>>, rule_supp long, body_supp long")
+    q = spark.createDataFrame(queries, "qid long, sub long, rel long, obj long, ts long")
+    every = A.apply_rules(q, df, graph(spark, rows)).collect()
+    by = {i: (s, r, t) for i, s, r, _, t in queries}
+    assert {tuple(r) for r in A.answered_contexts(q, df, graph(spark, rows)).collect()} == {by[m.qid] for m in every} != set(by.values())
+    got = {(r.q_ts, r.head_rel, r.rule_rank, r.start): r.m for r in A.counted_starts(q, df, graph(spark, rows)).collect()}
+    assert got == Counter((m.q_ts, m.head_rel, m.rule_rank, m.start) for m in every)
