@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
 import gc
 import os
 import tempfile
@@ -57,6 +58,29 @@ def free(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+#: Bytes of an Arrow batch between the JVM and Python, about: each side holds one or two a task, outside the heap.
+BATCH_BYTES = 4 << 20
+
+
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, limit: int = BATCH_BYTES) -> Iterator[None]:
+    """Arrow batches of whole texts are bounded by bytes, not only by rows, for what runs meanwhile."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, limit)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def trim() -> None:
+    """Gives memory that a task has freed back to the system: idle workers are kept, and count."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 
@@ -64,7 +88,8 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tempora-{uuid.uuid4().hex}/{tag}"
-    df.write.parquet(path)
+    with small_batches(spark):
+        df.write.parquet(path)
     folder = path.rpartition("/")[0]
     atexit.register(_remove, spark, folder)
     _WRITTEN.append(folder)
@@ -107,6 +132,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: int, limit: int = 8 << 20)
             size += n
         if batch.num_rows > start:
             yield batch.slice(start)
+    trim()
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", hint: str = "") -> DataFrame:

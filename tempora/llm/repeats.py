@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_written, free, mark, materialize, slices
+from .common import drop_written, free, mark, materialize, slices, trim
 
 LENGTH, K, CROWD, HEAVY, SHARD_BYTES, LONGEST = 100, 32, 4096, 1024, 4 << 20, 128
 #: Bytes of strings under one index, that a task holds before it sends them on, and of text whose pieces it combines.
@@ -250,6 +250,8 @@ def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[int, list[tuple
             out[kind].append(tuple(row))
     if now is not None:
         yield out
+    out = None
+    trim()
 
 
 def by_bucket(one: Callable[[dict], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:

@@ -1,9 +1,11 @@
 import zlib
 
 import pandas as pd
+import pyarrow as pa
 
 import corpus_pipeline as pipeline
 from tempora.llm import langid, mixing, repeats, simhash
+from tempora.llm.common import BATCH_BYTES, materialize
 
 SF = "/root/testdata/sf0.001"
 
@@ -48,3 +50,14 @@ def test_without_repeats_keeps_one_of_repeated_rows(spark):
     rows = [(1, a, 5), (1, a, 6), (2, "é" + a[8:], 7), (3, None, 8), (4, "x", 9)]
     got = sorted((r.doc_id, r.text) for r in repeats.without_repeats(spark.createDataFrame(rows, "doc_id long, text string, _n int")).collect())
     assert got == [(1, a), (2, "é"), (3, None), (4, "x")] and zlib.crc32(b"") == 0
+
+
+def test_batches_of_texts_are_bounded_by_bytes(spark):
+    rows = spark.range(0, 3000, 1, 1).selectExpr("id", "repeat('some words ', 1000) AS text")  # 33 MB
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"n": [b.nbytes]})
+
+    got = [r.n for r in materialize(rows.mapInArrow(sizes, "n long"), "sizes").collect()]
+    assert sum(got) > 33_000_000 and max(got) < 2 * BATCH_BYTES
