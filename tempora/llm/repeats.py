@@ -36,6 +36,8 @@ from .common import drop_written, free, mark, materialize, slices, trim
 LENGTH, K, CROWD, HEAVY, SHARD_BYTES, LONGEST = 100, 32, 4096, 1024, 4 << 20, 128
 #: Bytes of strings under one index, that a task holds before it sends them on, and of text whose pieces it combines.
 INDEX_BYTES, HELD_BYTES, CUT_BYTES = 1 << 20, 4 << 20, 8 << 20
+#: Bytes of text that are hashed at a time: their arrays (eight bytes a byte) stay in a core's cache.
+SLICE_BYTES = 1 << 18
 _rng = np.random.default_rng(20240229)
 TABLE = _rng.integers(0, 1 << 64, 256, np.uint64)
 ODD = [int(x) | 1 for x in _rng.integers(0, 1 << 64, 8, np.uint64)]
@@ -219,7 +221,7 @@ def cut_pieces(docs: DataFrame, n_buckets: int, heavy: int) -> DataFrame:
                 yield from dealt(more, doc_bucket(more["d"], more["k"], n_buckets), MARKS)
 
         size = 0
-        for batch in slices(batches, 2, 1 << 20):
+        for batch in slices(batches, 2, SLICE_BYTES):
             texts = batch.column(2).to_pylist()
             held.append(pieces_of(texts, batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64)))
             size += sum(map(len, texts))
@@ -365,28 +367,32 @@ def with_bucket(docs: DataFrame, n_buckets: int) -> DataFrame:
 def suffix_order(data: np.ndarray, left: np.ndarray) -> np.ndarray:
     """The suffix array of strings laid end to end; ``left`` is how many bytes each position's string still has.
 
-    A suffix ends with its string, and ends of strings sort before bytes and among themselves by position.
+    A suffix ends with its string, and ends of strings sort before bytes and among themselves by position.  Prefixes are
+    doubled; each round sorts only the suffixes that are still tied, within the places that they have.
     """
     n = len(data)
     code = np.zeros(n + 8, np.uint64)
     code[:n] = data
     key = np.zeros(n, np.uint64)
-    for j in range(8):  # seven bytes and how many of them the string still has
-        key = (key << np.uint64(8)) | (np.where(left > j, code[j : n + j], 0).astype(np.uint64) if j < 7 else np.minimum(left, 7).astype(np.uint64))
-    order = np.argsort(key)  # not stable, and much quicker for that: ties are seen to at the end
-    width, longest = 7, int(left.max())
-    rank = np.empty(n, np.int64)
+    for j in range(7):  # seven bytes and how many of them the string still has
+        key = (key << np.uint64(8)) | np.where(left > j, code[j : n + j], 0).astype(np.uint64)
+    key = (key << np.uint64(8)) | np.minimum(left, 7).astype(np.uint64)
+    order = np.argsort(key)  # not stable, and much quicker for that: no ties are left at the end
+    key = key[order]
+    places, tied, width = np.arange(n), order, 7
+    rank = np.empty(n, np.int64)  # the first place of the suffix's group: it changes only when the group is split
     while True:
-        sorted_key = key[order]
-        rank[order] = np.cumsum(np.concatenate([[True], sorted_key[1:] != sorted_key[:-1]]))
-        if rank[order[-1]] == n:
+        new = np.concatenate([[True], key[1:] != key[:-1]])
+        rank[tied] = places[np.maximum.accumulate(np.where(new, np.arange(len(places)), 0))]
+        more = ~(new & np.append(new[1:], True))
+        places, tied = places[more], tied[more]
+        if not len(places):
             return order
-        if width >= longest:  # equal strings: by position
-            return np.argsort(rank * n + np.arange(n))
-        key = rank * (n + 1)
-        inside = np.flatnonzero(left > width)
-        key[inside] += rank[inside + width]
-        order = np.argsort(key)
+        inside = left[tied] > width  # of one group, the others are equal strings: before these, by position
+        key = rank[tied] * (2 * n) + np.where(inside, n + rank[np.where(inside, tied + width, 0)], tied)
+        by = np.argsort(key)
+        key, tied = key[by], tied[by]
+        order[places] = tied
         width *= 2
 
 

@@ -122,3 +122,19 @@ def test_rows_without_ids_are_judged_by_their_texts(spark):
     df = spark.createDataFrame([(None, "x" * 10 + texts[0] * 3), (last, "x" * 10 + texts[0] * 3)], "doc_id long, text string")
     kept = {r.doc_id: len(r.kept) for r in repeats.remove_repeats(df).collect()}
     assert kept[None] == 0 < kept[last]
+
+
+def test_only_tied_suffixes_are_sorted_again(monkeypatch):
+    rng = random.Random(11)
+    strings = ["".join(rng.choices("abcdefgh", k=200)).encode() for _ in range(40)]
+    strings += [strings[0][:150] + b"z" * 50, strings[0], b"ab" * 60, b"ab" * 60]
+    data = np.frombuffer(b"".join(strings), np.uint8)
+    sizes = np.array([len(s) for s in strings])
+    left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(data))
+    text = data.tobytes()
+    want = sorted(range(len(data)), key=lambda i: (text[i : i + left[i]], i))
+    sorted_so_far = []
+    argsort = np.argsort
+    monkeypatch.setattr(np, "argsort", lambda x, *a, **k: sorted_so_far.append(len(x)) or argsort(x, *a, **k))
+    assert repeats.suffix_order(data, left).tolist() == want
+    assert sum(sorted_so_far) < 3 * len(data)
