@@ -187,3 +187,24 @@ def test_counts_without_candidates_equal_those_of_all_matches(spark):
     assert {tuple(r) for r in A.answered_contexts(q, df, graph(spark, rows)).collect()} == {by[m.qid] for m in every} != set(by.values())
     got = {(r.q_ts, r.head_rel, r.rule_rank, r.start): r.m for r in A.counted_starts(q, df, graph(spark, rows)).collect()}
     assert got == Counter((m.q_ts, m.head_rel, m.rule_rank, m.start) for m in every)
+
+
+def test_contexts_are_matched_once_and_ranked_as_each_query(spark):
+    asked = spark.createDataFrame([(q, s, 0, o, 9) for q, (s, o) in enumerate([(1, 5), (1, 6), (1, 6), (1, 9), (2, 5), (1, 7)])], "qid long, sub long, rel long, obj long, ts long")
+    scores = {1: {5: 0.5, 6: 0.7, 7: 0.5, 8: 0.5, 4: 0.9, 3: 0.1}, 2: {5: 0.2, 6: 0.2, 7: 0.3}}
+    contexts = G.contexts_of(asked).collect()
+    assert sorted((r.qid, r.sub) for r in contexts) == [(0, 1), (4, 2)]
+    c = spark.createDataFrame([(r.qid, k, v) for r in contexts for k, v in scores[r.sub].items()], "qid long, cand long, score double")
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    listed = V.filter_other_answers(asked, G.for_queries(c, asked))
+    assert rows(V.filtered_by_context(G.in_contexts(asked), c)) == rows(listed) and G.for_queries(c, asked).count() == 5 * 6 + 3
+    for setting in ("best", "average", "worst"):
+        assert rows(V.ranks_by_context(G.in_contexts(asked), c, 77, setting)) == rows(V.ranks(asked, listed, 77, setting))
+
+
+def test_matches_do_not_grow_with_the_queries_of_a_context(spark, monkeypatch):
+    g = graph(spark, [(1, 0, 2, 1, "train"), *[(1, 1, 2, 30, "test")] * 5])
+    rules = spark.createDataFrame([(1, [0], [], 1, 2, 1)], "head_rel long, body_rels array<long>, var_constraints array<array<int>>, rule_supp long, body_supp long, rule_rank int")
+    monkeypatch.setattr(C, "events_graph", lambda *_: g.withColumn("is_inverse", F.lit(False)))
+    monkeypatch.setattr(C, "usable", lambda *_: rules)
+    assert C.matched(spark, SF).count() == 1 and sorted(r.qid for r in C.noisy_or(spark, SF).collect()) == [0, 1, 2, 3, 4]
