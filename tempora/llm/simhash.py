@@ -19,6 +19,7 @@ from collections.abc import Iterator
 from functools import reduce
 from itertools import repeat
 from math import ceil
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +35,8 @@ TAU, M, SHINGLE, BUCKET = 2, 7, 3, 32
 WORDS, SIMILARITY = 5, 0.8
 #: Shingles known as frequent, at most: what tasks are sent is bounded by 8 bytes each.
 FREQUENT = 1 << 16
+#: Buckets of a shingle in which all pairs are judged; bits of the parities of a set.
+GROUP, PARITY = 4, 256
 EPS = 1e-9
 #: The longest chain whose budget is below one bit.
 CHAIN = (M - 1) // TAU
@@ -140,8 +143,9 @@ def frequent(texts: DataFrame, shingle: int, limit: int = FREQUENT) -> np.ndarra
 
 
 def prefixes(texts: DataFrame, shingle: int, similarity: float, often: np.ndarray) -> DataFrame:
-    """(k, fp, n, rare, prefix) of each distinct text with words: its hash, fingerprint, number of distinct shingles, those
-    not frequent, and the first of them in one order of all (rare ones by hash, then from less to more frequent).
+    """(k, fp, n, rare, prefix, parity) of each distinct text with words: its hash, fingerprint, number of distinct shingles,
+    those not frequent, the first of them in one order of all (rare ones by hash, then from less to more frequent), and
+    whether odd or even numbers of them fall on each of ``PARITY`` places, as bits.
 
     Two sets of that similarity or more share a shingle of both prefixes.
     """
@@ -162,12 +166,13 @@ def prefixes(texts: DataFrame, shingle: int, similarity: float, often: np.ndarra
                     place = np.where(known[at] == h, (1 << 62) + rank[at], place)
                 place = np.unique(place)
                 n = len(place)
-                out.append((k, fp, n, int((place < 1 << 62).sum()), place[: n - ceil(similarity * n - EPS) + 1]))
-            columns = list(zip(*out, strict=True)) or [[]] * 5
-            types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["k", "fp", "n", "rare", "prefix"])
+                odd = np.packbits((np.bincount(place % PARITY, minlength=PARITY) & 1).astype(np.uint8)).view(np.int64)
+                out.append((k, fp, n, int((place < 1 << 62).sum()), place[: n - ceil(similarity * n - EPS) + 1], odd))
+            columns = list(zip(*out, strict=True)) or [[]] * 6
+            types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["k", "fp", "n", "rare", "prefix", "parity"])
 
-    found = texts.select("text", "k").mapInArrow(run, "k long, fp long, n long, rare long, prefix array<long>")
+    found = texts.select("text", "k").mapInArrow(run, "k long, fp long, n long, rare long, prefix array<long>, parity array<long>")
     return found.dropDuplicates(["k", "fp"])
 
 
@@ -210,7 +215,7 @@ def verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, shingle: int)
     return judged.mapInArrow(run, "a long, b long, fa long, fb long, s double")
 
 
-def similar_links(texts: DataFrame, shingle: int, similarity: float, bucket: int = BUCKET) -> DataFrame:
+def similar_links(texts: DataFrame, shingle: int, similarity: float, bucket: int = GROUP) -> DataFrame:
     """Edges (a, b) between fingerprints of texts (columns text, k) whose sets of shingles are that similar; their
     components are those of all such links.
 
@@ -221,9 +226,10 @@ def similar_links(texts: DataFrame, shingle: int, similarity: float, bucket: int
     is left are pairs of members of which each is linked to a pivot, to different ones: see ``crossing``.
     """
     nodes = materialize(prefixes(texts, shingle, similarity, frequent(texts.select("text"), shingle)), "prefixes")
-    rows = nodes.select("k", "n", "rare", F.posexplode("prefix").alias("at", "h"))
+    parts = [F.get("parity", F.lit(i)).alias(f"p{i}") for i in range(PARITY // 64)]
+    rows = nodes.select("k", "n", "rare", *parts, F.posexplode("prefix").alias("at", "h"))
     shared = rows.groupBy("h").agg(F.count("*").alias("size")).filter("size > 1")
-    rows = materialize(rows.select("h", "k", F.struct("n", "rare", "at").alias("of")).join(shared, "h"), "postings")
+    rows = materialize(rows.select("h", "k", F.struct("n", "rare", "at", *(f"p{i}" for i in range(PARITY // 64))).alias("of")).join(shared, "h"), "postings")
 
     def judged(pairs: DataFrame) -> DataFrame:
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
@@ -256,13 +262,17 @@ def similar_links(texts: DataFrame, shingle: int, similarity: float, bucket: int
 
 
 def met(one: DataFrame, other: DataFrame, on: list[str], similarity: float) -> DataFrame:
-    """Pairs (a, b) of (h, k, of) in one bucket that size and place leave able to be that similar."""
+    """Pairs (a, b) of (h, k, of) in one bucket that size, place and parities leave able to be that similar: places of which
+    one set has an odd number and the other an even one are no more than the shingles that only one of them has."""
     x = one.withColumnsRenamed({"k": "a", "of": "x"})
     y = other.withColumnsRenamed({"k": "b", "of": "y"})
     left = F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at"))  # what can be shared from here on
     need = (F.col("x.n") + F.col("y.n")) * (similarity / (1 + similarity)) - EPS
     sizes = F.least("x.n", "y.n") >= F.greatest("x.n", "y.n") * similarity - EPS
-    return x.join(y, on).filter((F.col("a") != F.col("b")) & sizes & (left + F.least("x.at", "y.at") >= need))
+    bits = [c for c in one.schema["of"].dataType.names if c.startswith("p")]
+    apart = reduce(add, [F.bit_count(F.col(f"x.{c}").bitwiseXOR(F.col(f"y.{c}"))) for c in bits], F.lit(0))
+    alike = apart <= (F.col("x.n") + F.col("y.n")) * ((1 - similarity) / (1 + similarity)) + EPS
+    return x.join(y, on).filter((F.col("a") != F.col("b")) & sizes & (left + F.least("x.at", "y.at") >= need) & alike)
 
 
 def crossing(near: DataFrame, pivots: DataFrame, many: DataFrame, linked: DataFrame, nodes: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame | None:
@@ -299,7 +309,7 @@ def grouped(
     edges = links(nodes, bucket)
     if similarity is not None:
         texts = docs.select(F.col(text_col).alias("text")).filter("text is not null").withColumn("k", F.xxhash64("text"))
-        edges = edges.unionByName(similar_links(texts, shingle, similarity, bucket))
+        edges = edges.unionByName(similar_links(texts, shingle, similarity, min(bucket, GROUP)))
     comp = components(edges).select(F.col("node").alias("fp"), "component")
     named = nodes.join(comp, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     least = named.groupBy("component").agg(F.min("first").alias("component_id"))

@@ -147,6 +147,21 @@ def test_pairs_of_members_of_two_pivots_are_judged(spark):
     assert simhash.crossing(linked, pivots, bucket, joined, nodes, df, 5, 0.8).count() == 0
 
 
+def test_texts_that_only_share_a_shingle_do_not_meet(spark):
+    # one passage in texts that differ else: all pairs of the bucket met before, of which none is a link
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choices("abcdefghij", k=8))
+    passage, base = [word() for _ in range(6)], [word() for _ in range(80)]
+    texts = [" ".join([*passage, *(word() for _ in range(80))]) for _ in range(12)] + [" ".join([*passage, *base]), " ".join([*passage, *base[:-1], "x"])]
+    df = spark.createDataFrame(list(enumerate(texts)), "k long, text string").coalesce(1)
+    nodes = simhash.prefixes(df, 5, 0.8, simhash.np.empty(0, "<u8"))
+    parts = [F.get("parity", F.lit(i)).alias(f"p{i}") for i in range(simhash.PARITY // 64)]
+    bucket = nodes.select(F.lit(1).alias("h"), "k", F.struct("n", "rare", F.lit(0).alias("at"), *parts).alias("of"))
+    assert sorted(tuple(r) for r in simhash.met(bucket, bucket, ["h"], 0.8).select("a", "b").collect()) == [(12, 13), (13, 12)]
+    edges = simhash.similar_links(df.withColumn("k", F.xxhash64("text")), 5, 0.8).collect()
+    assert len(edges) == 1
+
+
 def test_empty_and_odd_columns(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert simhash.near_duplicates(empty).count() == 0
