@@ -208,3 +208,29 @@ def test_matches_do_not_grow_with_the_queries_of_a_context(spark, monkeypatch):
     monkeypatch.setattr(C, "events_graph", lambda *_: g.withColumn("is_inverse", F.lit(False)))
     monkeypatch.setattr(C, "usable", lambda *_: rules)
     assert C.matched(spark, SF).count() == 1 and sorted(r.qid for r in C.noisy_or(spark, SF).collect()) == [0, 1, 2, 3, 4]
+
+
+def test_rules_of_two_by_counts_equal_listed_walks(spark):
+    import random
+
+    from tempora.operators import triangles as T
+
+    rng = random.Random(5)
+    rows = [(rng.randint(1, 5), rng.randint(0, 2), rng.randint(1, 5), rng.randint(0, 6), "train") for _ in range(50)]
+    g = G.with_inverses(graph(spark, [*rows, *rows[:9]]), 3).persist()
+    key = lambda r: (r.head_rel, tuple(r.body_rels), str(r.var_constraints))
+    closed = T.closed_walks(g, 3).collect()
+    assert sum(r.n_walks for r in closed) == K.cyclic_walks(g, 3, 3).count()
+    assert sum(r.n_walks + r.n_back for r in closed) == K.cyclic_walks(g, 3, 3, no_backtrack=False).count()
+    want = R.support(R.rules_from_walks(K.cyclic_walks(g, 3, 3), 3), g, longest=2).collect()
+    got = {key(r): (r.rule_supp, r.body_supp, r.conf) for r in T.rules_of_two(g, 3).collect()}
+    assert got == {key(r): (r.rule_supp, r.body_supp, r.conf) for r in want} and len(got) > 50
+
+
+def test_no_walk_through_a_hub_is_listed(spark):
+    from tempora.operators import triangles as T
+
+    # all 400 edges meet in one node: 400 * 399 / 2 open walks through it, and no triangle
+    rows = [(n, 0, 1000, n % 7, "train") for n in range(200)] + [(1000, 1, n, n % 7, "train") for n in range(200, 400)]
+    w = T.closed_walks(graph(spark, rows), 3)
+    assert w.count() == 0
