@@ -35,7 +35,7 @@ TAU, M, SHINGLE, BUCKET = 2, 7, 3, 32
 WORDS, SIMILARITY = 5, 0.8
 #: Shingles known as frequent, at most: what tasks are sent is bounded by 8 bytes each.
 FREQUENT = 1 << 16
-#: Buckets of a shingle in which all pairs are judged; bits of the parities of a set.
+#: Buckets of a shingle in which all pairs are judged; bits of the parities of a set, at least.
 GROUP, PARITY = 4, 256
 EPS = 1e-9
 #: The longest chain whose budget is below one bit.
@@ -143,9 +143,10 @@ def frequent(texts: DataFrame, shingle: int, limit: int = FREQUENT) -> np.ndarra
 
 
 def prefixes(texts: DataFrame, shingle: int, similarity: float, often: np.ndarray) -> DataFrame:
-    """(k, fp, n, rare, prefix, parity) of each distinct text with words: its hash, fingerprint, number of distinct shingles,
-    those not frequent, the first of them in one order of all (rare ones by hash, then from less to more frequent), and
-    whether odd or even numbers of them fall on each of ``PARITY`` places, as bits.
+    """(k, fp, n, rare, prefix, parity, wide) of each distinct text with words: its hash, fingerprint, number of distinct
+    shingles, those not frequent, the first of them in one order of all (rare ones by hash, then from less to more
+    frequent), and whether odd or even numbers of them fall on each of ``PARITY`` places, as bits; ``wide`` has them for as
+    many places as the next power of two from ``n``, where that is more.
 
     Two sets of that similarity or more share a shingle of both prefixes.
     """
@@ -166,13 +167,15 @@ def prefixes(texts: DataFrame, shingle: int, similarity: float, often: np.ndarra
                     place = np.where(known[at] == h, (1 << 62) + rank[at], place)
                 place = np.unique(place)
                 n = len(place)
-                odd = np.packbits((np.bincount(place % PARITY, minlength=PARITY) & 1).astype(np.uint8)).view(np.int64)
-                out.append((k, fp, n, int((place < 1 << 62).sum()), place[: n - ceil(similarity * n - EPS) + 1], odd))
-            columns = list(zip(*out, strict=True)) or [[]] * 6
-            types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["k", "fp", "n", "rare", "prefix", "parity"])
-
-    found = texts.select("text", "k").mapInArrow(run, "k long, fp long, n long, rare long, prefix array<long>, parity array<long>")
+                places = max(PARITY, 1 << (n - 1).bit_length())
+                wide = np.packbits((np.bincount(place % places, minlength=places) & 1).astype(np.uint8)).view(np.int64)
+                odd = np.bitwise_xor.reduce(wide.reshape(-1, PARITY // 64), axis=0)
+                out.append((k, fp, n, int((place < 1 << 62).sum()), place[: n - ceil(similarity * n - EPS) + 1], odd, wide if places > PARITY else None))
+            columns = list(zip(*out, strict=True)) or [[]] * 7
+            types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), *[pa.list_(pa.int64())] * 3]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["k", "fp", "n", "rare", "prefix", "parity", "wide"])
+
+    found = texts.select("text", "k").mapInArrow(run, "k long, fp long, n long, rare long, prefix array<long>, parity array<long>, wide array<long>")
     return found.dropDuplicates(["k", "fp"])
 
 
@@ -215,11 +218,27 @@ def verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, shingle: int)
     return judged.mapInArrow(run, "a long, b long, fa long, fb long, s double")
 
 
+def unlike_buckets(rows: DataFrame) -> DataFrame:
+    """(h, k, at, size) of the buckets of ``rows`` (h, k, at) with several members that are not among those of another bucket.
+
+    A pair that is linked passes the filters of ``met`` in each bucket that it shares, so that one of them is enough.  Near
+    copies share a fifth of their shingles, and with them hundreds of buckets.  Of buckets with the same members (by
+    number and 128 bits) one stays; then those go of which all members have the same largest bucket.
+    """
+    low, high = F.sum(F.col("k").bitwiseAND(F.lit(0xFFFFFFFF))), F.sum(F.shiftright("k", 32))
+    members = rows.groupBy("h").agg(F.count("*").alias("size"), low.alias("low"), high.alias("high"), F.bit_xor(F.xxhash64("k")).alias("all"))
+    kept = members.filter("size > 1").groupBy("size", "low", "high", "all").agg(F.min("h").alias("h")).select("h", "size")
+    rows = materialize(rows.join(kept, "h").select("h", "k", "at", "size"), "postings")
+    largest = rows.groupBy("k").agg(F.max(F.struct("size", "h"))["h"].alias("of"))
+    inside = rows.select("h", "k").join(largest, "k").groupBy("h").agg(F.min("of").alias("a"), F.max("of").alias("b")).filter("a = b and a <> h")
+    return rows.join(inside.select("h"), "h", "left_anti")
+
+
 def similar_links(texts: DataFrame, shingle: int, similarity: float, bucket: int = GROUP) -> DataFrame:
     """Edges (a, b) between fingerprints of texts (columns text, k) whose sets of shingles are that similar; their
     components are those of all such links.
 
-    Texts meet in buckets, one a shingle of their prefixes.  In buckets of at most ``bucket`` members each pair is judged.
+    Texts meet in buckets, one a shingle of their prefixes (see ``unlike_buckets``).  In buckets of at most ``bucket`` members each pair is judged.
     In larger ones pivots are judged against all members: first the member with the fewest rare shingles (a group's
     original has none of its own), then ever more of those that no pivot is linked to, until none is left.  So a
     group of copies costs a few checks a member, and members that are linked to no pivot are judged against all.  What
@@ -227,9 +246,9 @@ def similar_links(texts: DataFrame, shingle: int, similarity: float, bucket: int
     """
     nodes = materialize(prefixes(texts, shingle, similarity, frequent(texts.select("text"), shingle)), "prefixes")
     parts = [F.get("parity", F.lit(i)).alias(f"p{i}") for i in range(PARITY // 64)]
-    rows = nodes.select("k", "n", "rare", *parts, F.posexplode("prefix").alias("at", "h"))
-    shared = rows.groupBy("h").agg(F.count("*").alias("size")).filter("size > 1")
-    rows = materialize(rows.select("h", "k", F.struct("n", "rare", "at", *(f"p{i}" for i in range(PARITY // 64))).alias("of")).join(shared, "h"), "postings")
+    rows = unlike_buckets(nodes.select("k", F.posexplode("prefix").alias("at", "h")))
+    of = nodes.select("k", "n", "rare", *parts, "wide")  # wide rows: not before few postings are left
+    rows = materialize(rows.join(of, "k").select("h", "k", F.struct(*of.columns[1:], "at").alias("of"), "size"), "members")
 
     def judged(pairs: DataFrame) -> DataFrame:
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
@@ -263,7 +282,9 @@ def similar_links(texts: DataFrame, shingle: int, similarity: float, bucket: int
 
 def met(one: DataFrame, other: DataFrame, on: list[str], similarity: float) -> DataFrame:
     """Pairs (a, b) of (h, k, of) in one bucket that size, place and parities leave able to be that similar: places of which
-    one set has an odd number and the other an even one are no more than the shingles that only one of them has."""
+    one set has an odd number and the other an even one are no more than the shingles that only one of them has.  Sets of
+    many shingles have one on most of few places, so that theirs are told apart by ``wide``; of twice as many
+    places the halves are added up."""
     x = one.withColumnsRenamed({"k": "a", "of": "x"})
     y = other.withColumnsRenamed({"k": "b", "of": "y"})
     left = F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at"))  # what can be shared from here on
@@ -271,7 +292,13 @@ def met(one: DataFrame, other: DataFrame, on: list[str], similarity: float) -> D
     sizes = F.least("x.n", "y.n") >= F.greatest("x.n", "y.n") * similarity - EPS
     bits = [c for c in one.schema["of"].dataType.names if c.startswith("p")]
     apart = reduce(add, [F.bit_count(F.col(f"x.{c}").bitwiseXOR(F.col(f"y.{c}"))) for c in bits], F.lit(0))
-    alike = apart <= (F.col("x.n") + F.col("y.n")) * ((1 - similarity) / (1 + similarity)) + EPS
+    most = (F.col("x.n") + F.col("y.n")) * ((1 - similarity) / (1 + similarity)) + EPS
+    alike = apart <= most
+    if "wide" in one.schema["of"].dataType.names:
+        size = F.least(F.size("x.wide"), F.size("y.wide"))
+        half = lambda w: F.when(F.size(w) == size, F.col(w)).otherwise(F.zip_with(F.slice(w, F.lit(1), size), F.slice(w, size + 1, size), lambda p, q: p.bitwiseXOR(q)))
+        differ = F.aggregate(F.zip_with(half("x.wide"), half("y.wide"), lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), add)
+        alike &= F.col("x.wide").isNull() | F.col("y.wide").isNull() | (differ <= most)
     return x.join(y, on).filter((F.col("a") != F.col("b")) & sizes & (left + F.least("x.at", "y.at") >= need) & alike)
 
 

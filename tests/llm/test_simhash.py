@@ -162,6 +162,37 @@ def test_texts_that_only_share_a_shingle_do_not_meet(spark):
     assert len(edges) == 1
 
 
+def test_near_copies_meet_in_few_buckets_and_long_unlike_texts_in_none(spark, monkeypatch):
+    # four copies that differ by a word meet in about a hundred buckets with the same members; long texts that share a
+    # passage have an odd number of shingles on half of few places, whatever they are
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choices("abcdefghij", k=8))
+    base, passage = [word() for _ in range(600)], [word() for _ in range(6)]
+    copies = [" ".join([*base[:at], "changed", *base[at + 1 :]]) for at in (50, 200, 350, 500)]
+    unlike = [" ".join([*passage, *(word() for _ in range(rng.choice([1000, 1030])))]) for _ in range(12)]
+    df = spark.createDataFrame([(t,) for t in copies + unlike], "text string").withColumn("k", F.xxhash64("text")).coalesce(1)
+    rows, met = [], simhash.met
+
+    def counted(*a):
+        rows.append(met(*a).count())
+        return met(*a)
+
+    monkeypatch.setattr(simhash, "met", counted)
+    edges = [(r.a, r.b) for r in simhash.similar_links(df, 5, 0.8).collect()]
+    fps = {simhash.fingerprint(t.encode(), 5) for t in copies}
+    assert fps == {x for e in edges for x in e} and 0 < sum(rows) < 200
+
+
+def test_parities_of_twice_as_many_places_are_added_up(spark):
+    # 1,020 and 1,030 shingles: 1,024 and 2,048 places; one text is the other's beginning
+    words = [f"w{i}" for i in range(1034)]
+    df = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(words[:1024]))], "k long, text string").coalesce(1)
+    nodes = simhash.prefixes(df, 5, 0.8, simhash.np.empty(0, "<u8")).persist()
+    assert sorted(len(r.wide) for r in nodes.collect()) == [16, 32]
+    bucket = nodes.select(F.lit(1).alias("h"), "k", F.struct("n", "rare", F.lit(0).alias("at"), "wide").alias("of"))
+    assert sorted(tuple(r) for r in simhash.met(bucket, bucket, ["h"], 0.8).select("a", "b").collect()) == [(1, 2), (2, 1)]
+
+
 def test_empty_and_odd_columns(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert simhash.near_duplicates(empty).count() == 0
