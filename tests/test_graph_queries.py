@@ -125,6 +125,12 @@ def test_apply_equals_brute_force(spark, window):
     assert got == brute_apply(rows, queries, rules, window)
 
 
+def test_rules_of_length_three_carry_no_plan(spark):
+    # with the plan that found them, what applies them did not fit 1 GB of the driver on any table
+    rules = C.mined3(spark, SF, 2)
+    assert rules.count() and "Join" not in rules._jdf.queryExecution().toString()
+
+
 def test_early_stop_equals_the_definition(spark):
     import random
 
