@@ -240,3 +240,55 @@ def test_no_walk_through_a_hub_is_listed(spark):
     rows = [(n, 0, 1000, n % 7, "train") for n in range(200)] + [(1000, 1, n, n % 7, "train") for n in range(200, 400)]
     w = T.closed_walks(graph(spark, rows), 3)
     assert w.count() == 0
+
+
+@pytest.mark.parametrize("window", [0, 3, -1])
+def test_rules_of_two_by_blocks_equal_listed_matches(spark, window, monkeypatch):
+    import random
+
+    from tempora.operators import pairs as D
+
+    monkeypatch.setattr(D, "CELLS", 7)  # blocks are cut too
+    rng = random.Random(9)
+    rows = [(rng.randint(1, 5), rng.randint(0, 2), rng.randint(1, 5), t := rng.randint(0, 9), "train" if t < 7 else "test") for _ in range(60)]
+    g = graph(spark, [*rows, *rows[:9]])
+    q = spark.createDataFrame([(i, rng.randint(1, 5), rng.randint(0, 2), 1, rng.randint(6, 9)) for i in range(12)], "qid long, sub long, rel long, obj long, ts long")
+    forms = [[], [[0, 1]], [[0, 2]], [[1, 2]], [[0, 1, 2]]]
+    rules = [(h, 100 * h + 10 * k + i, [a, b], v, 1, 2) for h in range(3) for k, (a, b) in enumerate([(0, 1), (2, 2), (1, 0)]) for i, v in enumerate(forms)]
+    df = spark.createDataFrame(rules, "head_rel long, rule_rank long, body_rels array<long>, var_constraints array<array<int>>, rule_supp long, body_supp long")
+    loose = df.filter(F.size("var_constraints") == 0)
+    listed = A.apply_rules(q, df, g, window).select("qid", "rule_rank", "cand", "start", "n_walks").collect()
+    is_loose = lambda r: r.rule_rank % 10 == 0
+    key = lambda rs: sorted(map(tuple, rs))
+
+    packed = D.of_rules(D.loose_lists(q, loose, g, window), q, loose).select("qid", "rule_rank", F.inline(F.arrays_zip("cands", "starts", "walks")))
+    assert key(packed.collect()) == key(filter(is_loose, listed)) != []
+    tied = D.of_rules(D.tied_matches(q, g, window), q, df)
+    assert key(tied.collect()) == key(r for r in listed if not is_loose(r)) != []
+    told = {}
+    for r in filter(is_loose, listed):
+        n, m, t = told.get((r.qid, r.rule_rank), (0, 0, 0))
+        told[r.qid, r.rule_rank] = n + 1, m + r.n_walks, t + (r.cand + 1) * (r.start + 1)
+    got = D.of_rules(D.loose_totals(q, loose, g, window), q, loose).collect()
+    assert {(r.qid, r.rule_rank): (r.n_cands, r.n_walks, r.told) for r in got} == told
+
+    walks = D.listed_walks(q, df, g, window, lambda s, b0, x1, t0, b1, x2, t1: F.concat_ws(" ", *[x.cast("string") for x in (s, b0, x1, t0, b1, x2, t1)])).collect()
+    want = Counter((r.qid, r.rule_rank, f"{r.ents[0]} {r.rels[0]} {r.ents[1]} {r.tss[0]} {r.rels[1]} {r.ents[2]} {r.tss[1]}") for r in A.explained_walks(q, df, g, window, 2).collect())
+    assert {(r.qid, r.rule_rank, r.walk): r.n for r in walks} == want and len(walks) == len(want)
+
+
+@pytest.mark.parametrize("name", ["apply_walks_l2", "apply_walks_constrained", "apply_walks_l2_best", "apply_walks_complete"])
+def test_pairs_equal_sql(spark, duck, name):
+    got, want = C.QUERIES[name](spark, SF).toPandas(), duck.sql(C.ORACLE_SQL[name]).df()
+    cols = sorted(want.columns)
+    rows = lambda x: sorted(map(repr, x[cols].astype(object).itertuples(index=False, name=None)))
+    assert cols == sorted(got.columns) and rows(got) == rows(want)
+
+
+def test_complete_walks_are_those_of_all_rules(spark):
+    rules = C.ranked2(spark, SF)
+    assert "Join" not in rules._jdf.queryExecution().toString()  # nor do they carry the plan that found them
+    loose = {(r.head_rel, r.rule_rank) for r in rules.filter(F.size("var_constraints") == 0).collect()}
+    heads = {r.qid: r.rel for r in G.queries_of(C.events_graph(spark, SF)).collect()}
+    shown = {(heads[r.qid], r.rule_rank) for r in C.apply_walks_complete(spark, SF).collect()}
+    assert shown & loose and shown - loose
