@@ -292,3 +292,36 @@ def test_complete_walks_are_those_of_all_rules(spark):
     heads = {r.qid: r.rel for r in G.queries_of(C.events_graph(spark, SF)).collect()}
     shown = {(heads[r.qid], r.rule_rank) for r in C.apply_walks_complete(spark, SF).collect()}
     assert shown & loose and shown - loose
+
+
+def test_rules_of_one_by_counts_equal_listed_walks(spark):
+    import random
+
+    from tempora.operators import triangles as T
+
+    rng = random.Random(6)
+    rows = [(rng.randint(1, 6), rng.randint(0, 2), rng.randint(1, 6), rng.randint(0, 6), "train") for _ in range(40)]
+    rows += [(9, 0, 9, 1, "train"), (9, 1, 9, 4, "train")]
+    g = G.with_inverses(graph(spark, [*rows, *rows[:9]]), 3).persist()
+    key = lambda r: (r.head_rel, tuple(r.body_rels), str(r.var_constraints))
+    listed = R.support(R.rules_from_walks(K.cyclic_walks(g, 2, 3), 3), g, longest=1).collect()
+    got = {key(r): (r.rule_supp, r.body_supp, r.conf) for r in T.rules_of_one(g).collect()}
+    assert got == {key(r): (r.rule_supp, r.body_supp, r.conf) for r in listed} and len(got) > 20
+    loops = G.with_inverses(graph(spark, rows[-2:]), 3)  # no rule without constraints comes of loops alone
+    assert {key(r)[2] for r in T.rules_of_one(loops).collect()} == {"[[0, 1]]"}
+
+
+def test_rules_of_one_are_applied_as_any_and_matched_without_lists(spark):
+    import random
+
+    rng = random.Random(8)
+    g = graph(spark, [(rng.randint(1, 6), rng.randint(0, 3), rng.randint(1, 6), rng.randint(0, 9), "train") for _ in range(70)])
+    q = spark.createDataFrame([(i, rng.randint(1, 8), rng.randint(0, 3), 1, rng.randint(1, 9)) for i in range(30)], "qid long, sub long, rel long, obj long, ts long")
+    rules = [(0, 1, [1], [], 1, 2), (0, 2, [2], [[0, 1]], 1, 4), (1, 1, [3], [[0, 1]], 1, 3), (2, 1, [0], [], 2, 3)]
+    df = spark.createDataFrame(rules, "head_rel long, rule_rank long, body_rels array<long>, var_constraints array<array<int>>, rule_supp long, body_supp long")
+    every, got = A.apply_rules(q, df, g), A.apply_rules_of_one(q, df, g)
+    rows = lambda x: sorted(map(tuple, x.select(*every.columns).collect()))
+    assert rows(got) == rows(every) != []
+    contexts = A.apply_rules_of_one(G.contexts_of(q), df, g)
+    spread = G.for_queries(contexts, q)
+    assert rows(spread) == rows(every) and "explode" in spread._jdf.queryExecution().toString()
